@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, token_files
+from . import mixing, personal_data, token_files, url_filter
 from ._shared import table
 
 #: Folder of the public tokenizer files where the package that knows it is missing.
@@ -35,8 +35,20 @@ def op5_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = No
     return token_files.checksums(token_files.read(spark, files.path))
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's url judged by rules, and by trust and distrust between hosts where none fits."""
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document, by pattern and by the terms that reveal it."""
+    return personal_data.detect(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op5_token_files": op5_token_files,
+    "op9_url_filter": op9_url_filter,
+    "op10_personal_data": op10_personal_data,
 }
 ORACLES: dict[str, str] = {}
