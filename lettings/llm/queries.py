@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, personal_data, quality, token_files, url_filter
+from . import decontaminate, mixing, personal_data, pseudo_likelihood, quality, token_files, url_filter
 from ._shared import table
 
 #: Folder of the public tokenizer files where the package that knows it is missing.
@@ -37,6 +37,11 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every test item that a document holds, question and answer."""
+    return decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     """Token ids written to Parquet files and read back: per document its place, length and checksum."""
     definition = Path(tokenizer or tokenizer_file("word_bpe_49k.json")).read_text()
@@ -44,6 +49,11 @@ def op5_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = No
     return token_files.checksums(token_files.read(spark, files.path))
 
 
+def op6_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pseudo-log-likelihood under a network learnt from all documents."""
+    return pseudo_likelihood.score(table(spark, sf_dir, "documents"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's url judged by rules, and by trust and distrust between hosts where none fits."""
     return url_filter.judge(table(spark, sf_dir, "pages"))
@@ -57,7 +67,9 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_quality": op2_quality,
+    "op4_decontaminate": op4_decontaminate,
     "op5_token_files": op5_token_files,
+    "op6_pseudo_likelihood": op6_pseudo_likelihood,
     "op9_url_filter": op9_url_filter,
     "op10_personal_data": op10_personal_data,
 }
