@@ -8,7 +8,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,26 +70,55 @@ def column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
 
-class WordHashes:
-    """64-bit hashes of words as bytes, remembered up to a bound."""
-
-    def __init__(self, bound: int = 300_000):
-        self.bound, self.known = bound, {}
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        if len(known) > self.bound:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh3_64_intdigest(w)
-        return mixed(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
+IS_SPACE, LOWER = np.zeros(256, bool), np.arange(256, dtype=np.uint64) + 1
+IS_SPACE[[32, *range(9, 14)]] = True
+LOWER[65:91] += 32
+#: Base of the polynomial that hashes a word's bytes modulo 2^64, odd so that it has an inverse.
+BASE = 0x9E3779B97F4A7C15
+POWERS: list[np.ndarray] = []
+
+
+def powers(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse, n of each at least."""
+    if not POWERS or len(POWERS[0]) < n:
+        n = 1 << max(16, n.bit_length())
+        POWERS[:] = [np.cumprod(np.full(n, b, np.uint64)) for b in (BASE, pow(BASE, -1, 1 << 64))]
+    return POWERS
+
+
+def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of the texts, A-Z lower-cased, and the number of words of each; null has none."""
+    texts = texts.cast(pa.large_string()).fill_null("")
+    if not len(texts):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    if not len(data):
+        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+    space = IS_SPACE[data]
+    before, after = np.append(True, space[:-1]), np.append(space[1:], True)
+    before[offsets[:-1][offsets[:-1] < len(data)]] = True
+    after[offsets[1:][offsets[1:] > 0] - 1] = True
+    starts, ends = np.flatnonzero(~space & before), np.flatnonzero(~space & after)
+    hashes = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):  # words of about a megabyte at a time; a longer word is one round
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + (1 << 20), side="right")))
+        first, last = starts[i:j] - starts[i], ends[i:j] - 1 - starts[i]
+        n = int(last[-1]) + 1
+        up, down = powers(n)
+        sums = np.cumsum(LOWER[data[starts[i] : starts[i] + n]] * up[:n])
+        sums = sums[last] - np.where(first > 0, sums[first - 1], np.uint64(0))
+        hashes[i:j] = mixed(sums * down[first] + (last - first).astype(np.uint64))
+        i = j
+    return hashes, np.diff(np.searchsorted(starts, offsets))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit (the finaliser of splitmix64)."""
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 

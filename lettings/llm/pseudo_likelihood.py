@@ -13,7 +13,6 @@ task or driver holds more than a group of networks.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,12 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import Cut, column, map_batches
+from ._shared import Cut, hashed_words, map_batches
 
-CLASSES, MEMBERS, WIDTH = 32, 64, 16
+CLASSES, MEMBERS, WIDTH = 32, 32, 8
 VOCAB = CLASSES * MEMBERS
 PLACES = (-2, -1, 1, 2)
-CHUNK, RATE, FAN = 8192, 0.1, 16
+CHUNK, RATE, FAN = 16384, 0.1, 16
+#: Weights stay below this, so that no exponential of a sum of WIDTH + 1 of them overflows.
+LARGEST = 9.0
 SHAPES = {"e": (VOCAB + 1, WIDTH), "place": (len(PLACES), WIDTH), "c": (CLASSES, WIDTH), "cb": (CLASSES,), "w": (CLASSES, MEMBERS, WIDTH), "wb": (CLASSES, MEMBERS)}
 SIZES = {k: int(np.prod(s)) for k, s in SHAPES.items()}
 
@@ -45,57 +46,48 @@ def views(vector: np.ndarray) -> dict[str, np.ndarray]:
     return {k: vector[a:b].reshape(SHAPES[k]) for k, a, b in zip(SHAPES, at[:-1], at[1:], strict=True)}
 
 
-class Buckets:
-    """Bucket numbers of the words of texts, with room for the context between texts."""
-
-    def __init__(self, bound: int = 300_000):
-        self.bound, self.known = bound, {}
-
-    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Buckets, ``VOCAB`` where there is no word, and the place after the last word of each text."""
-        words: list[str] = []
-        ends = []
-        for t in texts:
-            words += ["", ""]
-            words += (t or "").lower().split()
-            ends.append(len(words))
-        words += ["", ""]
-        known = self.known
-        if len(known) > self.bound:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = zlib.crc32(w.encode(errors="replace")) % VOCAB if w else VOCAB
-        return np.fromiter(map(known.__getitem__, words), np.int32, len(words)), np.array(ends, np.int64)
-
-
-def forward(p: dict[str, np.ndarray], ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
-    """For the words at places: log-probability, hidden values, contexts, order by class, and both softmaxes."""
-    around = np.stack([ids[at + k] for k in PLACES])
-    hidden = np.tanh(np.einsum("knd,kd->nd", p["e"][around], p["place"]))
-    target = ids[at]
-    cls, member = np.divmod(target, MEMBERS)
+def buckets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the words of texts, ``VOCAB`` where there is none, and the number of words of each.
+
+    Two places without a word lie between texts, so no context reaches from one into another.
+    """
+    hashes, n = hashed_words(texts)
+    ids = np.full(len(hashes) + 2 * len(n) + 2, VOCAB, np.int32)
+    ids[np.arange(len(hashes)) + np.repeat(np.arange(2, 2 * len(n) + 2, 2), n)] = hashes % np.uint64(VOCAB)
+    return ids, n
+
+
+def forward(p: dict[str, np.ndarray], ids: np.ndarray, at: np.ndarray) -> tuple:
+    """Of the words at places, which are of one class after the other with cuts between: log-probability, hidden values, contexts, both softmaxes, cuts."""
+    around = [ids[at + k] for k in PLACES]
+    hidden = np.zeros((len(at), WIDTH), np.float32)
+    for k, of in enumerate(around):
+        hidden += (p["e"] * p["place"][k])[of]
+    np.tanh(hidden, out=hidden)
+    cls, member = np.divmod(ids[at], MEMBERS)
     z = hidden @ p["c"].T + p["cb"]
-    z -= z.max(1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(1, keepdims=True)
-    order = np.argsort(cls, kind="stable")
-    cuts = np.searchsorted(cls[order], np.arange(CLASSES + 1))
+    cuts = np.searchsorted(cls, np.arange(CLASSES + 1))
     inner = np.empty((len(at), MEMBERS), np.float32)
     for c in range(CLASSES):
-        if cuts[c] < cuts[c + 1]:
-            rows = order[cuts[c] : cuts[c + 1]]
-            inner[rows] = hidden[rows] @ p["w"][c].T + p["wb"][c]
-    inner -= inner.max(1, keepdims=True)
-    np.exp(inner, out=inner)
-    inner /= inner.sum(1, keepdims=True)
+        rows = slice(cuts[c], cuts[c + 1])
+        np.matmul(hidden[rows], p["w"][c].T, out=inner[rows])
+        inner[rows] += p["wb"][c]
+    for x in (z, inner):
+        np.exp(x, out=x)
+        x *= 1 / (x @ np.ones(x.shape[1], np.float32))[:, None]
     n = np.arange(len(at))
-    return np.log(z[n, cls]) + np.log(inner[n, member]), hidden, around, order, cuts, z, inner
+    return np.log(z[n, cls]) + np.log(inner[n, member]), hidden, around, z, inner, cuts
+
+
+def by_class(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return np.argsort((ids[at] // MEMBERS).astype(np.int16), kind="stable")
 
 
 def learn(vector: np.ndarray, squares: np.ndarray, ids: np.ndarray, at: np.ndarray) -> None:
     """One step of Adagrad on the mean log loss of the words at places."""
     p = views(vector)
-    _, hidden, around, order, cuts, z, inner = forward(p, ids, at)
+    at = at[by_class(ids, at)]
+    _, hidden, around, z, inner, cuts = forward(p, ids, at)
     cls, member = np.divmod(ids[at], MEMBERS)
     n = np.arange(len(at))
     z[n, cls] -= 1
@@ -105,18 +97,21 @@ def learn(vector: np.ndarray, squares: np.ndarray, ids: np.ndarray, at: np.ndarr
     g["c"][:], g["cb"][:] = z.T @ hidden, z.sum(0)
     back = z @ p["c"]
     for c in range(CLASSES):
-        if cuts[c] < cuts[c + 1]:
-            rows = order[cuts[c] : cuts[c + 1]]
-            g["w"][c], g["wb"][c] = inner[rows].T @ hidden[rows], inner[rows].sum(0)
-            back[rows] += inner[rows] @ p["w"][c]
+        rows = slice(cuts[c], cuts[c + 1])
+        g["w"][c], g["wb"][c] = inner[rows].T @ hidden[rows], inner[rows].sum(0)
+        back[rows] += inner[rows] @ p["w"][c]
     back *= 1 - hidden * hidden
-    g["place"][:] = np.einsum("nd,knd->kd", back, p["e"][around])
-    flat = (around[..., None].astype(np.int64) * WIDTH + np.arange(WIDTH)).ravel()
-    g["e"].ravel()[:] = np.bincount(flat, (back[None] * p["place"][:, None]).ravel(), SIZES["e"])
+    sides = np.ascontiguousarray(back.T)
+    for k, of in enumerate(around):
+        # What each bucket gets at this place, once for its weights and once for its embedding.
+        got = np.stack([np.bincount(of, x, VOCAB + 1) for x in sides], 1)
+        g["place"][k] = (got * p["e"]).sum(0)
+        g["e"][:] += got * p["place"][k]
     g["e"][VOCAB] = 0
     grad /= len(at)
     squares += grad * grad
     vector -= RATE * grad / np.sqrt(squares + 1e-8)
+    np.clip(vector, -LARGEST, LARGEST, out=vector)
 
 
 def averaged(rows: list[tuple[float, bytes]]) -> tuple[float, np.ndarray]:
@@ -133,9 +128,9 @@ def round_of(docs: DataFrame, vector: np.ndarray) -> np.ndarray:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        own, squares, buckets, seen = shared.value.copy(), np.zeros(len(shared.value), np.float32), Buckets(), 0
+        own, squares, seen = shared.value.copy(), np.zeros(len(shared.value), np.float32), 0
         for batch in batches:
-            ids, _ = buckets(column(batch, "text"))
+            ids, _ = buckets(batch.column(batch.schema.get_field_index("text")))
             places = np.flatnonzero(ids < VOCAB)
             for i in range(0, len(places), CHUNK):
                 learn(own, squares, ids, places[i : i + CHUNK])
@@ -157,9 +152,7 @@ def round_of(docs: DataFrame, vector: np.ndarray) -> np.ndarray:
         width *= FAN
         level = level.groupBy(F.floor(F.col("part") / width).alias("node")).applyInArrow(merge, schema)
         level = Cut(level, "networks").df
-        before, n = n, level.count()
-        if n == before:  # parts far apart: wider nodes join them
-            continue
+        n = level.count()
     rows = sorted((r["part"], r["words"], bytes(r["vector"])) for r in level.collect())
     tasks.drop()
     return averaged([r[1:] for r in rows])[1] if rows else vector
@@ -174,8 +167,12 @@ def train(docs: DataFrame, rounds: int = 2) -> np.ndarray:
 
 
 def log_probabilities(vector: np.ndarray, ids: np.ndarray, places: np.ndarray) -> np.ndarray:
-    p = views(vector)
-    return np.concatenate([np.zeros(0, np.float32), *(forward(p, ids, places[i : i + CHUNK])[0] for i in range(0, len(places), CHUNK))])
+    p, out = views(vector), np.zeros(len(places), np.float32)
+    for i in range(0, len(places), CHUNK):
+        at = places[i : i + CHUNK]
+        order = by_class(ids, at)
+        out[i + order] = forward(p, ids, at[order])[0]
+    return out
 
 
 def score(docs: DataFrame, vector: np.ndarray | None = None) -> DataFrame:
@@ -189,15 +186,13 @@ def score(docs: DataFrame, vector: np.ndarray | None = None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(train(docs) if vector is None else vector)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buckets = Buckets()
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids, ends = buckets(column(batch, "text"))
+            ids, n = buckets(batch.column(batch.schema.get_field_index("text")))
             places = np.flatnonzero(ids < VOCAB)
             logs = np.append(0, np.cumsum(log_probabilities(shared.value, ids, places), dtype=np.float64))
-            cuts = np.append(0, np.searchsorted(places, ends))
-            n, sums = np.diff(cuts), np.round(np.diff(logs[cuts]), 6)
+            sums = np.round(np.diff(logs[np.append(0, np.cumsum(n))]), 6)
             means = pa.array(np.round(sums / np.maximum(n, 1), 6), mask=n == 0)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n.astype(np.int64)), pa.array(sums), means], names=["doc_id", "n_words", "log_prob", "mean_log_prob"])
 
