@@ -105,7 +105,7 @@ def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     i = 0
     while i < len(starts):  # words of about a megabyte at a time; a longer word is one round
         j = max(i + 1, int(np.searchsorted(ends, starts[i] + (1 << 20), side="right")))
-        first, last = starts[i:j] - starts[i], ends[i:j] - 1 - starts[i]
+        first, last = starts[i:j] - starts[i], ends[i:j] - starts[i]
         n = int(last[-1]) + 1
         up, down = powers(n)
         sums = np.cumsum(LOWER[data[starts[i] : starts[i] + n]] * up[:n])
