@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, personal_data, pseudo_likelihood, quality, token_files, url_filter
+from . import decontaminate, mixing, neighbours, personal_data, pseudo_likelihood, quality, token_files, url_filter
 from ._shared import table
 
 #: Folder of the public tokenizer files where the package that knows it is missing.
@@ -37,6 +37,11 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors by cosine of every vector whose id is divisible by 50, among all."""
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every test item that a document holds, question and answer."""
     return decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -67,6 +72,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_quality": op2_quality,
+    "op3_neighbours": op3_neighbours,
     "op4_decontaminate": op4_decontaminate,
     "op5_token_files": op5_token_files,
     "op6_pseudo_likelihood": op6_pseudo_likelihood,
