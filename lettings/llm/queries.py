@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, main_text, mixing, neighbours, personal_data, pseudo_likelihood, quality, token_files, url_filter
+from . import decontaminate, jaccard_join, main_text, mixing, neighbours, personal_data, pseudo_likelihood, quality, token_files, url_filter
 from ._shared import table
 
 #: Folder of the public tokenizer files where the package that knows it is missing.
@@ -59,6 +59,11 @@ def op6_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudo_likelihood.score(table(spark, sf_dir, "documents"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's component among documents linked by similar shingles."""
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page, by its host's wrapper."""
     return main_text.extract(table(spark, sf_dir, "pages"))
@@ -81,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontaminate": op4_decontaminate,
     "op5_token_files": op5_token_files,
     "op6_pseudo_likelihood": op6_pseudo_likelihood,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_main_text": op8_main_text,
     "op9_url_filter": op9_url_filter,
     "op10_personal_data": op10_personal_data,
