@@ -7,8 +7,9 @@
    a prefix only where a document has little else. Shingles of one group alone are dropped; nodes
    of one group need no comparison.
 3. For each pair of groups that share a prefix shingle, with sizes and positions that allow enough
-   overlap, each node's overlap with the other group's union of shingles bounds its overlap
-   with any member; only where that reaches the threshold is the group opened and compared.
+   overlap, each node's overlap with the other group's union of prefixes, and what lies beyond both
+   prefixes, bound its overlap with any member; only where that reaches the threshold are the
+   groups opened and their whole sets compared.
 
 So every link between different groups is found: step 2 is exact whatever step 1 has missed.
 """
@@ -28,8 +29,11 @@ from .components import components
 SHINGLE, BANDS = 5, 6
 #: A shingle in more prefixes than this is frequent; members of a part of a group that is opened at once.
 FREQUENT, PART = 12, 64
-#: Bits of the map of frequent shingles by hash: its size does not grow, and false hits only change the order.
-MAP_BITS = 24
+#: Bits of the maps of frequent shingles, and of shingles seen twice, by hash. Their sizes do not grow; false
+#: hits only change the order, or let a shingle of one node through to be dropped later.
+MAP_BITS, SEEN_BITS = 24, 27
+#: Shingles in a range that one task counts; late ones' keys have the highest bit.
+RANGE_SHINGLES, LATE = 4_000_000, np.uint64(1 << 63)
 MULTIPLIERS = mixed(np.arange(1, 2 * BANDS + 1, dtype=np.uint64)) | np.uint64(1)
 WEIGHTS = mixed(np.arange(100, 100 + SHINGLE, dtype=np.uint64)) | np.uint64(1)
 
@@ -59,15 +63,25 @@ def signature(tokens: np.ndarray) -> int:
     return int(mixed(sums[0] ^ (sums[1] * np.uint64(2 * len(tokens) + 1))).view(np.int64)[0])
 
 
+def slots(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (keys & ~LATE) >> np.uint64(63 - bits)
+
+
+def marked(bitmap: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    return (bitmap[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
 def prefix(tokens: np.ndarray, share: int, frequent: np.ndarray | None = None) -> np.ndarray:
-    """The first shingles in the order, of which two sets of ``share`` percent similarity share one."""
+    """The keys of the first shingles in the order, of which two sets of ``share`` percent similarity share one.
+
+    A key is the hash, halved, with the highest bit set for frequent shingles: keys sort in the order.
+    """
     n = len(tokens)
-    length = n + share * -n // 100 + 1 if n else 0
+    keys = tokens >> np.uint64(1)
     if frequent is not None:
-        slot = tokens >> np.uint64(64 - MAP_BITS)
-        late = (frequent[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1
-        tokens = tokens[np.argsort(late, kind="stable")]
-    return tokens[:length]
+        keys = np.where(marked(frequent, slots(keys, MAP_BITS)), keys | LATE, keys)
+        keys.sort()
+    return keys[: n + share * -n // 100 + 1 if n else 0]
 
 
 def similar(a: np.ndarray, b: np.ndarray, share: int) -> bool:
@@ -139,10 +153,62 @@ def star_links(docs: DataFrame, nodes: DataFrame, share: int) -> DataFrame:
     return Cut(map_batches(two, check, "a long, b long"), "links").df
 
 
-def postings(nodes: DataFrame) -> DataFrame:
-    """A row for each shingle of each prefix: token, and ``at``: group, size of the node, position."""
-    rows = nodes.select("group", "n", F.posexplode("prefix").alias("pos", "token"))
-    return rows.select("token", F.struct("group", "n", F.col("pos").cast("long").alias("pos")).alias("at"))
+def seen_twice(nodes: DataFrame) -> np.ndarray:
+    """A bit for each hash slot that two prefixes have: ranges of slots are counted apart, each of bounded size."""
+    total = nodes.agg(F.sum(F.size("prefix").cast("long"))).first()[0] or 0
+    bits = min(17, max(5, int(total // RANGE_SHINGLES).bit_length() + 1))
+    inner = SEEN_BITS - bits
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[np.ndarray] = []
+
+        def out() -> pa.RecordBatch:
+            slot, n = np.unique(np.concatenate([np.zeros(0, np.uint32), *parts]), return_counts=True)
+            slot = np.repeat(slot, np.minimum(n, 2))
+            cuts = np.searchsorted(slot, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(inner))
+            kept = [i for i in range(1 << bits) if cuts[i] < cuts[i + 1]]
+            packed = [(slot[cuts[i] : cuts[i + 1]] & np.uint32((1 << inner) - 1)).astype(np.uint32).tobytes() for i in kept]
+            return pa.RecordBatch.from_arrays([pa.array(kept, pa.int32()), pa.array(packed, pa.binary())], names=["range", "slots"])
+
+        for batch in batches:
+            parts.append(slots(np.asarray(batch.column(0).flatten()).view(np.uint64), SEEN_BITS).astype(np.uint32))
+            if sum(map(len, parts)) > RANGE_SHINGLES:
+                yield out()
+                parts.clear()
+        yield out()
+
+    def count(group: pa.Table) -> pa.Table:
+        slot, n = np.unique(np.concatenate([np.frombuffer(x, np.uint32) for x in group.column("slots").to_pylist()]), return_counts=True)
+        bitmap = np.zeros(1 << inner, bool)
+        bitmap[slot[n > 1]] = True
+        return pa.table({"range": group.column("range")[:1], "bits": pa.array([np.packbits(bitmap, bitorder="little").tobytes()], pa.binary())})
+
+    found = map_batches(nodes.select("prefix"), deal, "range int, slots binary").groupBy("range").applyInArrow(count, "range int, bits binary").toArrow()
+    bitmap = np.zeros(1 << (SEEN_BITS - 3), np.uint8)
+    size = 1 << (inner - 3)
+    for i, x in zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True):
+        bitmap[i * size : (i + 1) * size] = np.frombuffer(x, np.uint8)
+    return bitmap
+
+
+def postings(nodes: DataFrame) -> Cut:
+    """A row for each shingle of each prefix that another has: token, and ``at``: group, size of the node, position."""
+    shared = nodes.sparkSession.sparkContext.broadcast(seen_twice(nodes))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            keys, count = np.asarray(lists.flatten()).view(np.uint64), np.diff(np.asarray(lists.offsets))
+            row = np.repeat(np.arange(len(count)), count)
+            pos = np.arange(len(keys)) - np.repeat(np.cumsum(count) - count, count)
+            ok = marked(shared.value, slots(keys, SEEN_BITS))
+            of = pa.array(row[ok])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[ok].view(np.int64)), batch.column(0).take(of), batch.column(1).take(of), pa.array(pos[ok].astype(np.int64))], names=["token", "group", "n", "pos"])
+
+    return Cut(map_batches(nodes.select("group", "n", "prefix"), keep, "token long, group long, n long, pos long"), "postings")
+
+
+AT = ("group", "n", "pos")
 
 
 def able(a: Column, b: Column, share: int) -> Column:
@@ -152,15 +218,16 @@ def able(a: Column, b: Column, share: int) -> Column:
     return sized & (overlap * (100 + share) >= (a["n"] + b["n"]) * share)
 
 
-def shared_tokens(nodes: DataFrame) -> DataFrame:
+def shared_tokens(rows: DataFrame) -> DataFrame:
     """The matrix's shingles of more than one group: token, first and last posting, and number of postings."""
-    rows = postings(nodes).groupBy("token").agg(F.min("at").alias("a"), F.max("at").alias("b"), F.count(F.lit(1)).alias("c"))
+    at = F.struct(*AT)
+    rows = rows.groupBy("token").agg(F.min(at).alias("a"), F.max(at).alias("b"), F.count(F.lit(1)).alias("c"))
     return Cut(rows.where("a.group <> b.group"), "tokens").df
 
 
 def frequent_map(tokens: DataFrame) -> np.ndarray:
     """A bit for each hash slot with a frequent shingle: 2 ** MAP_BITS bits, however many there are."""
-    slot = F.shiftrightunsigned("token", 64 - MAP_BITS)
+    slot = F.shiftrightunsigned(F.col("token").bitwiseAND(F.lit((1 << 63) - 1)), 63 - MAP_BITS)
     byte = tokens.select(F.shiftright(slot, 3).alias("byte"), F.pow(F.lit(2.0), slot % 8).cast("int").alias("bit"))
     bits = np.zeros(1 << (MAP_BITS - 3), np.uint8)
     rows = byte.groupBy("byte").agg(F.bit_or("bit").alias("bits")).toArrow()
@@ -176,13 +243,12 @@ def reordered(docs: DataFrame, nodes: DataFrame, tokens: DataFrame, share: int)
         bits = shared.value
         for batch in batches:
             lists = batch.column(batch.schema.get_field_index("prefix"))
-            slot = np.asarray(lists.flatten()).view(np.uint64) >> np.uint64(64 - MAP_BITS)
-            hit = np.append(0, np.cumsum((bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1, dtype=np.int64))
+            hit = np.append(0, np.cumsum(marked(bits, slots(np.asarray(lists.flatten()).view(np.uint64), MAP_BITS)), dtype=np.int64))
             at = np.asarray(lists.offsets) - lists.offsets[0].as_py()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hit[at[1:]] > hit[at[:-1]])], names=[*batch.schema.names, "touched"])
 
     schema = "doc_id long, text_key long, node long, group long, n long, prefix array<long>"
-    marked = map_batches(nodes.select("doc_id", "text_key", "node", "group", "n", "prefix"), touched, f"{schema}, touched boolean")
+    flagged = map_batches(nodes.select("doc_id", "text_key", "node", "group", "n", "prefix"), touched, f"{schema}, touched boolean")
     names = [x.split()[0] for x in schema.split(", ")]
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,16 +258,16 @@ def reordered(docs: DataFrame, nodes: DataFrame, tokens: DataFrame, share: int)
             at["prefix"] = pa.array([x.tolist() for x in new], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([at[c] for c in names], names=names)
 
-    moved = Cut(marked.where("touched").select("doc_id", "text_key", "node", "group", "n"), "touched").df
+    moved = Cut(flagged.where("touched").select("doc_id", "text_key", "node", "group", "n"), "touched").df
     rows = picked(docs, moved)
-    return Cut(marked.where("not touched").drop("touched").unionByName(map_batches(rows.select("doc_id", "text_key", "node", "group", "n", "text"), again, schema)), "nodes").df
+    return Cut(flagged.where("not touched").drop("touched").unionByName(map_batches(rows.select("doc_id", "text_key", "node", "group", "n", "text"), again, schema)), "nodes").df
 
 
-def candidates(nodes: DataFrame, tokens: DataFrame, share: int) -> DataFrame:
+def candidates(rows: DataFrame, tokens: DataFrame, share: int) -> DataFrame:
     """Pairs of groups (a < b) that share a prefix shingle in a way that allows enough overlap."""
     two = tokens.where(F.col("c") == 2).where(able(F.col("a"), F.col("b"), share)).select(F.col("a.group").alias("a"), F.col("b.group").alias("b"))
     more = tokens.where(F.col("c") > 2).select("token", "c")
-    rows = postings(nodes).join(checked_broadcast(more), "token")
+    rows = rows.join(checked_broadcast(more), "token").select("token", "c", F.struct(*AT).alias("at"))
     lists = rows.where(F.col("c") <= FREQUENT).groupBy("token").agg(F.sort_array(F.collect_list("at")).alias("l"))
     pairs = lists.select("l", F.posexplode("l").alias("i", "x")).select("x", F.explode(F.expr("slice(l, i + 2, size(l))")).alias("y")).where("x.group <> y.group")
     few = pairs.where(able(F.col("x"), F.col("y"), share)).select(F.col("x.group").alias("a"), F.col("y.group").alias("b"))
@@ -214,34 +280,67 @@ def candidates(nodes: DataFrame, tokens: DataFrame, share: int) -> DataFrame:
     return Cut(two.unionByName(few).unionByName(many).distinct(), "candidates").df
 
 
-def group_links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, share: int) -> DataFrame:
-    """Pairs of groups with a link between members, from pairs (a, b): bounded by unions first, then opened."""
+def members_of(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The nodes of the groups of pairs (a, b), each in a part of its group of bounded size."""
     used = pairs.select(F.explode(F.array("a", "b")).alias("_used")).distinct()
-    rows = nodes.join(used, F.col("group") == F.col("_used"), "left_semi").select("doc_id", "text_key", "node", "group", "n")
+    rows = nodes.join(used, F.col("group") == F.col("_used"), "left_semi")
     counts = rows.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / PART).alias("parts")).withColumnRenamed("group", "_g")
-    rows = rows.join(counts, F.col("group") == F.col("_g")).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).drop("_g", "parts")
-    rows = Cut(rows, "members").df
-    sets = sets_of(docs, rows.select("doc_id", "text_key", "node", "part"))
-    members = sets.join(rows.select("node", "group"), "node").groupBy("group", "part").agg(F.collect_list("tokens").alias("sets"))
-    members = Cut(members, "groups").df
-    one = pairs.join(members.select(F.col("group").alias("a"), F.col("sets").alias("x")), "a")
-    two = one.join(members.select(F.col("group").alias("b"), F.col("sets").alias("y")), "b").select("a", "b", "x", "y")
-
-    def open_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return rows.join(counts, F.col("group") == F.col("_g")).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).drop("_g", "parts")
+
+
+def matched(pairs: DataFrame, groups: DataFrame, content: str, test: object) -> DataFrame:
+    """The pairs of groups of which some parts pass a test of their rows' contents."""
+    one = pairs.join(groups.select(F.col("group").alias("a"), F.col(content).alias("x")), "a")
+    two = one.join(groups.select(F.col("group").alias("b"), F.col(content).alias("y")), "b").select("a", "b", "x", "y")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
-            for i in range(batch.num_rows):
-                x, y = ([np.frombuffer(t, np.uint64) for t in batch.column(k)[i].as_py()] for k in (2, 3))
-                union = np.unique(np.concatenate(y))
-                ok.append(False)
-                for q in x:
-                    at = np.minimum(np.searchsorted(union, q), len(union) - 1)
-                    if 100 * int((union[at] == q).sum()) >= share * len(q) and any(similar(q, d, share) for d in y):
-                        ok[-1] = True
-                        break
+            ok = [test(x.as_py(), y.as_py()) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return Cut(map_batches(two, open_groups, "a long, b long"), "group-links").df
+    return map_batches(two, keep, "a long, b long").distinct()
+
+
+def bounded(x: list[dict], y: list[dict], share: int) -> bool:
+    """Whether a member of x can be similar to one of y, by sizes and prefixes.
+
+    Up to the lower of two prefixes' last keys all keys of both are known; beyond it no more can be
+    shared than the one with fewer has left.
+    """
+    theirs = [(d["n"], np.array(d["prefix"], np.int64).view(np.uint64)) for d in y]
+    union = np.unique(np.concatenate([p for _, p in theirs]))
+    for d in x:
+        n, q = d["n"], np.array(d["prefix"], np.int64).view(np.uint64)
+        at = np.minimum(np.searchsorted(union, q), len(union) - 1)
+        if not (shared := int((union[at] == q).sum())):
+            continue
+        for m, p in theirs:
+            if 100 * min(n, m) < share * max(n, m):
+                continue
+            # Only keys of the union can be shared; the exact number is counted where that would do.
+            last = min(q[-1], p[-1])
+            left = min(n - int(np.searchsorted(q, last, "right")), m - int(np.searchsorted(p, last, "right")))
+            need = -(-share * (n + m) // (100 + share))
+            if shared + left >= need and len(np.intersect1d(q, p, assume_unique=True)) + left >= need:
+                return True
+    return False
+
+
+def opened(x: list[bytes], y: list[bytes], share: int) -> bool:
+    """Whether a member of x is similar to one of y."""
+    mine, theirs = ([np.frombuffer(t, np.uint64) for t in side] for side in (x, y))
+    return any(100 * min(len(a), len(b)) >= share * max(len(a), len(b)) and similar(a, b, share) for a in mine for b in theirs)
+
+
+def group_links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, share: int) -> DataFrame:
+    """Pairs of groups with a link between members, from pairs (a, b): bounded by prefixes first, then opened."""
+    rows = members_of(nodes, pairs).select("group", "part", F.struct("n", "prefix").alias("row"))
+    matrix = Cut(rows.groupBy("group", "part").agg(F.collect_list("row").alias("rows")), "matrix").df
+    pairs = Cut(matched(pairs, matrix, "rows", lambda x, y: bounded(x, y, share)), "bounded").df
+    members = Cut(members_of(nodes, pairs).select("doc_id", "text_key", "node", "group", "part"), "members").df
+    sets = sets_of(docs, members.select("doc_id", "text_key", "node", "part"))
+    sets = sets.join(members.select("node", "group"), "node").groupBy("group", "part").agg(F.collect_list("tokens").alias("sets"))
+    return Cut(matched(pairs, Cut(sets, "groups").df, "sets", lambda x, y: opened(x, y, share)), "group-links").df
 
 
 def join(docs: DataFrame, share: int = 75) -> DataFrame:
@@ -264,12 +363,15 @@ def join(docs: DataFrame, share: int = 75) -> DataFrame:
     first = Cut(components(links), "components").df
     roots = checked_broadcast(first.select(F.col("node").alias("_n"), "root"))
     grouped = nodes.join(roots, F.col("node") == F.col("_n"), "left").select("doc_id", "text_key", "node", F.coalesce("root", "node").alias("group"), "n", "prefix")
-    tokens = shared_tokens(grouped)
+    rows_of = postings(grouped)
+    tokens = shared_tokens(rows_of.df)
     frequent = tokens.where(F.col("c") > FREQUENT)
     if not frequent.isEmpty():
         grouped = reordered(docs, grouped, frequent.select("token"), share)
-        tokens = shared_tokens(grouped)
-    pairs = candidates(grouped, tokens, share)
+        rows_of.drop()
+        rows_of = postings(grouped)
+        tokens = shared_tokens(rows_of.df)
+    pairs = candidates(rows_of.df, tokens, share)
     more = group_links(docs, grouped, pairs, share) if not pairs.isEmpty() else pairs.limit(0)
     # Groups' roots stand for their members, so both sets of links make one graph.
     final = Cut(components(links.unionByName(more)), "components").df
