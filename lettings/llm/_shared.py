@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -36,10 +37,28 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Written tables of the steps that are under way, innermost last.
+UNDER_WAY: list[list[Cut]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables that are written inside are deleted at the end, but for those to keep."""
+    UNDER_WAY.append([])
+    try:
+        yield
+    finally:
+        for cut in UNDER_WAY.pop():
+            cut.drop()
+
+
 class Cut:
-    """A table written to the shared folder: lineage ends there, and lost executors don't matter."""
+    """A table written to the shared folder: lineage ends there, and lost executors don't matter.
+
+    Within ``scratch()`` it is deleted at the end; with ``keep`` at the end of what is around that, if anything.
+    """
 
-    def __init__(self, df: DataFrame, name: str = "cut", path: str | None = None, **options: object):
+    def __init__(self, df: DataFrame, name: str = "cut", path: str | None = None, keep: bool = False, **options: object):
         spark = df.sparkSession
         self.spark, self.path = spark, path or f"{shared_dir(spark)}/lettings/{name}-{uuid.uuid4().hex}"
         writer = df.write
@@ -47,6 +66,8 @@ class Cut:
             writer = writer.option(key.replace("__", "."), value)
         writer.parquet(self.path)
         self.df = spark.read.schema(df.schema).parquet(self.path)
+        if UNDER_WAY[: len(UNDER_WAY) - keep]:
+            UNDER_WAY[-1 - keep].append(self)
 
     def count(self) -> int:
         return self.df.count()

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import Cut, checked_broadcast, hashed_words, map_batches, mixed
+from ._shared import Cut, checked_broadcast, hashed_words, map_batches, mixed, scratch
 from .components import components
 
 SHINGLE, BANDS = 5, 6
@@ -135,6 +135,11 @@ def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def star_links(docs: DataFrame, nodes: DataFrame, share: int) -> DataFrame:
     """Verified links (a, b) between a node and the least node of one of its bands."""
+    with scratch():
+        return _star_links(docs, nodes, share)
+
+
+def _star_links(docs: DataFrame, nodes: DataFrame, share: int) -> DataFrame:
     keys = nodes.select("node", "n", F.explode("bands").alias("band"))
     heads = keys.groupBy("band").agg(F.min(F.struct("node", "n")).alias("head"), F.count(F.lit(1)).alias("c")).where("c > 1").select("band", "head")
     pairs = keys.join(heads, "band").where("node <> head.node").where((F.least("n", "head.n") * 100 >= F.greatest("n", "head.n") * share))
@@ -150,7 +155,7 @@ def star_links(docs: DataFrame, nodes: DataFrame, share: int) -> DataFrame:
             ok = [similar(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), share) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return Cut(map_batches(two, check, "a long, b long"), "links").df
+    return Cut(map_batches(two, check, "a long, b long"), "links", keep=True).df
 
 
 def seen_twice(nodes: DataFrame) -> np.ndarray:
@@ -271,11 +276,13 @@ def candidates(rows: DataFrame, tokens: DataFrame, share: int) -> DataFrame:
     lists = rows.where(F.col("c") <= FREQUENT).groupBy("token").agg(F.sort_array(F.collect_list("at")).alias("l"))
     pairs = lists.select("l", F.posexplode("l").alias("i", "x")).select("x", F.explode(F.expr("slice(l, i + 2, size(l))")).alias("y")).where("x.group <> y.group")
     few = pairs.where(able(F.col("x"), F.col("y"), share)).select(F.col("x.group").alias("a"), F.col("y.group").alias("b"))
-    # Shingles that are frequent still: their documents have little else. By group, with the range of sizes and the first position.
-    by = rows.where(F.col("c") > FREQUENT).groupBy("token", F.col("at.group").alias("group")).agg(F.min("at.n").alias("least"), F.max("at.n").alias("most"))
+    # Shingles that are frequent still: their documents have little else. By group, with the range of sizes and
+    # the most that a member can have in common if this is the first shingle that it shares.
+    by = rows.where(F.col("c") > FREQUENT).groupBy("token", F.col("at.group").alias("group")).agg(F.min("at.n").alias("least"), F.max("at.n").alias("most"), F.max(F.col("at.n") - F.col("at.pos")).alias("left"))
     by = Cut(by, "frequent").df
-    left, right = (by.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("group", "least", "most")]) for s in "ab")
+    left, right = (by.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("group", "least", "most", "left")]) for s in "ab")
     many = left.join(right, "token").where("group_a < group_b").where((F.col("most_a") * 100 >= F.col("least_b") * share) & (F.col("most_b") * 100 >= F.col("least_a") * share))
+    many = many.where(F.least("left_a", "left_b") * (100 + share) >= (F.col("least_a") + F.col("least_b")) * share)
     many = many.select(F.col("group_a").alias("a"), F.col("group_b").alias("b"))
     return Cut(two.unionByName(few).unionByName(many).distinct(), "candidates").df
 
@@ -334,13 +341,18 @@ def opened(x: list[bytes], y: list[bytes], share: int) -> bool:
 
 def group_links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, share: int) -> DataFrame:
     """Pairs of groups with a link between members, from pairs (a, b): bounded by prefixes first, then opened."""
+    with scratch():
+        return _group_links(docs, nodes, pairs, share)
+
+
+def _group_links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, share: int) -> DataFrame:
     rows = members_of(nodes, pairs).select("group", "part", F.struct("n", "prefix").alias("row"))
     matrix = Cut(rows.groupBy("group", "part").agg(F.collect_list("row").alias("rows")), "matrix").df
     pairs = Cut(matched(pairs, matrix, "rows", lambda x, y: bounded(x, y, share)), "bounded").df
     members = Cut(members_of(nodes, pairs).select("doc_id", "text_key", "node", "group", "part"), "members").df
     sets = sets_of(docs, members.select("doc_id", "text_key", "node", "part"))
     sets = sets.join(members.select("node", "group"), "node").groupBy("group", "part").agg(F.collect_list("tokens").alias("sets"))
-    return Cut(matched(pairs, Cut(sets, "groups").df, "sets", lambda x, y: opened(x, y, share)), "group-links").df
+    return Cut(matched(pairs, Cut(sets, "groups").df, "sets", lambda x, y: opened(x, y, share)), "group-links", keep=True).df
 
 
 def join(docs: DataFrame, share: int = 75) -> DataFrame:
@@ -352,6 +364,11 @@ def join(docs: DataFrame, share: int = 75) -> DataFrame:
     text; rows without doc_id link as others do, but only name a component where no member
     has one. An empty table gives an empty result; other columns are ignored.
     """
+    with scratch():
+        return Cut(_join(docs, share), "classes", keep=True).df
+
+
+def _join(docs: DataFrame, share: int) -> DataFrame:
     rows = Cut(scanned(docs, share), "scanned").df
     full = rows.where("n > 0")
     # One row stands for equal sets: the least by doc_id and text.
@@ -368,7 +385,6 @@ def join(docs: DataFrame, share: int = 75) -> DataFrame:
     frequent = tokens.where(F.col("c") > FREQUENT)
     if not frequent.isEmpty():
         grouped = reordered(docs, grouped, frequent.select("token"), share)
-        rows_of.drop()
         rows_of = postings(grouped)
         tokens = shared_tokens(rows_of.df)
     pairs = candidates(rows_of.df, tokens, share)
