@@ -27,6 +27,10 @@ from ._shared import Cut, checked_broadcast, hashed_words, map_batches, mixed, s
 from .components import components
 
 SHINGLE, BANDS = 5, 6
+#: Rounds of stars; each has other heads, and compares only what is not linked yet.
+ROUNDS = 2
+#: Min-hashes of each band: pairs of them, then fours, whose members are more alike.
+JOINED = ((0, 1), (2, 3), (4, 5), (6, 7), (8, 9), (10, 11), (0, 3, 6, 9), (1, 4, 7, 10), (2, 5, 8, 11), (0, 5, 7, 8), (1, 3, 8, 10), (2, 4, 9, 11))
 #: A shingle in more prefixes than this is frequent; members of a part of a group that is opened at once.
 FREQUENT, PART = 12, 64
 #: Bits of the maps of frequent shingles, and of shingles seen twice, by hash. Their sizes do not grow; false
@@ -104,7 +108,7 @@ def scanned(docs: DataFrame, share: int) -> DataFrame:
             for s in sets:
                 if len(s):
                     least = np.array([(s * m).min() for m in MULTIPLIERS])
-                    bands.append(mixed(mixed(least[::2]) + least[1::2] * np.uint64(3) + np.arange(BANDS, dtype=np.uint64)).view(np.int64))
+                    bands.append(np.array([mixed(least[list(j)] + np.arange(1, len(j) + 1, dtype=np.uint64)).sum() + np.uint64(i) for i, j in enumerate(JOINED)], np.uint64).view(np.int64))
                 else:
                     bands.append(np.zeros(0, np.int64))
             first = [prefix(s, share).view(np.int64) for s in sets]
@@ -134,15 +138,25 @@ def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def star_links(docs: DataFrame, nodes: DataFrame, share: int) -> DataFrame:
-    """Verified links (a, b) between a node and the least node of one of its bands."""
-    with scratch():
-        return _star_links(docs, nodes, share)
-
-
-def _star_links(docs: DataFrame, nodes: DataFrame, share: int) -> DataFrame:
-    keys = nodes.select("node", "n", F.explode("bands").alias("band"))
-    heads = keys.groupBy("band").agg(F.min(F.struct("node", "n")).alias("head"), F.count(F.lit(1)).alias("c")).where("c > 1").select("band", "head")
-    pairs = keys.join(heads, "band").where("node <> head.node").where((F.least("n", "head.n") * 100 >= F.greatest("n", "head.n") * share))
+    """Verified links (a, b) between a node and the head of one of its bands, in rounds with other heads."""
+    links = None
+    for k in range(ROUNDS):
+        with scratch():
+            more = _star_links(docs, nodes, share, links, k)
+        links = more if links is None else links.unionByName(more)
+    return links
+
+
+def _star_links(docs: DataFrame, nodes: DataFrame, share: int, links: DataFrame | None, k: int) -> DataFrame:
+    if links is None:
+        nodes = nodes.withColumn("root", F.col("node"))
+    else:
+        roots = checked_broadcast(Cut(components(links), "roots").df.select(F.col("node").alias("_n"), F.col("root").alias("_root")))
+        nodes = nodes.join(roots, F.col("node") == F.col("_n"), "left").withColumn("root", F.coalesce("_root", "node")).drop("_n", "_root")
+    keys = nodes.select("node", "n", "root", F.explode("bands").alias("band"))
+    at = F.struct(F.xxhash64(F.lit(k), "node").alias("order"), "node", "n", "root")
+    heads = keys.groupBy("band").agg(F.min(at).alias("head"), F.count(F.lit(1)).alias("c"), F.min("root").alias("x"), F.max("root").alias("y")).where("c > 1 and x <> y").select("band", "head")
+    pairs = keys.join(heads, "band").where("root <> head.root").where((F.least("n", "head.n") * 100 >= F.greatest("n", "head.n") * share))
     pairs = Cut(pairs.select(F.col("node").alias("a"), F.col("head.node").alias("b")).distinct(), "pairs").df
     used = pairs.select(F.explode(F.array("a", "b")).alias("_used")).distinct()
     rows = nodes.join(used, F.col("node") == F.col("_used"), "left_semi").select("doc_id", "text_key", "node", F.lit(0).cast("long").alias("part"))
