@@ -46,4 +46,4 @@ def query(sql: str | None = None):
     return register
 
 
-from . import aggregates, joins, matching, projections, reports, windows  # noqa: E402, F401
+from . import aggregates, dashboards, joins, matching, projections, reports, windows  # noqa: E402, F401
