@@ -1,19 +1,27 @@
 """Documents scored by a masked language model: each word predicted from both sides.
 
-Words are hashed into ``VOCAB`` buckets. A word's context, the two before and the two after it, is
-embedded, each place with weights of its own, summed and squashed; a softmax over classes of
-buckets and one over the buckets of a class give the word's conditional probability. The sum of
-its logarithms over all words of a document is the document's pseudo-log-likelihood.
-
-The network is learnt in numpy by all tasks, from every document: in each round a task goes over
-its share of the documents from the round's common start, and the tasks' networks are averaged
-by words seen, in a tree of bounded groups. So what is gathered grows with the corpus, and no
-task or driver holds more than a group of networks.
+The words of all documents are counted first, and each of them has a probability of its own. The
+``HEAD`` most frequent words have a bucket each, the others share the rest of the ``VOCAB`` buckets
+by hash. A word's context, the two before and the two after it, is embedded, each place with
+weights of its own, summed and squashed; a softmax over classes of buckets and one over the buckets
+of a class give the bucket's conditional probability, and the counts the word's share of its
+bucket. That share is discounted: of the ``N`` occurrences of a bucket's ``T`` words, a word that
+was seen ``n`` times has ``(n - DISCOUNT) / N``, which takes most from rare words, and what was not
+seen ``DISCOUNT * T / N``, all of it together. The sum of the logarithms of bucket and share over all
+words of a document is the document's pseudo-log-likelihood.
+
+The table of counts grows with the distinct words: its most frequent are broadcast, the others are
+joined by word, with the same result. The network is learnt in numpy by all tasks, from every
+document: in each round a task goes over its share of the documents from the round's common start,
+and the tasks' networks are averaged by words seen, in a tree of bounded groups. No task or driver
+holds more than a group of networks. The network's size is fixed, so words that share a bucket
+differ by their counts, not by their contexts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +32,11 @@ from ._shared import Cut, hashed_words, map_batches
 
 CLASSES, MEMBERS, WIDTH = 32, 32, 8
 VOCAB = CLASSES * MEMBERS
+HEAD = VOCAB * 3 // 4
+SHARED = VOCAB - HEAD
+DISCOUNT = 0.5
+#: Words that a task counts at a time; words whose counts are broadcast, at most.
+COUNTED, FREQUENT = 2_000_000, 200_000
 PLACES = (-2, -1, 1, 2)
 CHUNK, RATE, FAN = 16384, 0.1, 16
 #: Weights stay below this, so that no exponential of a sum of WIDTH + 1 of them overflows.
@@ -46,15 +59,97 @@ def views(vector: np.ndarray) -> dict[str, np.ndarray]:
     return {k: vector[a:b].reshape(SHAPES[k]) for k, a, b in zip(SHAPES, at[:-1], at[1:], strict=True)}
 
 
-def buckets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the words of texts, ``VOCAB`` where there is none, and the number of words of each.
+@dataclass
+class Words:
+    """What every task knows of the words: the head's hashes in order and their buckets, frequent words' hashes in order and counts, and by shared bucket the occurrences and the words."""
+
+    head: np.ndarray
+    bucket: np.ndarray
+    frequent: np.ndarray
+    counts: np.ndarray
+    occurrences: np.ndarray
+    distinct: np.ndarray
+
+    def buckets(self, hashes: np.ndarray) -> np.ndarray:
+        ids = (HEAD + (hashes.view(np.uint64) % np.uint64(SHARED))).astype(np.int32)
+        if len(self.head):
+            at = np.minimum(np.searchsorted(self.head, hashes), len(self.head) - 1)
+            ids = np.where(self.head[at] == hashes, self.bucket[at], ids)
+        return ids
+
+    def shares(self, hashes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Logarithm of each word's share of its bucket, and whether it still lacks that of the discounted count."""
+        shared = ids >= HEAD
+        lacks = shared.copy()
+        out = np.where(shared, -np.log(np.maximum(self.occurrences, 1))[np.maximum(ids - HEAD, 0)], 0.0)
+        if len(self.frequent):
+            at = np.minimum(np.searchsorted(self.frequent, hashes), len(self.frequent) - 1)
+            known = shared & (self.frequent[at] == hashes)
+            out[known] += np.log(self.counts[at[known]] - DISCOUNT)
+            lacks &= ~known
+        return out, lacks
+
+    def unseen(self) -> np.ndarray:
+        """By shared bucket, logarithm of what stands for the discounted count of a word that was not seen."""
+        return np.where(self.distinct > 0, np.log(np.maximum(DISCOUNT * self.distinct, DISCOUNT)), 0.0)
+
+
+def counted(docs: DataFrame) -> DataFrame:
+    """``hash`` and ``n`` of every distinct word of all documents; words are counted in tasks first."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def out() -> pa.RecordBatch:
+            found, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], names=["hash", "n"])
+
+        for batch in batches:
+            held.append(hashed_words(batch.column(batch.schema.get_field_index("text")))[0].view(np.int64))
+            if sum(map(len, held)) > COUNTED:
+                yield out()
+                held.clear()
+        if held:
+            yield out()
+
+    return map_batches(docs.select("text"), count, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+
+
+def known(words: DataFrame) -> Words:
+    """What is broadcast of the table of words (hash, n)."""
+    least, total = 1 << 62, 0
+    for r in sorted(words.groupBy("n").agg(F.count(F.lit(1)).alias("words")).collect(), reverse=True):
+        total += r["words"]
+        if total > FREQUENT:
+            break
+        least = r["n"]
+    rows = words.where(F.col("n") >= least).toArrow()
+    hashes, n = rows.column("hash").to_numpy().astype(np.int64), rows.column("n").to_numpy().astype(np.int64)
+    order = np.argsort(hashes)
+    hashes, n = hashes[order], n[order]
+    top = np.argsort(-n, kind="stable")[:HEAD]
+    place = np.argsort(hashes[top])
+    by = words.groupBy(F.pmod("hash", F.lit(SHARED)).cast("int").alias("k")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words"))
+    occurrences, distinct = np.zeros(SHARED, np.int64), np.zeros(SHARED, np.int64)
+    for r in by.collect():
+        occurrences[r["k"]], distinct[r["k"]] = r["n"], r["words"]
+    # The head's words have buckets of their own.
+    k = (hashes[top].view(np.uint64) % np.uint64(SHARED)).astype(np.int64)
+    np.subtract.at(occurrences, k, n[top])
+    np.subtract.at(distinct, k, 1)
+    return Words(hashes[top][place], place.astype(np.int32), hashes, n, occurrences, distinct)
+
+
+def buckets(texts: pa.Array, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of the words of texts, ``VOCAB`` where there is none, the number of words of each, and their hashes.
 
     Two places without a word lie between texts, so no context reaches from one into another.
     """
     hashes, n = hashed_words(texts)
+    hashes = hashes.view(np.int64)
     ids = np.full(len(hashes) + 2 * len(n) + 2, VOCAB, np.int32)
-    ids[np.arange(len(hashes)) + np.repeat(np.arange(2, 2 * len(n) + 2, 2), n)] = hashes % np.uint64(VOCAB)
-    return ids, n
+    ids[np.arange(len(hashes)) + np.repeat(np.arange(2, 2 * len(n) + 2, 2), n)] = words.buckets(hashes)
+    return ids, n, hashes
 
 
 def forward(p: dict[str, np.ndarray], ids: np.ndarray, at: np.ndarray) -> tuple:
@@ -121,16 +216,17 @@ def averaged(rows: list[tuple[float, bytes]]) -> tuple[float, np.ndarray]:
     return words, np.asarray(total, np.float32)
 
 
-def round_of(docs: DataFrame, vector: np.ndarray) -> np.ndarray:
+def round_of(docs: DataFrame, vector: np.ndarray, words: Words) -> np.ndarray:
     """Parameters after every task has gone over its documents once."""
-    shared = docs.sparkSession.sparkContext.broadcast(vector)
+    shared = docs.sparkSession.sparkContext.broadcast((vector, words))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        own, squares, seen = shared.value.copy(), np.zeros(len(shared.value), np.float32), 0
+        first, words = shared.value
+        own, squares, seen = first.copy(), np.zeros(len(first), np.float32), 0
         for batch in batches:
-            ids, _ = buckets(batch.column(batch.schema.get_field_index("text")))
+            ids, _, _ = buckets(batch.column(batch.schema.get_field_index("text")), words)
             places = np.flatnonzero(ids < VOCAB)
             for i in range(0, len(places), CHUNK):
                 learn(own, squares, ids, places[i : i + CHUNK])
@@ -158,11 +254,11 @@ def round_of(docs: DataFrame, vector: np.ndarray) -> np.ndarray:
     return averaged([r[1:] for r in rows])[1] if rows else vector
 
 
-def train(docs: DataFrame, rounds: int = 2) -> np.ndarray:
+def train(docs: DataFrame, words: Words, rounds: int = 2) -> np.ndarray:
     """Parameters learnt from all documents, each in the round that a hash of its text gives."""
     vector = start()
     for k in range(rounds):
-        vector = round_of(docs.where("text is not null").where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == k), vector)
+        vector = round_of(docs.where("text is not null").where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == k), vector, words)
     return vector
 
 
@@ -175,25 +271,41 @@ def log_probabilities(vector: np.ndarray, ids: np.ndarray, places: np.ndarray) -
     return out
 
 
-def score(docs: DataFrame, vector: np.ndarray | None = None) -> DataFrame:
+def score(docs: DataFrame, vector: np.ndarray | None = None, words: DataFrame | None = None) -> DataFrame:
     """``doc_id``, ``n_words``, ``log_prob`` (natural, summed over all words) and ``mean_log_prob`` per row of ``docs``.
 
     A null or empty text, or one without words, has no words, a sum of 0 and a null mean. Null doc_ids
     are kept; repeated rows score alike. An empty table gives an empty result; other columns are
     ignored. Sums are rounded to six digits after the point, means too. Parameters are learnt from
-    ``docs`` unless given.
+    ``docs`` unless given, and so is the table of ``words``, which must be the one they were learnt with.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(train(docs) if vector is None else vector)
+    words = Cut(counted(docs), "words").df if words is None else words
+    of = known(words)
+    shared = docs.sparkSession.sparkContext.broadcast((train(docs, of) if vector is None else vector, of))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        vector, words = shared.value
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids, n = buckets(batch.column(batch.schema.get_field_index("text")))
+            ids, n, hashes = buckets(batch.column(batch.schema.get_field_index("text")), words)
             places = np.flatnonzero(ids < VOCAB)
-            logs = np.append(0, np.cumsum(log_probabilities(shared.value, ids, places), dtype=np.float64))
-            sums = np.round(np.diff(logs[np.append(0, np.cumsum(n))]), 6)
-            means = pa.array(np.round(sums / np.maximum(n, 1), 6), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n.astype(np.int64)), pa.array(sums), means], names=["doc_id", "n_words", "log_prob", "mean_log_prob"])
-
-    return map_batches(docs.select("doc_id", "text"), task, "doc_id long, n_words long, log_prob double, mean_log_prob double")
+            shares, lacks = words.shares(hashes, ids[places])
+            ends = np.append(0, np.cumsum(n))
+            logs = np.append(0, np.cumsum(log_probabilities(vector, ids, places) + shares, dtype=np.float64))
+            rare = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lacks))[ends].astype(np.int32)), pa.array(hashes[lacks]))
+            rows = pa.array(np.arange(row, row + batch.num_rows, dtype=np.int64))
+            row += batch.num_rows
+            yield pa.RecordBatch.from_arrays([rows, batch.column(0).cast(pa.int64()), pa.array(n.astype(np.int64)), pa.array(np.diff(logs[ends])), rare], names=["row", "doc_id", "n_words", "sum", "rare"])
+
+    scored = Cut(map_batches(docs.select("doc_id", "text"), task, "row long, doc_id long, n_words long, sum double, rare array<long>"), "scored").df
+    rare = scored.select("row", F.explode("rare").alias("hash")).groupBy("row", "hash").agg(F.count(F.lit(1)).alias("times"))
+    unseen = F.element_at(F.array(*map(F.lit, of.unseen().tolist())), F.pmod("hash", F.lit(SHARED)).cast("int") + 1)
+    logs = rare.join(words, "hash", "left").select("row", (F.col("times") * F.coalesce(F.ln(F.col("n") - DISCOUNT), unseen)).alias("more"))
+    logs = logs.groupBy("row").agg(F.sum("more").alias("more"))
+    total = F.round(F.col("sum") + F.coalesce("more", F.lit(0.0)), 6)
+    joined = scored.select("row", "doc_id", "n_words", "sum").join(logs, "row", "left").withColumn("log_prob", total)
+    return joined.select("doc_id", "n_words", "log_prob", F.when(F.col("n_words") > 0, F.round(F.col("log_prob") / F.col("n_words"), 6)).alias("mean_log_prob"))
