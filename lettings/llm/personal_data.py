@@ -66,12 +66,17 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def whole(text: str, m: re.Match) -> bool:
+    """Whether a match is a whole run of letters, and so a term that ``document_counts`` counts."""
+    return not (m.start() and TERM.match(text, m.start() - 1, m.start()) or TERM.match(text, m.end(), m.end() + 1))
+
+
 def near_terms(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int, str, str, int, int]]:
     """(kind, entity, term, start, end) of the words next to each entity that are in no entity."""
     for a, kind, b in spans:
         lo, hi = max(0, a - NEAR_CHARS), min(len(text), b + NEAR_CHARS)
-        before = [m for m in TERM.finditer(text, lo, a) if m.start() > lo or lo == 0][-NEAR_WORDS:]
-        after = [m for m in TERM.finditer(text, b, hi) if m.end() < hi or hi == len(text)][:NEAR_WORDS]
+        before = [m for m in TERM.finditer(text, lo, a) if whole(text, m)][-NEAR_WORDS:]
+        after = [m for m in TERM.finditer(text, b, hi) if whole(text, m)][:NEAR_WORDS]
         for m in before + after:
             if not any(x < m.end() and m.start() < y for x, _, y in spans):
                 yield kind, text[a:b], m[0].lower(), m.start(), m.end()
@@ -115,7 +120,7 @@ def document_counts(docs: DataFrame) -> DataFrame:
             for text in column(batch, "text"):
                 if text:
                     # Only terms near an entity matter, and these are runs of letters.
-                    counts.update(set(TERM.findall(text.lower())))
+                    counts.update({w.lower() for w in set(TERM.findall(text))})
             if len(counts) > COUNTED:
                 yield out()
                 counts.clear()
@@ -131,15 +136,16 @@ def disclosing(docs: DataFrame, scanned: DataFrame, threshold: float = 0.75, ent
     don't make a term telling.
     """
     near = scanned.select("row", F.explode("near").alias("x")).select("row", "x.kind", "x.term", "x.entity")
-    # Counting by entity first keeps a term that is near a third of all entities from one task.
-    by = near.groupBy("term", "kind", "entity").agg(F.count_distinct("row").alias("n"))
-    by = by.groupBy("term", "kind").agg(F.sum("n").alias("both"), F.count(F.lit(1)).alias("entities")).where(F.col("entities") >= entities)
-    by = Cut(by, "near-terms").df
+    # A row's pairs are made distinct inside the row, so both counts are sums that tasks begin, however common the term.
+    pairs = F.array_distinct(F.transform("near", lambda x: F.struct(x["term"].alias("term"), x["kind"].alias("kind"))))
+    both = scanned.select(F.explode(pairs).alias("x")).groupBy("x.term", "x.kind").agg(F.count(F.lit(1)).alias("both"))
+    by = near.select("term", "kind", "entity").distinct().groupBy("term", "kind").agg(F.count(F.lit(1)).alias("entities")).where(F.col("entities") >= entities)
+    by = Cut(by.join(both, ["term", "kind"]), "near-terms").df
     of = document_counts(docs).join(checked_broadcast(by.select("term").distinct()), "term", "left_semi")
     kinds = scanned.select(F.explode(F.array_distinct(F.transform("base", lambda x: x["kind"]))).alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("of_kind"))
     every = scanned.agg(F.count(F.lit(1)).alias("all"))
     rows = by.join(of, "term").join(F.broadcast(kinds), "kind").crossJoin(F.broadcast(every))
-    p, q = F.least(F.col("both") / F.col("docs"), F.lit(1.0)), F.col("of_kind") / F.col("all")
+    p, q = F.col("both") / F.col("docs"), F.col("of_kind") / F.col("all")
     disclosure = F.when(q >= 1, F.lit(0.0)).otherwise(1 - F.ln(p) / F.ln(q))
     return rows.select("term", "kind", disclosure.alias("disclosure")).where(F.col("disclosure") >= threshold)
 

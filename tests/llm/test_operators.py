@@ -162,6 +162,15 @@ def test_terms_that_reveal_entities(spark):
     assert personal_data.detect(documents(spark, [])).count() == 0
 
 
+def test_a_term_near_many_entities_of_a_document_counts_once(spark):
+    mails = " ".join(f"contact p{k}@{{0}}.example.com" for k in range(5))
+    rows = [(i, mails.format(f"d{i}"), "s") for i in range(20)] + [(100 + i, "contact us", "s") for i in range(80)] + [(200 + i, "nothing", "s") for i in range(300)]
+    docs = documents(spark, rows)
+    # A fifth of the term's documents, where a twentieth of all have an email.
+    got = personal_data.disclosing(docs, personal_data.found(docs), threshold=0).where("term = 'contact'").collect()
+    assert [r["disclosure"] for r in got] == [pytest.approx(1 - np.log(0.2) / np.log(0.05))]
+
+
 def test_quality_on_held_out_rows(spark):
     rng = random.Random(6)
     rows = [(i, words(rng, 50) if i % 2 else words(rng, 50).upper().replace(" ", "!! "), "s") for i in range(400)] + [(None, None, None), (999, "", "s")]
