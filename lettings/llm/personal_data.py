@@ -5,12 +5,14 @@ of them as far as its presence in a document makes the kind likely: with ``p`` t
 term's documents in which it stands near the kind, and ``q`` the share of all documents with
 the kind, its disclosure is ``1 - log(p) / log(q)``: the part of the kind's information content
 that the term gives away, 1 if it never comes without. Terms at or over a threshold that stand near
-enough different entities become spans too, and are generalised or removed as the entities are.
+enough different entities become spans too, wherever they occur in any document, and are generalised
+or removed as the entities are.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -32,6 +34,8 @@ TERM = re.compile(r"[^\W\d_]+")
 NEAR_WORDS, NEAR_CHARS = 5, 120
 #: Words of a task that are counted in memory before they are passed on.
 COUNTED = 200_000
+#: Disclosing terms that one pass over the texts looks for; more terms take more passes.
+PASS_TERMS = 200_000
 
 
 def luhn(digits: str) -> bool:
@@ -150,6 +154,56 @@ def disclosing(docs: DataFrame, scanned: DataFrame, threshold: float = 0.75, ent
     return rows.select("term", "kind", disclosure.alias("disclosure")).where(F.col("disclosure") >= threshold)
 
 
+def marked(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text, more) with every occurrence of the terms that is in no entity added to ``more``.
+
+    All texts are read whole, once for each ``PASS_TERMS`` terms.
+    """
+    terms = terms.select("term").distinct()
+    n = math.ceil(terms.count() / PASS_TERMS)
+    for k in range(n):
+        some = terms.where(F.pmod(F.xxhash64("term"), F.lit(n)) == k).collect()
+        docs = _one_pass(docs, frozenset(r["term"] for r in some))
+    return docs
+
+
+def _one_pass(docs: DataFrame, terms: frozenset[str]) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(terms)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
+        for batch in batches:
+            rows = []
+            for text, base, more in zip(column(batch, "text"), column(batch, "base"), column(batch, "more"), strict=True):
+                rows.append(more)
+                i = reach = 0
+                for m in TERM.finditer(text or ""):
+                    if m[0].lower() in shared.value:
+                        while i < len(base) and base[i]["start"] < m.end():
+                            reach = max(reach, base[i]["end"])
+                            i += 1
+                        if reach <= m.start():
+                            more.append({"start": m.start(), "kind": 4, "end": m.end()})
+            names = ["doc_id", "text", "base", "more"]
+            columns = [pa.array(rows, kind) if x == "more" else batch.column(batch.schema.get_field_index(x)) for x in names]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return map_batches(docs, mark, f"doc_id long, text string, base array<{SPAN}>, more array<{SPAN}>")
+
+
+def based(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and ``text`` with the entities by pattern, and room for ``more``."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
+        for batch in batches:
+            spans = [[dict(zip(("start", "kind", "end"), x, strict=True)) for x in base_spans(text or "")] for text in column(batch, "text")]
+            ids = batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([ids, batch.column(batch.schema.get_field_index("text")), pa.array(spans, kind), pa.array([[]] * len(spans), kind)], names=["doc_id", "text", "base", "more"])
+
+    return map_batches(docs.select("doc_id", "text"), scan, f"doc_id long, text string, base array<{SPAN}>, more array<{SPAN}>")
+
+
 def written(spans: Column) -> Column:
     names = F.array(*map(F.lit, KINDS))
     one = lambda x: F.concat_ws(":", F.element_at(names, x["kind"] + 1), x["start"].cast("string"), x["end"].cast("string"))
@@ -166,12 +220,10 @@ def detect(docs: DataFrame, threshold: float = 0.75, entities: int = 3) -> DataF
     """
     scanned = Cut(found(docs), "entities").df
     terms = Cut(disclosing(docs, scanned, threshold, entities), "terms").df
-    near = scanned.select("row", F.explode("near").alias("x")).select("row", "x.*")
-    hits = near.join(checked_broadcast(terms), ["term", "kind"]).groupBy("row").agg(F.collect_set(F.struct("start", F.lit(4).alias("kind"), "end")).alias("more"))
-    joined = scanned.select("row", "doc_id", "base").join(hits, "row", "left")
+    # Without a term, the entities that were found are all; else the texts are read again, for the terms' occurrences.
+    joined = scanned.select("doc_id", "base", F.array().cast(f"array<{SPAN}>").alias("more")) if terms.isEmpty() else marked(based(docs), terms)
     of = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS[:4])]
-    none = F.array().cast(f"array<{SPAN}>")
-    return joined.select("doc_id", *of, F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.concat("base", F.coalesce(F.col("more").cast(f"array<{SPAN}>"), none))).alias("spans"))
+    return joined.select("doc_id", *of, F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.concat("base", "more")).alias("spans"))
 
 
 def sanitised(text: str, spans: str, general: dict[str, str] | None = None) -> str:

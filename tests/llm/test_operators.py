@@ -171,6 +171,18 @@ def test_a_term_near_many_entities_of_a_document_counts_once(spark):
     assert [r["disclosure"] for r in got] == [pytest.approx(1 - np.log(0.2) / np.log(0.05))]
 
 
+def test_a_revealing_term_is_marked_wherever_it_occurs(spark, monkeypatch):
+    monkeypatch.setattr(personal_data, "PASS_TERMS", 1)
+    far = " ".join(["x"] * 200)
+    rows = [(i, f"hotmailer webmailer u{i}@mail.example.com {far} Hotmailer", "s") for i in range(20)] + [(100 + i, "x", "s") for i in range(60)] + [(200, "a Hotmailer and webmailer, alone", "s")]
+    got = {r["doc_id"]: r["spans"] for r in personal_data.detect(documents(spark, rows)).collect()}
+    assert got[200] == "term:2:11,term:16:25" and got[100] == ""
+    end = len(rows[0][1])
+    assert got[0] == f"term:0:9,term:10:19,email:20:39,term:{end - 9}:{end}"
+    clean = personal_data.sanitised(rows[0][1], got[0])
+    assert "otmailer" not in clean
+
+
 def test_quality_on_held_out_rows(spark):
     rng = random.Random(6)
     rows = [(i, words(rng, 50) if i % 2 else words(rng, 50).upper().replace(" ", "!! "), "s") for i in range(400)] + [(None, None, None), (999, "", "s")]
