@@ -4,8 +4,10 @@ Entities of four kinds are found by pattern. A term that stands near entities of
 of them as far as its presence in a document makes the kind likely: with ``p`` the share of the
 term's documents in which it stands near the kind, and ``q`` the share of all documents with
 the kind, its disclosure is ``1 - log(p) / log(q)``: the part of the kind's information content
-that the term gives away, 1 if it never comes without. Terms at or over a threshold that stand near
-enough different entities become spans too, wherever they occur in any document, and are generalised
+that the term gives away, 1 if it never comes without. So also of each single entity: ``p`` is then
+the share of the term's documents in which it stands near that entity, and ``q`` the share of all
+documents with the entity. Terms at or over a threshold that stand near enough different entities,
+or near one entity in enough different texts, become spans too, wherever they occur in any document, and are generalised
 or removed as the entities are.
 """
 
@@ -87,7 +89,11 @@ def near_terms(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[i
 
 
 SPAN = "struct<start:long,kind:int,end:long>"
-FOUND = f"row long, doc_id long, base array<{SPAN}>, near array<struct<kind:int,entity:string,term:string,start:long,end:long>>"
+FOUND = f"row long, doc_id long, digest long, base array<{SPAN}>, entities array<struct<kind:int,entity:string>>, near array<struct<kind:int,entity:string,term:string,start:long,end:long>>"
+
+
+def name_of(entity: str) -> str:
+    return hashlib.blake2b(entity.encode(errors="replace"), digest_size=8).hexdigest()
 
 
 def found(docs: DataFrame) -> DataFrame:
@@ -98,18 +104,21 @@ def found(docs: DataFrame) -> DataFrame:
 
         row = TaskContext.get().partitionId() << 40
         kind = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())])
+        entity = pa.struct([("kind", pa.int32()), ("entity", pa.string())])
         term = pa.struct([("kind", pa.int32()), ("entity", pa.string()), ("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
         for batch in batches:
-            base, near = [], []
+            base, near, entities, digests = [], [], [], []
             for text in column(batch, "text"):
                 base.append(spans := base_spans(text or ""))
                 seen = set(near_terms(text, spans)) if spans else ()
-                near.append([(k, hashlib.blake2b(e.encode(errors="replace"), digest_size=8).hexdigest(), *rest) for k, e, *rest in sorted(seen)])
+                near.append([(k, name_of(e), *rest) for k, e, *rest in sorted(seen)])
+                entities.append(sorted({(k, name_of(text[a:b])) for a, k, b in spans}))
+                digests.append(int.from_bytes(hashlib.blake2b(text.encode(errors="replace"), digest_size=8).digest(), "little", signed=True) if spans else 0)
             names = lambda rows, keys: [[dict(zip(keys, x, strict=True)) for x in r] for r in rows]
-            columns = [pa.array(range(row, row + len(base)), pa.int64()), batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64())]
-            columns += [pa.array(names(base, ("start", "kind", "end")), pa.list_(kind)), pa.array(names(near, ("kind", "entity", "term", "start", "end")), pa.list_(term))]
+            columns = [pa.array(range(row, row + len(base)), pa.int64()), batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64()), pa.array(digests, pa.int64())]
+            columns += [pa.array(names(base, ("start", "kind", "end")), pa.list_(kind)), pa.array(names(entities, ("kind", "entity")), pa.list_(entity)), pa.array(names(near, ("kind", "entity", "term", "start", "end")), pa.list_(term))]
             row += len(base)
-            yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "base", "near"])
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "digest", "base", "entities", "near"])
 
     return map_batches(docs.select("doc_id", "text"), scan, FOUND)
 
@@ -134,24 +143,30 @@ def document_counts(docs: DataFrame) -> DataFrame:
 
 
 def disclosing(docs: DataFrame, scanned: DataFrame, threshold: float = 0.75, entities: int = 3) -> DataFrame:
-    """``term``, ``kind`` and ``disclosure`` of the terms that reveal a kind of entity.
+    """``term``, ``kind`` and ``disclosure`` of the terms that reveal a kind of entity, or an entity of that kind; the most of both.
 
-    They stand near ``entities`` different entities of the kind at least: copies of a document
-    don't make a term telling.
+    They stand near ``entities`` different entities of the kind at least, or near one entity in two
+    different texts: a word that comes in one text only, or in its exact copies, is not known to
+    come with anything.
     """
-    near = scanned.select("row", F.explode("near").alias("x")).select("row", "x.kind", "x.term", "x.entity")
-    # A row's pairs are made distinct inside the row, so both counts are sums that tasks begin, however common the term.
-    pairs = F.array_distinct(F.transform("near", lambda x: F.struct(x["term"].alias("term"), x["kind"].alias("kind"))))
-    both = scanned.select(F.explode(pairs).alias("x")).groupBy("x.term", "x.kind").agg(F.count(F.lit(1)).alias("both"))
-    by = near.select("term", "kind", "entity").distinct().groupBy("term", "kind").agg(F.count(F.lit(1)).alias("entities")).where(F.col("entities") >= entities)
-    by = Cut(by.join(both, ["term", "kind"]), "near-terms").df
+    # A row's pairs are made distinct inside the row, so all counts are sums that tasks begin, however common the term.
+    pairs = lambda *keys: F.array_distinct(F.transform("near", lambda x: F.struct(*(x[k].alias(k) for k in keys))))
+    with_kind = scanned.select(F.explode(pairs("term", "kind")).alias("x")).groupBy("x.term", "x.kind").agg(F.count(F.lit(1)).alias("both"))
+    one = scanned.select("digest", F.explode(pairs("term", "kind", "entity")).alias("x")).groupBy("x.term", "x.kind", "x.entity")
+    one = Cut(one.agg(F.count(F.lit(1)).alias("both"), (F.min("digest") != F.max("digest")).alias("apart")), "near-entities").df
+    by = one.groupBy("term", "kind").agg(F.count(F.lit(1)).alias("entities")).where(F.col("entities") >= entities)
+    by = by.join(with_kind, ["term", "kind"]).select("term", "kind", F.lit(None).cast("string").alias("entity"), "both")
+    by = Cut(by.unionByName(one.where("apart").select("term", "kind", "entity", "both")), "near-terms").df
     of = document_counts(docs).join(checked_broadcast(by.select("term").distinct()), "term", "left_semi")
-    kinds = scanned.select(F.explode(F.array_distinct(F.transform("base", lambda x: x["kind"]))).alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("of_kind"))
     every = scanned.agg(F.count(F.lit(1)).alias("all"))
-    rows = by.join(of, "term").join(F.broadcast(kinds), "kind").crossJoin(F.broadcast(every))
+    kinds = scanned.select(F.explode(F.array_distinct(F.transform("base", lambda x: x["kind"]))).alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("of_kind"))
+    single = scanned.select(F.explode("entities").alias("x")).groupBy("x.kind", "x.entity").agg(F.count(F.lit(1)).alias("of_kind"))
+    rows = by.where("entity is null").drop("entity").join(F.broadcast(kinds), "kind")
+    rows = rows.unionByName(by.where("entity is not null").join(single, ["kind", "entity"]).drop("entity"))
+    rows = rows.join(of, "term").crossJoin(F.broadcast(every))
     p, q = F.col("both") / F.col("docs"), F.col("of_kind") / F.col("all")
     disclosure = F.when(q >= 1, F.lit(0.0)).otherwise(1 - F.ln(p) / F.ln(q))
-    return rows.select("term", "kind", disclosure.alias("disclosure")).where(F.col("disclosure") >= threshold)
+    return rows.groupBy("term", "kind").agg(F.max(disclosure).alias("disclosure")).where(F.col("disclosure") >= threshold)
 
 
 def marked(docs: DataFrame, terms: DataFrame) -> DataFrame:

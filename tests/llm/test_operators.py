@@ -183,6 +183,17 @@ def test_a_revealing_term_is_marked_wherever_it_occurs(spark, monkeypatch):
     assert "otmailer" not in clean
 
 
+def test_a_term_that_reveals_one_entity(spark):
+    rng = random.Random(10)
+    rows = [(i, f"{words(rng, 20)} Dorothea jd@mail.example.com {words(rng, 20)}", "s") for i in range(4)]
+    rows += [(50 + i, f"Copied u1@mail.example.com {words(random.Random(1), 20)}", "s") for i in range(4)]
+    rows += [(100 + i, f"{words(rng, 20)} p{i}@other.example.com {words(rng, 20)}", "s") for i in range(60)] + [(200, "Dorothea again", "s")]
+    rows += [(300 + i, words(rng, 20), "s") for i in range(100)]
+    got = {r["doc_id"]: r["spans"] for r in personal_data.detect(documents(spark, rows)).collect()}
+    assert got[200] == "term:0:8" and all(got[i].count("term") == 1 for i in range(4))
+    assert not any("term" in got[i] for i in (*range(50, 54), *range(100, 160)))
+
+
 def test_quality_on_held_out_rows(spark):
     rng = random.Random(6)
     rows = [(i, words(rng, 50) if i % 2 else words(rng, 50).upper().replace(" ", "!! "), "s") for i in range(400)] + [(None, None, None), (999, "", "s")]
