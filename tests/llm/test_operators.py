@@ -343,6 +343,16 @@ def test_rank_matches_power_iteration(spark):
     assert got == pytest.approx({h: x for h, x in ranks.items() if h in got})
 
 
+def test_rank_goes_on_until_it_converges(spark):
+    edges = [(f"h{i}", f"h{i + 1}", 1) for i in range(15)] + [("h15", "h14", 1)]
+    got = {r["host"]: r["score"] for r in url_filter.rank(spark.createDataFrame(edges, "src string, dst string, n long"), spark.createDataFrame([("h0", 1)], "host string, weight long")).collect()}
+    m = np.zeros((16, 16))
+    for s, d, _ in edges:
+        m[int(d[1:]), int(s[1:])] = 0.85
+    want = np.linalg.solve(np.eye(16) - m, np.eye(16)[0] * 0.15)
+    assert len(got) == 16 and [got[f"h{i}"] for i in range(16)] == pytest.approx(want.tolist(), abs=1e-5)
+
+
 def test_bucketed_hashes_tell_words_apart():
     from lettings.llm._shared import hashed_words
 
