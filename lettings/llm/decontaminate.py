@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import column, map_batches
+from ._shared import Cut, column, map_batches
 
 TERM = re.compile(r"\w+")
 K1, B = 1.2, 0.75
@@ -69,22 +69,40 @@ class Item:
         return True
 
 
+def pieces_of(text: str | None) -> list[list[str]]:
+    terms = terms_of(text or "")
+    n = math.ceil(len(terms) / LONGEST)
+    return [terms[i * len(terms) // n : (i + 1) * len(terms) // n] for i in range(n)]
+
+
+@dataclass
+class Statistics:
+    """Of the pieces of the whole benchmark: their number, words and longest, and by term how many have it."""
+
+    pieces: int
+    words: int
+    longest: int
+    df: dict[str, int]
+
+    @staticmethod
+    def of(pieces: list[list[str]]) -> Statistics:
+        return Statistics(len(pieces), sum(map(len, pieces)), max(map(len, pieces), default=0), Counter(t for p in pieces for t in set(p)))
+
+
 class Index:
     """BM25 index of items; those longer than ``LONGEST`` terms are indexed in pieces."""
 
-    def __init__(self, items: list[tuple[int | None, str]], answer_share: float = 0.4):
+    def __init__(self, items: list[tuple[int | None, str]], answer_share: float = 0.4, over: Statistics | None = None):
         self.pieces: list[Item] = []
         for item_id, text in sorted(items, key=lambda x: (x[0] is None, x[0] or 0, x[1])):
-            terms = terms_of(text or "")
-            n = math.ceil(len(terms) / LONGEST)
-            self.pieces += [Item(item_id, terms[i * len(terms) // n : (i + 1) * len(terms) // n]) for i in range(n)]
+            self.pieces += [Item(item_id, terms) for terms in pieces_of(text)]
         for p in self.pieces:
             p.split(answer_share)
-        self.window = 2 * max([16, *(len(p.terms) for p in self.pieces)])
-        df = Counter(t for p in self.pieces for t in set(p.terms))
-        n, mean = len(self.pieces), sum(len(p.terms) for p in self.pieces) / max(1, len(self.pieces))
+        over = over or Statistics.of([p.terms for p in self.pieces])
+        self.window = 2 * max(16, over.longest)
+        n, mean, df = over.pieces, over.words / max(1, over.pieces), over.df
         idf = {t: math.log(1 + (n - d + 0.5) / (d + 0.5)) for t, d in df.items()}
-        self.shards = [self.shard(self.pieces[a : a + SHARD], idf, mean) for a in range(0, n, SHARD)]
+        self.shards = [self.shard(self.pieces[a : a + SHARD], idf, mean) for a in range(0, len(self.pieces), SHARD)]
 
     @staticmethod
     def shard(pieces: list[Item], idf: dict[str, float], mean: float) -> Shard:
@@ -153,7 +171,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, share: f
     Null and empty texts have no hits, nor have null or empty items; an item of one term has a
     question alone. Repeated rows have hits each, repeated items one per item_id at most in each
     round of characters. Null ids are kept as null. If the items are more than one pass takes, the
-    documents are read once per pass, each with its own share of the items. Empty tables give an
+    documents are read once per pass, each with its own share of the items and the statistics of all. Empty tables give an
     empty result; other columns are ignored.
     """
     found = matched(docs.select("doc_id", "text"), benchmark, threshold, share, gram_share)
@@ -169,10 +187,33 @@ def passes(benchmark: DataFrame) -> list[list[tuple[int | None, str]]]:
     return [[(r[0], r[1]) for r in items.where(part == k).collect()] for k in range(n)]
 
 
+def counted(benchmark: DataFrame) -> DataFrame:
+    """Per ``term`` of all items the ``pieces`` with it; the null term has their number, ``words`` and ``longest``."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s = Statistics.of([p for text in column(batch, "text") for p in pieces_of(text)])
+            rows = [(None, s.pieces, s.words, s.longest), *((t, n, 0, 0) for t, n in s.df.items())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), *[pa.int64()] * 3), strict=True)], names=["term", "pieces", "words", "longest"])
+
+    rows = map_batches(benchmark.select("text"), count, "term string, pieces long, words long, longest long")
+    return Cut(rows.groupBy("term").agg(F.sum("pieces").alias("pieces"), F.sum("words").alias("words"), F.max("longest").alias("longest")), "benchmark-terms").df
+
+
+def statistics(counts: DataFrame, items: list[tuple[int | None, str]]) -> Statistics:
+    """Of the whole benchmark, as far as the terms of some items need it."""
+    terms = sorted({t for _, text in items for t in terms_of(text)})
+    every = counts.where("term is null").first()
+    known = counts.join(counts.sparkSession.createDataFrame([(t,) for t in terms], "term string"), "term", "left_semi")
+    return Statistics(every["pieces"], every["words"], every["longest"], {r["term"]: r["pieces"] for r in known.select("term", "pieces").collect()})
+
+
 def matched(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, share: float = 0.75, gram_share: float = 0.5) -> DataFrame:
     """The rows of ``docs`` with ``hits``, the items that are found in each; of another name if there is such a column."""
-    for items in passes(benchmark):
-        docs = _one_pass(docs, Index(items), threshold, share, gram_share)
+    parts = passes(benchmark)
+    counts = counted(benchmark) if len(parts) > 1 else None
+    for items in parts:
+        docs = _one_pass(docs, Index(items, over=statistics(counts, items) if counts else None), threshold, share, gram_share)
     return docs
 
 

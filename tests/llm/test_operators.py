@@ -226,6 +226,18 @@ def test_decontamination(spark):
     assert decontaminate.clean(docs, benchmark.limit(0)).count() == len(rows)
 
 
+def test_passes_share_the_statistics_of_all_items(spark, monkeypatch):
+    rng = random.Random(11)
+    items = [(i, words(rng, 10 + i, 200)) for i in range(20)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    docs = documents(spark, [(i, f"{words(rng, 30, 200)} {items[i][1][: -9]} {words(rng, 30, 200)}", "s") for i in range(20)])
+    got = []
+    for chars in (decontaminate.PASS_CHARS, 300):
+        monkeypatch.setattr(decontaminate, "PASS_CHARS", chars)
+        got.append(sorted((r["doc_id"], r["item_id"], round(r["score"], 5), r["word"]) for r in decontaminate.hits(docs, benchmark).collect()))
+    assert got[0] and got[0] == got[1]
+
+
 def test_block_bounds_lose_no_item():
     rng = random.Random(8)
     index = decontaminate.Index([(i, words(rng, 20, 60)) for i in range(50)])
