@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -24,31 +25,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound what one Arrow batch of texts takes in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is set."""
+    """The folder that driver and executors share. Where none is set, a new one on this machine, if all runs here; else an error."""
     if not (path := spark.conf.get("spark.checkpoint.dir", None)):
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="lettings-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
-#: Written tables of the steps that are under way, innermost last.
-UNDER_WAY: list[list[Cut]] = []
+#: Written tables of the steps that are under way in this thread, innermost last.
+UNDER_WAY: ContextVar[tuple[list[Cut], ...]] = ContextVar("UNDER_WAY", default=())
 
 
 @contextmanager
 def scratch() -> Iterator[None]:
     """Tables that are written inside are deleted at the end, but for those to keep."""
-    UNDER_WAY.append([])
+    token = UNDER_WAY.set((*UNDER_WAY.get(), []))
     try:
         yield
     finally:
-        for cut in UNDER_WAY.pop():
+        cuts = UNDER_WAY.get()[-1]
+        UNDER_WAY.reset(token)
+        for cut in cuts:
             cut.drop()
 
 
@@ -66,8 +66,8 @@ class Cut:
             writer = writer.option(key.replace("__", "."), value)
         writer.parquet(self.path)
         self.df = spark.read.schema(df.schema).parquet(self.path)
-        if UNDER_WAY[: len(UNDER_WAY) - keep]:
-            UNDER_WAY[-1 - keep].append(self)
+        if (steps := UNDER_WAY.get())[: len(UNDER_WAY.get()) - keep]:
+            steps[-1 - keep].append(self)
 
     def count(self) -> int:
         return self.df.count()
@@ -144,5 +144,11 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    small_batches(df.sparkSession)
-    return df.mapInArrow(f, schema)
+    """``mapInArrow`` with batches of bounded rows: what a function makes of one is bounded, whatever the session's setting."""
+
+    def few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, BATCH_ROWS):
+                yield batch.slice(i, BATCH_ROWS)
+
+    return df.mapInArrow(lambda batches: f(few(batches)), schema)

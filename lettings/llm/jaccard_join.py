@@ -1,17 +1,20 @@
 """Documents linked by the Jaccard similarity of their word shingles, with a token-group matrix.
 
-1. Equal shingle sets are one node. Nodes that share two min-hashes of a band are compared with the
-   band's least node: a star, never all pairs. Verified links make the first groups of similar nodes.
-2. The token-group matrix: per shingle of a node's prefix (the rarest, of which two similar nodes must
-   share one), the groups that hold it. Frequent shingles come last in the order, so they are in
-   a prefix only where a document has little else. Shingles of one group alone are dropped; nodes
-   of one group need no comparison.
-3. For each pair of groups that share a prefix shingle, with sizes and positions that allow enough
-   overlap, each node's overlap with the other group's union of prefixes, and what lies beyond both
-   prefixes, bound its overlap with any member; only where that reaches the threshold are the
-   groups opened and their whole sets compared.
-
-So every link between different groups is found: step 2 is exact whatever step 1 has missed.
+1. Texts are shingled once; sets are kept by node, which is one for equal sets. Counts of all shingles, by
+   hash slot, put rare ones first in one order for all.
+2. Nodes that share min-hashes with a head, and are like it by all of them, are a group around that
+   head; smaller groups are left as single nodes. A unit is a group or a single node.
+3. The token-group matrix: per shingle of a node's prefix (its rarest, of which two similar nodes must share
+   one), the units that hold it. Shingles of one unit alone are dropped, and equal lists of units are one row
+   with a count. So the matrix gives every pair of units with a common prefix shingle, and the number
+   of them: the overlap of the two unions of prefixes.
+4. That overlap, and what can lie beyond the prefixes, bound the overlap of any two members. Only
+   pairs of units that reach the threshold are opened, and their whole sets compared, by blocks of members.
+5. Inside a group each block is compared with itself and the first one; what that links needs no
+   other comparison, and the blocks of what is left are compared with the others.
+
+So every link between different sets is found, or both are in one component already: steps 3 to 5 are
+exact whatever groups step 2 makes.
 """
 
 from __future__ import annotations
@@ -26,19 +29,21 @@ from pyspark.sql import functions as F
 from ._shared import Cut, checked_broadcast, hashed_words, map_batches, mixed, scratch
 from .components import components
 
-SHINGLE, BANDS = 5, 6
-#: Rounds of stars; each has other heads, and compares only what is not linked yet.
-ROUNDS = 2
+SHINGLE, HASHES = 5, 12
 #: Min-hashes of each band: pairs of them, then fours, whose members are more alike.
 JOINED = ((0, 1), (2, 3), (4, 5), (6, 7), (8, 9), (10, 11), (0, 3, 6, 9), (1, 4, 7, 10), (2, 5, 8, 11), (0, 5, 7, 8), (1, 3, 8, 10), (2, 4, 9, 11))
-#: A shingle in more prefixes than this is frequent; members of a part of a group that is opened at once.
-FREQUENT, PART = 12, 64
-#: Bits of the maps of frequent shingles, and of shingles seen twice, by hash. Their sizes do not grow; false
-#: hits only change the order, or let a shingle of one node through to be dropped later.
-MAP_BITS, SEEN_BITS = 24, 27
-#: Shingles in a range that one task counts; late ones' keys have the highest bit.
-RANGE_SHINGLES, LATE = 4_000_000, np.uint64(1 << 63)
-MULTIPLIERS = mixed(np.arange(1, 2 * BANDS + 1, dtype=np.uint64)) | np.uint64(1)
+#: Min-hashes that a node has in common with its group's head; members of the largest group that is left as single nodes.
+LIKE, SMALL = 6, 8
+#: Members of a block that is opened at once, and shingles of them, about.
+PART, PART_SHINGLES = 64, 100_000
+#: A shingle of more units than this is not listed; pairs that only such shingles give are found by position.
+HOT = 400
+#: Bits of the slots in which shingles are counted, and of the map of shingles that two units have. Their sizes do
+#: not grow; what falls together changes the order, or lets through a shingle of one unit to be dropped later.
+COUNT_BITS, SEEN_BITS, RANGE_BITS = 26, 28, 10
+#: Shingles that a task gathers before it passes on their counts.
+GATHERED = 4_000_000
+MULTIPLIERS = mixed(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1)
 WEIGHTS = mixed(np.arange(100, 100 + SHINGLE, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -67,306 +72,387 @@ def signature(tokens: np.ndarray) -> int:
     return int(mixed(sums[0] ^ (sums[1] * np.uint64(2 * len(tokens) + 1))).view(np.int64)[0])
 
 
-def slots(keys: np.ndarray, bits: int) -> np.ndarray:
-    return (keys & ~LATE) >> np.uint64(63 - bits)
+def prefix_length(n: int, share: int) -> int:
+    """How many first shingles two sets of ``share`` percent similarity must share one of."""
+    return n + share * -n // 100 + 1 if n else 0
 
 
-def marked(bitmap: np.ndarray, slot: np.ndarray) -> np.ndarray:
-    return (bitmap[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
+def lists_of(rows: list[np.ndarray], kind: type) -> pa.ListArray:
+    flat = np.concatenate(rows) if rows else np.zeros(0, kind)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]).astype(np.int32)), pa.array(flat.astype(kind)))
 
 
-def prefix(tokens: np.ndarray, share: int, frequent: np.ndarray | None = None) -> np.ndarray:
-    """The keys of the first shingles in the order, of which two sets of ``share`` percent similarity share one.
+def packed(slots: np.ndarray) -> bytes:
+    """Sorted numbers as steps of a byte each; 255 is a step after which none stands."""
+    steps = np.diff(slots.astype(np.int64), prepend=0)
+    skips = steps // 255
+    out = np.full(int(skips.sum()) + len(steps), 255, np.uint8)
+    out[np.cumsum(skips + 1) - 1] = steps % 255
+    return out.tobytes()
 
-    A key is the hash, halved, with the highest bit set for frequent shingles: keys sort in the order.
-    """
-    n = len(tokens)
-    keys = tokens >> np.uint64(1)
-    if frequent is not None:
-        keys = np.where(marked(frequent, slots(keys, MAP_BITS)), keys | LATE, keys)
-        keys.sort()
-    return keys[: n + share * -n // 100 + 1 if n else 0]
 
+def unpacked(data: bytes) -> np.ndarray:
+    steps = np.frombuffer(data, np.uint8)
+    return np.cumsum(steps, dtype=np.int64)[steps != 255]
 
-def similar(a: np.ndarray, b: np.ndarray, share: int) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= share * (len(a) + len(b) - both)
 
+SET_SCHEMA = "doc_id long, text_key long, n long, node long, bands array<long>, sketch array<int>, tokens binary, range int, slots binary"
 
-def texts_of(docs: DataFrame) -> DataFrame:
-    """Rows with the key that, with doc_id, finds a row again."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
 
+def scanned(docs: DataFrame) -> DataFrame:
+    """Per row its set: number of shingles, node, bands of min-hashes, sketch and tokens; and rows with a ``range`` of slots and the shingles counted there."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.int32(), pa.binary()]
+    names = [x.split()[0] for x in SET_SCHEMA.split(", ")]
 
-def scanned(docs: DataFrame, share: int) -> DataFrame:
-    """Per row: number of shingles, node, min-hash bands and prefix."""
+    def counts(held: list[np.ndarray]) -> pa.RecordBatch:
+        slots = np.sort((np.concatenate(held) >> np.uint64(64 - COUNT_BITS)).astype(np.uint32))
+        inner = COUNT_BITS - RANGE_BITS
+        cuts = np.searchsorted(slots, np.arange((1 << RANGE_BITS) + 1, dtype=np.uint64) << np.uint64(inner))
+        found = [i for i in range(1 << RANGE_BITS) if cuts[i] < cuts[i + 1]]
+        data = [packed(slots[cuts[i] : cuts[i + 1]] & np.uint32((1 << inner) - 1)) for i in found]
+        return pa.RecordBatch.from_arrays([*(pa.nulls(len(found), t) for t in types[:-2]), pa.array(found, types[-2]), pa.array(data, types[-1])], names=names)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
         for batch in batches:
             sets = shingle_sets(batch.column(2))
-            bands = []
-            for s in sets:
-                if len(s):
-                    least = np.array([(s * m).min() for m in MULTIPLIERS])
-                    bands.append(np.array([mixed(least[list(j)] + np.arange(1, len(j) + 1, dtype=np.uint64)).sum() + np.uint64(i) for i, j in enumerate(JOINED)], np.uint64).view(np.int64))
-                else:
-                    bands.append(np.zeros(0, np.int64))
-            first = [prefix(s, share).view(np.int64) for s in sets]
-            lists = lambda rows: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]).astype(np.int32)), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64)))
-            n = pa.array([len(s) for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), n, pa.array([signature(s) for s in sets], pa.int64()), lists(bands), lists(first)], names=["doc_id", "text_key", "n", "node", "bands", "prefix"])
+            least = [np.array([(s * m).min() for m in MULTIPLIERS]) if len(s) else np.zeros(0, np.uint64) for s in sets]
+            bands = [np.array([mixed(x[list(j)] + np.arange(1, len(j) + 1, dtype=np.uint64)).sum() + np.uint64(i) for i, j in enumerate(JOINED)], np.uint64).view(np.int64) if len(x) else np.zeros(0, np.int64) for x in least]
+            sketch = lists_of([(x >> np.uint64(33)).astype(np.int32) for x in least], np.int32)
+            own = [pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) for s in sets], pa.int64()), lists_of(bands, np.int64), sketch, pa.array([s.tobytes() for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *own, pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())], names=names)
+            held += sets
+            if sum(map(len, held)) > GATHERED:
+                yield counts(held)
+                held = []
+        if any(map(len, held)):
+            yield counts(held)
+
+    return map_batches(rows, scan, SET_SCHEMA)
+
+
+def by_range(rows: DataFrame, kind: object, size: int) -> np.ndarray:
+    """Bytes of all ranges in order, ``size`` of each: what ``kind()`` objects make of the rows (range, slots) added to them. A task holds one range."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, state = None, None
+        for batch in batches:
+            for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if k != at:
+                    if state is not None:
+                        yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([state.out()], pa.binary())], names=["range", "data"])
+                    at, state = k, kind()
+                state.add(data)
+        if state is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([state.out()], pa.binary())], names=["range", "data"])
+
+    found = map_batches(rows.repartition(n, "range").sortWithinPartitions("range"), reduce, "range int, data binary").toArrow()
+    out = np.zeros(size << RANGE_BITS, np.uint8)
+    for k, x in zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True):
+        out[k * size : (k + 1) * size] = np.frombuffer(x, np.uint8)
+    return out
 
-    return map_batches(texts_of(docs), scan, "doc_id long, text_key long, n long, node long, bands array<long>, prefix array<long>")
 
+class Frequency:
+    """Of the slots of a range: how often each occurs, by powers of two over what chance gives."""
 
-def picked(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The text of each of the nodes (doc_id, text_key, node and more)."""
-    few = checked_broadcast(nodes.withColumnRenamed("doc_id", "_id").withColumnRenamed("text_key", "_key"))
-    rows = texts_of(docs)
-    found = rows.join(few, (rows["text_key"] == few["_key"]) & rows["doc_id"].eqNullSafe(few["_id"]))
-    return found.drop("_id", "_key").dropDuplicates(["node"])
+    def __init__(self) -> None:
+        self.counts = np.zeros(1 << (COUNT_BITS - RANGE_BITS), np.int64)
 
+    def add(self, data: bytes) -> None:
+        np.add.at(self.counts, unpacked(data), 1)
 
-def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``node``, ``part`` and ``tokens`` (bytes of sorted hashes) of nodes (doc_id, text_key, node, part)."""
+    def out(self) -> bytes:
+        mean = self.counts.mean()
+        level = np.ceil(np.log2(np.maximum(self.counts / (mean + 3 * mean**0.5 + 2), 0.5)) + 1e-9).clip(0, 7).astype(np.uint8)
+        return (level[::2] | level[1::2] << 4).tobytes()
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([s.tobytes() for s in shingle_sets(batch.column(2))], pa.binary())], names=["node", "part", "tokens"])
-
-    return map_batches(picked(docs, nodes).select("node", "part", "text"), make, "node long, part long, tokens binary")
-
-
-def star_links(docs: DataFrame, nodes: DataFrame, share: int) -> DataFrame:
-    """Verified links (a, b) between a node and the head of one of its bands, in rounds with other heads."""
-    links = None
-    for k in range(ROUNDS):
-        with scratch():
-            more = _star_links(docs, nodes, share, links, k)
-        links = more if links is None else links.unionByName(more)
-    return links
-
-
-def _star_links(docs: DataFrame, nodes: DataFrame, share: int, links: DataFrame | None, k: int) -> DataFrame:
-    if links is None:
-        nodes = nodes.withColumn("root", F.col("node"))
-    else:
-        roots = checked_broadcast(Cut(components(links), "roots").df.select(F.col("node").alias("_n"), F.col("root").alias("_root")))
-        nodes = nodes.join(roots, F.col("node") == F.col("_n"), "left").withColumn("root", F.coalesce("_root", "node")).drop("_n", "_root")
-    keys = nodes.select("node", "n", "root", F.explode("bands").alias("band"))
-    at = F.struct(F.xxhash64(F.lit(k), "node").alias("order"), "node", "n", "root")
-    heads = keys.groupBy("band").agg(F.min(at).alias("head"), F.count(F.lit(1)).alias("c"), F.min("root").alias("x"), F.max("root").alias("y")).where("c > 1 and x <> y").select("band", "head")
-    pairs = keys.join(heads, "band").where("root <> head.root").where((F.least("n", "head.n") * 100 >= F.greatest("n", "head.n") * share))
-    pairs = Cut(pairs.select(F.col("node").alias("a"), F.col("head.node").alias("b")).distinct(), "pairs").df
-    used = pairs.select(F.explode(F.array("a", "b")).alias("_used")).distinct()
-    rows = nodes.join(used, F.col("node") == F.col("_used"), "left_semi").select("doc_id", "text_key", "node", F.lit(0).cast("long").alias("part"))
-    sets = Cut(sets_of(docs, rows), "sets").df
-    one = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a")
-    two = one.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", "x", "y")
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = [similar(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), share) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return Cut(map_batches(two, check, "a long, b long"), "links", keep=True).df
+class Shared:
+    """Of the slots of a range: whether two units have a shingle there."""
 
+    def __init__(self) -> None:
+        self.first, self.twice = np.zeros(1 << (SEEN_BITS - RANGE_BITS), np.uint64), np.zeros(1 << (SEEN_BITS - RANGE_BITS), bool)
 
-def seen_twice(nodes: DataFrame) -> np.ndarray:
-    """A bit for each hash slot that two prefixes have: ranges of slots are counted apart, each of bounded size."""
-    total = nodes.agg(F.sum(F.size("prefix").cast("long"))).first()[0] or 0
-    bits = min(17, max(5, int(total // RANGE_SHINGLES).bit_length() + 1))
-    inner = SEEN_BITS - bits
+    def add(self, data: bytes) -> None:
+        bits = np.uint64(64 - SEEN_BITS + RANGE_BITS)
+        both = np.unique(np.frombuffer(data, np.uint64))
+        slot, unit = (both >> bits).astype(np.int64), (both & ((np.uint64(1) << bits) - np.uint64(1))) + np.uint64(1)
+        again = np.append(slot[1:] == slot[:-1], False)
+        self.twice[slot[again]] = True
+        self.twice[slot[(self.first[slot] > 0) & (self.first[slot] != unit)]] = True
+        self.first[slot] = unit
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[np.ndarray] = []
+    def out(self) -> bytes:
+        return np.packbits(self.twice, bitorder="little").tobytes()
 
-        def out() -> pa.RecordBatch:
-            slot, n = np.unique(np.concatenate([np.zeros(0, np.uint32), *parts]), return_counts=True)
-            slot = np.repeat(slot, np.minimum(n, 2))
-            cuts = np.searchsorted(slot, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(inner))
-            kept = [i for i in range(1 << bits) if cuts[i] < cuts[i + 1]]
-            packed = [(slot[cuts[i] : cuts[i + 1]] & np.uint32((1 << inner) - 1)).astype(np.uint32).tobytes() for i in kept]
-            return pa.RecordBatch.from_arrays([pa.array(kept, pa.int32()), pa.array(packed, pa.binary())], names=["range", "slots"])
 
-        for batch in batches:
-            parts.append(slots(np.asarray(batch.column(0).flatten()).view(np.uint64), SEEN_BITS).astype(np.uint32))
-            if sum(map(len, parts)) > RANGE_SHINGLES:
-                yield out()
-                parts.clear()
-        yield out()
+def keys_of(tokens: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """The shingles as numbers in the order: level of frequency, then hash. Positive as signed numbers too."""
+    slot = (tokens >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
+    level = levels[slot >> 1] >> ((slot & 1) * 4).astype(np.uint8) & 15
+    keys = level.astype(np.uint64) << np.uint64(60) | tokens >> np.uint64(4)
+    keys.sort()
+    return keys
 
-    def count(group: pa.Table) -> pa.Table:
-        slot, n = np.unique(np.concatenate([np.frombuffer(x, np.uint32) for x in group.column("slots").to_pylist()]), return_counts=True)
-        bitmap = np.zeros(1 << inner, bool)
-        bitmap[slot[n > 1]] = True
-        return pa.table({"range": group.column("range")[:1], "bits": pa.array([np.packbits(bitmap, bitorder="little").tobytes()], pa.binary())})
 
-    found = map_batches(nodes.select("prefix"), deal, "range int, slots binary").groupBy("range").applyInArrow(count, "range int, bits binary").toArrow()
-    bitmap = np.zeros(1 << (SEEN_BITS - 3), np.uint8)
-    size = 1 << (inner - 3)
-    for i, x in zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True):
-        bitmap[i * size : (i + 1) * size] = np.frombuffer(x, np.uint8)
-    return bitmap
+def groups_of(nodes: DataFrame) -> DataFrame:
+    """``node``, ``group`` and ``size``: nodes that are in a group of more than ``SMALL``."""
+    order = lambda c: F.struct(F.xxhash64(c).alias("order"), F.col(c).alias("node"))
+    keys = nodes.select("node", F.explode("bands").alias("band"))
+    heads = keys.groupBy("band").agg(F.min(order("node")).alias("head"), F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("band").alias("_band"), F.col("head.node").alias("head"))
+    heads = checked_broadcast(Cut(heads, "heads").df)
+    pairs = keys.join(heads, F.col("band") == F.col("_band")).where("node <> head").select("node", "head").distinct()
+    sketches = nodes.select(F.col("node").alias("_n"), "sketch")
+    pairs = pairs.join(sketches.withColumnRenamed("sketch", "x"), F.col("node") == F.col("_n")).drop("_n")
+    pairs = pairs.join(sketches.withColumnRenamed("sketch", "y"), F.col("head") == F.col("_n")).drop("_n")
+    alike = pairs.where(F.size(F.filter(F.zip_with("x", "y", lambda x, y: x == y), lambda x: x)) >= LIKE)
+    # Each node goes to the first, in one order for all, of the heads that it is like; a head may be its own.
+    choices = alike.select("node", F.explode(F.array("node", "head")).alias("head")).unionByName(alike.select(F.col("head").alias("node"), "head"))
+    chosen = Cut(choices.groupBy("node").agg(F.min(order("head"))["node"].alias("group")), "chosen").df
+    sizes = chosen.groupBy("group").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > SMALL).withColumnRenamed("group", "_g")
+    return Cut(chosen.join(sizes, F.col("group") == F.col("_g")).select("node", "group", "size"), "groups").df
 
 
-def postings(nodes: DataFrame) -> Cut:
-    """A row for each shingle of each prefix that another has: token, and ``at``: group, size of the node, position."""
-    shared = nodes.sparkSession.sparkContext.broadcast(seen_twice(nodes))
+def prefixes(sets: DataFrame, groups: DataFrame, levels: np.ndarray, share: int) -> DataFrame:
+    """Per set: node, unit, whether that is the node alone, n, last key of the prefix and keys."""
+    shared = sets.sparkSession.sparkContext.broadcast(levels)
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(2)
-            keys, count = np.asarray(lists.flatten()).view(np.uint64), np.diff(np.asarray(lists.offsets))
-            row = np.repeat(np.arange(len(count)), count)
-            pos = np.arange(len(keys)) - np.repeat(np.cumsum(count) - count, count)
-            ok = marked(shared.value, slots(keys, SEEN_BITS))
-            of = pa.array(row[ok])
-            yield pa.RecordBatch.from_arrays([pa.array(keys[ok].view(np.int64)), batch.column(0).take(of), batch.column(1).take(of), pa.array(pos[ok].astype(np.int64))], names=["token", "group", "n", "pos"])
-
-    return Cut(map_batches(nodes.select("group", "n", "prefix"), keep, "token long, group long, n long, pos long"), "postings")
+            own = [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
+            keys = [keys_of(s, shared.value)[: prefix_length(len(s), share)].view(np.int64) for s in own]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in own], pa.int64()), pa.array([k[-1] for k in keys], pa.int64()), lists_of(keys, np.int64)], names=["node", "n", "last", "keys"])
 
+    rows = map_batches(sets.select("node", "tokens"), cut, "node long, n long, last long, keys array<long>")
+    few = checked_broadcast(groups.select(F.col("node").alias("_n"), "group"))
+    rows = rows.join(few, F.col("node") == F.col("_n"), "left")
+    return Cut(rows.select("node", F.coalesce("group", "node").alias("unit"), F.col("group").isNull().alias("single"), "n", "last", "keys"), "prefixes").df
 
-AT = ("group", "n", "pos")
 
+def seen_by_two(rows: DataFrame) -> np.ndarray:
+    """A bit for each hash slot with prefix shingles of two units."""
 
-def able(a: Column, b: Column, share: int) -> Column:
-    """Whether two nodes that first share a shingle at these positions can have enough in common."""
-    overlap = 1 + F.least(a["n"] - a["pos"] - 1, b["n"] - b["pos"] - 1)
-    sized = F.least(a["n"], b["n"]) * 100 >= F.greatest(a["n"], b["n"]) * share
-    return sized & (overlap * (100 + share) >= (a["n"] + b["n"]) * share)
-
-
-def shared_tokens(rows: DataFrame) -> DataFrame:
-    """The matrix's shingles of more than one group: token, first and last posting, and number of postings."""
-    at = F.struct(*AT)
-    rows = rows.groupBy("token").agg(F.min(at).alias("a"), F.max(at).alias("b"), F.count(F.lit(1)).alias("c"))
-    return Cut(rows.where("a.group <> b.group"), "tokens").df
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        bits = np.uint64(64 - SEEN_BITS + RANGE_BITS)
 
+        def out() -> pa.RecordBatch:
+            slot, unit = np.concatenate(held, axis=1)
+            unit = mixed(unit) & ((np.uint64(1) << bits) - np.uint64(1))
+            both = slot << bits | unit
+            ranges = slot >> np.uint64(SEEN_BITS - RANGE_BITS)
+            order = np.argsort(ranges, kind="stable")
+            both, cuts = both[order], np.searchsorted(ranges[order], np.arange((1 << RANGE_BITS) + 1, dtype=np.uint64))
+            found = [i for i in range(1 << RANGE_BITS) if cuts[i] < cuts[i + 1]]
+            return pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array([np.unique(both[cuts[i] : cuts[i + 1]]).tobytes() for i in found], pa.binary())], names=["range", "slots"])
 
-def frequent_map(tokens: DataFrame) -> np.ndarray:
-    """A bit for each hash slot with a frequent shingle: 2 ** MAP_BITS bits, however many there are."""
-    slot = F.shiftrightunsigned(F.col("token").bitwiseAND(F.lit((1 << 63) - 1)), 63 - MAP_BITS)
-    byte = tokens.select(F.shiftright(slot, 3).alias("byte"), F.pow(F.lit(2.0), slot % 8).cast("int").alias("bit"))
-    bits = np.zeros(1 << (MAP_BITS - 3), np.uint8)
-    rows = byte.groupBy("byte").agg(F.bit_or("bit").alias("bits")).toArrow()
-    bits[np.asarray(rows.column("byte"), dtype=np.int64)] = np.asarray(rows.column("bits")).astype(np.uint8)
-    return bits
+        for batch in batches:
+            lists = batch.column(1)
+            units = np.repeat(batch.column(0).to_numpy().view(np.uint64), np.asarray(lists.value_lengths()))
+            held.append(np.stack([slots(np.asarray(lists.flatten())), units]))
+            if sum(x.shape[1] for x in held) > GATHERED // 2:
+                yield out()
+                held.clear()
+        if held:
+            yield out()
 
+    return by_range(map_batches(rows.select("unit", "keys"), deal, "range int, slots binary"), Shared, 1 << (SEEN_BITS - RANGE_BITS - 3))
 
-def reordered(docs: DataFrame, nodes: DataFrame, tokens: DataFrame, share: int) -> DataFrame:
-    """The nodes, with new prefixes for those that have a frequent shingle in theirs."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent_map(tokens))
 
-    def touched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
-        for batch in batches:
-            lists = batch.column(batch.schema.get_field_index("prefix"))
-            hit = np.append(0, np.cumsum(marked(bits, slots(np.asarray(lists.flatten()).view(np.uint64), MAP_BITS)), dtype=np.int64))
-            at = np.asarray(lists.offsets) - lists.offsets[0].as_py()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hit[at[1:]] > hit[at[:-1]])], names=[*batch.schema.names, "touched"])
+def slots(keys: np.ndarray) -> np.ndarray:
+    return mixed(keys.view(np.uint64)) >> np.uint64(64 - SEEN_BITS)
 
-    schema = "doc_id long, text_key long, node long, group long, n long, prefix array<long>"
-    flagged = map_batches(nodes.select("doc_id", "text_key", "node", "group", "n", "prefix"), touched, f"{schema}, touched boolean")
-    names = [x.split()[0] for x in schema.split(", ")]
 
-    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = {c: batch.column(batch.schema.get_field_index(c)) for c in batch.schema.names}
-            new = [prefix(s, share, shared.value).view(np.int64) for s in shingle_sets(at["text"])]
-            at["prefix"] = pa.array([x.tolist() for x in new], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([at[c] for c in names], names=names)
-
-    moved = Cut(flagged.where("touched").select("doc_id", "text_key", "node", "group", "n"), "touched").df
-    rows = picked(docs, moved)
-    return Cut(flagged.where("not touched").drop("touched").unionByName(map_batches(rows.select("doc_id", "text_key", "node", "group", "n", "text"), again, schema)), "nodes").df
-
-
-def candidates(rows: DataFrame, tokens: DataFrame, share: int) -> DataFrame:
-    """Pairs of groups (a < b) that share a prefix shingle in a way that allows enough overlap."""
-    two = tokens.where(F.col("c") == 2).where(able(F.col("a"), F.col("b"), share)).select(F.col("a.group").alias("a"), F.col("b.group").alias("b"))
-    more = tokens.where(F.col("c") > 2).select("token", "c")
-    rows = rows.join(checked_broadcast(more), "token").select("token", "c", F.struct(*AT).alias("at"))
-    lists = rows.where(F.col("c") <= FREQUENT).groupBy("token").agg(F.sort_array(F.collect_list("at")).alias("l"))
-    pairs = lists.select("l", F.posexplode("l").alias("i", "x")).select("x", F.explode(F.expr("slice(l, i + 2, size(l))")).alias("y")).where("x.group <> y.group")
-    few = pairs.where(able(F.col("x"), F.col("y"), share)).select(F.col("x.group").alias("a"), F.col("y.group").alias("b"))
-    # Shingles that are frequent still: their documents have little else. By group, with the range of sizes and
-    # the most that a member can have in common if this is the first shingle that it shares.
-    by = rows.where(F.col("c") > FREQUENT).groupBy("token", F.col("at.group").alias("group")).agg(F.min("at.n").alias("least"), F.max("at.n").alias("most"), F.max(F.col("at.n") - F.col("at.pos")).alias("left"))
-    by = Cut(by, "frequent").df
-    left, right = (by.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("group", "least", "most", "left")]) for s in "ab")
-    many = left.join(right, "token").where("group_a < group_b").where((F.col("most_a") * 100 >= F.col("least_b") * share) & (F.col("most_b") * 100 >= F.col("least_a") * share))
-    many = many.where(F.least("left_a", "left_b") * (100 + share) >= (F.col("least_a") + F.col("least_b")) * share)
-    many = many.select(F.col("group_a").alias("a"), F.col("group_b").alias("b"))
-    return Cut(two.unionByName(few).unionByName(many).distinct(), "candidates").df
-
-
-def members_of(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The nodes of the groups of pairs (a, b), each in a part of its group of bounded size."""
-    used = pairs.select(F.explode(F.array("a", "b")).alias("_used")).distinct()
-    rows = nodes.join(used, F.col("group") == F.col("_used"), "left_semi")
-    counts = rows.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / PART).alias("parts")).withColumnRenamed("group", "_g")
-    return rows.join(counts, F.col("group") == F.col("_g")).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).drop("_g", "parts")
-
-
-def matched(pairs: DataFrame, groups: DataFrame, content: str, test: object) -> DataFrame:
-    """The pairs of groups of which some parts pass a test of their rows' contents."""
-    one = pairs.join(groups.select(F.col("group").alias("a"), F.col(content).alias("x")), "a")
-    two = one.join(groups.select(F.col("group").alias("b"), F.col(content).alias("y")), "b").select("a", "b", "x", "y")
+def postings(rows: DataFrame) -> DataFrame:
+    """The matrix: a row for each shingle and unit; n of a single node, -1 of a group; the least of what lies before the shingle and the most from there on."""
+    seen = rows.sparkSession.sparkContext.broadcast(seen_by_two(rows))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = [test(x.as_py(), y.as_py()) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    return map_batches(two, keep, "a long, b long").distinct()
-
-
-def bounded(x: list[dict], y: list[dict], share: int) -> bool:
-    """Whether a member of x can be similar to one of y, by sizes and prefixes.
-
-    Up to the lower of two prefixes' last keys all keys of both are known; beyond it no more can be
-    shared than the one with fewer has left.
+            lists = batch.column(3)
+            keys, count = np.asarray(lists.flatten()), np.asarray(lists.value_lengths())
+            row = np.repeat(np.arange(len(count)), count)
+            slot = slots(keys)
+            ok = seen.value[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1 == 1
+            of, pos = pa.array(row[ok]), (np.arange(len(keys)) - np.repeat(np.cumsum(count) - count, count))[ok]
+            n = batch.column(2).to_numpy()
+            own = np.where(batch.column(1).to_numpy(zero_copy_only=False), n, -1)[row[ok]]
+            yield pa.RecordBatch.from_arrays([pa.array(keys[ok]), batch.column(0).take(of), pa.array(own), pa.array(n[row[ok]] - pos), pa.array(n[row[ok]])], names=["token", "unit", "n", "left", "size"])
+
+    found = map_batches(rows.select("unit", "single", "n", "keys"), keep, "token long, unit long, n long, left long, size long")
+    return Cut(found.groupBy("token", "unit", "n").agg(F.max("left").alias("left"), F.min("size").alias("least")), "postings").df
+
+
+def unit_pairs(matrix: DataFrame, share: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs of units (a < b) by the matrix: ``both``, the prefix shingles that they share but for hot ones; the pairs that a hot one gives; hot shingles of each unit."""
+    hot = Cut(matrix.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > HOT).select(F.col("token").alias("_hot")), "hot").df
+    few = checked_broadcast(hot)
+    rest = matrix.join(few, F.col("token") == F.col("_hot"), "left_anti")
+    lists = rest.groupBy("token").agg(F.sort_array(F.collect_list(F.struct("unit", "n"))).alias("units")).where(F.size("units") > 1)
+    lists = Cut(lists.groupBy("units").agg(F.count(F.lit(1)).alias("w")), "lists").df
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: dict[tuple[int, int], int] = {}
+            for units, w in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                unit, n = (np.asarray(units.values.field(i)) for i in range(2))
+                able = (np.minimum(n[:, None], n) * 100 >= share * np.maximum(n[:, None], n)) | (n[:, None] < 0) | (n < 0)
+                for i, j in zip(*np.nonzero(np.triu(able, 1)), strict=True):
+                    at = int(unit[i]), int(unit[j])
+                    found[at] = found.get(at, 0) + w
+            columns = [[k[0] for k in found], [k[1] for k in found], list(found.values())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "both"])
+
+    pairs = map_batches(lists, pair, "a long, b long, both long").groupBy("a", "b").agg(F.sum("both").alias("both"))
+    frequent = matrix.join(few, F.col("token") == F.col("_hot")).drop("_hot")
+    x, y = (frequent.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("unit", "n", "left", "least")]) for s in "xy")
+    sized = (F.least("n_x", "n_y") < 0) | (F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * share)
+    # If it is the first that two nodes share, no more than what is left from it on can be in both.
+    able = F.least("left_x", "left_y") * (100 + share) >= (F.col("least_x") + F.col("least_y")) * share
+    many = x.join(y, "token").where(F.col("unit_x") < F.col("unit_y")).where(sized & able).select(F.col("unit_x").alias("a"), F.col("unit_y").alias("b")).distinct()
+    return pairs, many, frequent.groupBy("unit").agg(F.count(F.lit(1)).alias("hot"))
+
+
+def bounded(pairs: DataFrame, many: DataFrame, hot: DataFrame, rows: DataFrame, share: int) -> DataFrame:
+    """The pairs of units of which members may be similar, and whether each is a single node.
+
+    Up to the lower of two prefixes' last keys all shared shingles are counted; beyond it no more
+    can be shared than the one with that last key has left. Of groups the most is taken.
     """
-    theirs = [(d["n"], np.array(d["prefix"], np.int64).view(np.uint64)) for d in y]
-    union = np.unique(np.concatenate([p for _, p in theirs]))
-    for d in x:
-        n, q = d["n"], np.array(d["prefix"], np.int64).view(np.uint64)
-        at = np.minimum(np.searchsorted(union, q), len(union) - 1)
-        if not (shared := int((union[at] == q).sum())):
-            continue
-        for m, p in theirs:
-            if 100 * min(n, m) < share * max(n, m):
-                continue
-            # Only keys of the union can be shared; the exact number is counted where that would do.
-            last = min(q[-1], p[-1])
-            left = min(n - int(np.searchsorted(q, last, "right")), m - int(np.searchsorted(p, last, "right")))
-            need = -(-share * (n + m) // (100 + share))
-            if shared + left >= need and len(np.intersect1d(q, p, assume_unique=True)) + left >= need:
-                return True
-    return False
-
-
-def opened(x: list[bytes], y: list[bytes], share: int) -> bool:
-    """Whether a member of x is similar to one of y."""
-    mine, theirs = ([np.frombuffer(t, np.uint64) for t in side] for side in (x, y))
-    return any(100 * min(len(a), len(b)) >= share * max(len(a), len(b)) and similar(a, b, share) for a in mine for b in theirs)
-
-
-def group_links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, share: int) -> DataFrame:
-    """Pairs of groups with a link between members, from pairs (a, b): bounded by prefixes first, then opened."""
-    with scratch():
-        return _group_links(docs, nodes, pairs, share)
+    units = rows.groupBy("unit").agg(F.first("single").alias("single"), F.min("n").alias("least"), F.max("n").alias("most"), F.max("last").alias("last"))
+    units = Cut(units.join(hot.withColumnRenamed("unit", "_u"), F.col("unit") == F.col("_u"), "left").select(*units.columns, F.coalesce("hot", F.lit(0)).alias("hot")), "units").df
+    a, b = (units.select(*[F.col(c).alias(f"{c}_{s}") for c in units.columns]) for s in "ab")
+    at = pairs.join(a, F.col("a") == F.col("unit_a")).join(b, F.col("b") == F.col("unit_b"))
+    beyond = lambda n: F.ceil(n * share / 100) - 1  # noqa: E731  what a node of n shingles has after its prefix
+    exact = F.when(F.col("last_a") <= F.col("last_b"), beyond(F.col("most_a"))).otherwise(beyond(F.col("most_b")))
+    rest = F.when(F.col("single_a") & F.col("single_b"), exact).otherwise(beyond(F.greatest("most_a", "most_b")))
+    most = F.col("both") + F.least("hot_a", "hot_b") + rest
+    sized = (F.col("most_a") * 100 >= F.col("least_b") * share) & (F.col("most_b") * 100 >= F.col("least_a") * share)
+    kept = at.where(sized & (most * (100 + share) >= (F.col("least_a") + F.col("least_b")) * share)).select("a", "b")
+    kept = kept.unionByName(many).distinct() if not many.isEmpty() else kept
+    single = units.select("unit", "single")
+    kept = kept.join(single, F.col("a") == F.col("unit")).select("a", "b", F.col("single").alias("single_a"))
+    return Cut(kept.join(single, F.col("b") == F.col("unit")).select("a", "b", "single_a", F.col("single").alias("single_b")), "pairs").df
+
+
+def block_links(xs: list[dict], ys: list[dict], share: int, same: bool) -> list[tuple[int, int]]:
+    """Links between members of two blocks, or within one: as many as connect what is linked."""
+    sides = [[np.frombuffer(m["tokens"], np.uint64) for m in side] for side in (xs, ys)]
+    n = [np.array([len(s) for s in side], np.int64) for side in sides]
+    flat = [np.concatenate(side) for side in sides]
+    common = np.intersect1d(*map(np.unique, flat), assume_unique=True)
+    if not len(common):
+        return []
+    at = []
+    for f, k in zip(flat, n, strict=True):
+        i = np.minimum(np.searchsorted(common, f), len(common) - 1)
+        hit = common[i] == f
+        at.append((i[hit], np.repeat(np.arange(len(k)), k)[hit]))
+    overlap = np.zeros((len(xs), len(ys)), np.float32)  # whole numbers under 2^24: exact
+    for first in range(0, len(common), 4096):
+        held = []
+        for (i, owner), k in zip(at, n, strict=True):
+            of = (i >= first) & (i < first + 4096)
+            m = np.zeros((len(k), min(4096, len(common) - first)), np.float32)
+            m[owner[of], i[of] - first] = 1
+            held.append(m)
+        overlap += held[0] @ held[1].T
+    both = overlap.astype(np.int64)
+    ok = 100 * both >= share * (n[0][:, None] + n[1] - both)
+    if same:
+        ok = np.triu(ok, 1)
+    of = {}
+
+    def root(v: int) -> int:
+        while of.setdefault(v, v) != v:
+            of[v] = v = of[of[v]]
+        return v
+
+    out = []
+    for i, j in zip(*np.nonzero(ok), strict=True):
+        a, b = xs[i]["node"], ys[j]["node"]
+        if root(a) != root(b):
+            of[root(a)] = root(b)
+            out.append((a, b))
+    return out
 
 
-def _group_links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, share: int) -> DataFrame:
-    rows = members_of(nodes, pairs).select("group", "part", F.struct("n", "prefix").alias("row"))
-    matrix = Cut(rows.groupBy("group", "part").agg(F.collect_list("row").alias("rows")), "matrix").df
-    pairs = Cut(matched(pairs, matrix, "rows", lambda x, y: bounded(x, y, share)), "bounded").df
-    members = Cut(members_of(nodes, pairs).select("doc_id", "text_key", "node", "group", "part"), "members").df
-    sets = sets_of(docs, members.select("doc_id", "text_key", "node", "part"))
-    sets = sets.join(members.select("node", "group"), "node").groupBy("group", "part").agg(F.collect_list("tokens").alias("sets"))
-    return Cut(matched(pairs, Cut(sets, "groups").df, "sets", lambda x, y: opened(x, y, share)), "group-links", keep=True).df
+def opened(sets: DataFrame, blocks: DataFrame, pairs: DataFrame, share: int) -> DataFrame:
+    """Links (a, b) between the nodes of blocks (block, node), for each of the pairs (x, y) of blocks."""
+    with scratch():
+        blocks, pairs = Cut(blocks.distinct(), "blocks").df, Cut(pairs.distinct(), "block-pairs").df
+        used = checked_broadcast(blocks.select(F.col("node").alias("_used")).distinct())
+        tokens = sets.select("node", "tokens").join(used, F.col("node") == F.col("_used"), "left_semi").groupBy("node").agg(F.first("tokens").alias("tokens"))
+        members = blocks.select("block", F.col("node").alias("_n")).join(tokens, F.col("_n") == F.col("node")).groupBy("block").agg(F.collect_list(F.struct("node", "tokens")).alias("members"))
+        members = Cut(members, "members").df
+        two = pairs.join(members.select(F.col("block").alias("x"), F.col("members").alias("xs")), "x")
+        two = two.join(members.select(F.col("block").alias("y"), F.col("members").alias("ys")), "y").select("x", "y", "xs", "ys")
+
+        def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = []
+                for i in range(batch.num_rows):
+                    x, y, xs, ys = (batch.column(k)[i].as_py() for k in range(4))
+                    found += block_links(xs, ys, share, x == y)
+                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(2)], names=["a", "b"])
+
+        return Cut(map_batches(two, check, "a long, b long"), "links", keep=True).df
+
+
+def parts(size: Column, shingles: Column) -> Column:
+    return F.greatest(F.ceil(size / PART), F.ceil(shingles / PART_SHINGLES), F.lit(1))
+
+
+def group_blocks(groups: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The groups' nodes with a ``block`` each, the number of it and of the group's blocks."""
+    rows = groups.join(nodes.select(F.col("node").alias("_n"), "n"), F.col("node") == F.col("_n")).drop("_n")
+    totals = rows.groupBy("group").agg(parts(F.count(F.lit(1)), F.sum("n")).alias("parts")).withColumnRenamed("group", "_g")
+    rows = rows.join(totals, F.col("group") == F.col("_g")).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    return Cut(rows.select("node", "group", "n", "parts", "part", F.xxhash64("group", "part").alias("block")), "group-blocks").df
+
+
+def blocks_by_root(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """Blocks anew for groups of several: those with members of one root, ``solid``, and those of what is linked with few."""
+    at = rows.join(roots.select(F.col("node").alias("_n"), "root"), F.col("node") == F.col("_n"), "left").withColumn("root", F.coalesce("root", "node")).drop("_n")
+    sizes = at.groupBy("group", "root").agg(F.count(F.lit(1)).alias("_c"), F.sum("n").alias("_s")).withColumnRenamed("group", "_g").withColumnRenamed("root", "_r")
+    at = at.join(sizes, (F.col("group") == F.col("_g")) & (F.col("root") == F.col("_r"))).drop("_g", "_r")
+    at = at.withColumn("solid", F.when((F.col("_c") > PART) | (F.col("_s") > PART_SHINGLES), F.col("root")))
+    totals = at.groupBy("group", "solid").agg(parts(F.count(F.lit(1)), F.sum("n")).alias("_parts")).withColumnRenamed("group", "_g").withColumnRenamed("solid", "_r")
+    at = at.join(totals, (F.col("group") == F.col("_g")) & F.col("solid").eqNullSafe(F.col("_r")))
+    key = F.when(F.col("solid").isNull(), F.xxhash64("root")).otherwise(F.xxhash64("node"))
+    return Cut(at.select("node", "group", "parts", "solid", F.xxhash64("group", "solid", F.pmod(key, F.col("_parts")), F.lit("again")).alias("block")), "blocks-by-root").df
+
+
+def verified(sets: DataFrame, nodes: DataFrame, groups: DataFrame, pairs: DataFrame, share: int) -> DataFrame:
+    """Links that connect all similar nodes: inside groups, and between the units of pairs."""
+    blocks = group_blocks(groups, nodes)
+    b = blocks.select("group", "block", "part").distinct()
+    first = b.where("part = 0").select(F.col("group").alias("_g"), F.col("block").alias("y"))
+    inside = b.select(F.col("block").alias("x"), F.col("block").alias("y")).unionByName(b.join(first, F.col("group") == F.col("_g")).select(F.col("block").alias("x"), "y"))
+    links = opened(sets, blocks.select("block", "node"), inside, share)
+    roots = Cut(components(links), "roots").df
+    blocks = blocks_by_root(blocks, roots)
+    b = Cut(blocks.select("group", "block", "solid", "parts").distinct(), "blocks-of-groups").df
+    x, y = (b.where("parts > 1").select(F.col("group").alias(f"g{s}"), F.col("block").alias(s), F.col("solid").alias(f"solid{s}")) for s in "xy")
+    apart = F.coalesce(F.col("solidx") != F.col("solidy"), F.lit(True))
+    inner = x.join(y, F.col("gx") == F.col("gy")).where("x <= y").where(apart).select("x", "y")
+    # A single node that meets a group joins the others that meet it, in blocks; other single nodes are blocks by themselves.
+    alone = pairs.where("single_a and single_b").select(F.col("a").alias("x"), F.col("b").alias("y"))
+    mixed_ = pairs.where("single_a <> single_b").select(F.when(F.col("single_a"), F.col("a")).otherwise(F.col("b")).alias("q"), F.when(F.col("single_a"), F.col("b")).otherwise(F.col("a")).alias("g"))
+    mixed_ = mixed_.join(nodes.select(F.col("node").alias("_n"), "n"), F.col("q") == F.col("_n")).select("q", "g", "n")
+    totals = mixed_.groupBy("g").agg(parts(F.count(F.lit(1)), F.sum("n")).alias("_parts")).withColumnRenamed("g", "_g")
+    asked = Cut(mixed_.join(totals, F.col("g") == F.col("_g")).select("q", "g", F.xxhash64("g", F.pmod(F.xxhash64("q"), F.col("_parts")), F.lit("asks")).alias("x")), "asked").df
+    of = b.select("group", "block").distinct()
+    meets = asked.select("g", "x").distinct().join(of, F.col("g") == F.col("group")).select("x", F.col("block").alias("y"))
+    both = pairs.where("not single_a and not single_b").join(of.select(F.col("group").alias("_g"), F.col("block").alias("x")), F.col("a") == F.col("_g")).drop("_g")
+    both = both.join(of.select(F.col("group").alias("_g"), F.col("block").alias("y")), F.col("b") == F.col("_g")).select("x", "y")
+    members = blocks.select("block", "node").unionByName(asked.select(F.col("x").alias("block"), F.col("q").alias("node"))).unionByName(alone.select(F.explode(F.array("x", "y")).alias("block")).select("block", F.col("block").alias("node")))
+    wanted = Cut(alone.unionByName(inner).unionByName(meets).unionByName(both), "wanted").df
+    needed = wanted.select(F.explode(F.array("x", "y")).alias("_b")).distinct()
+    return links.unionByName(opened(sets, members.join(needed, F.col("block") == F.col("_b"), "left_semi"), wanted, share))
 
 
 def join(docs: DataFrame, share: int = 75) -> DataFrame:
@@ -374,58 +460,55 @@ def join(docs: DataFrame, share: int = 75) -> DataFrame:
 
     Two documents link if their sets' Jaccard similarity is ``share`` percent or more. Documents of
     fewer words than a shingle have the one of all their words; null, empty and blank texts have no
-    shingle and no link, and their own doc_id as component. Rows of one doc_id stay rows, each by its
-    text; rows without doc_id link as others do, but only name a component where no member
-    has one. An empty table gives an empty result; other columns are ignored.
+    shingle and no link, and their own doc_id as component. Very long texts are taken whole. Rows of one doc_id
+    stay rows, each by its text; rows without doc_id link as others do, but only name a component where no
+    member has one. An empty table gives an empty result; other columns are ignored.
     """
+    return classes(docs, share).select("doc_id", "n_shingles", "component_id")
+
+
+def classes(docs: DataFrame, share: int = 75) -> DataFrame:
+    """As ``join``, with ``text_key``, the xxhash64 of the row's text."""
     with scratch():
         return Cut(_join(docs, share), "classes", keep=True).df
 
 
 def _join(docs: DataFrame, share: int) -> DataFrame:
-    rows = Cut(scanned(docs, share), "scanned").df
-    full = rows.where("n > 0")
-    # One row stands for equal sets: the least by doc_id and text.
-    copies = full.groupBy("node").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("doc_id", "text_key")).alias("first")).where("c > 1")
-    copies = checked_broadcast(Cut(copies.select(F.col("node").alias("_n"), "first"), "copies").df)
-    kept = full.join(copies, F.col("node") == F.col("_n"), "left").where(F.col("first").isNull() | (F.struct("doc_id", "text_key").eqNullSafe(F.col("first"))))
-    nodes = kept.select(*rows.columns)
-    links = star_links(docs, nodes, share)
-    first = Cut(components(links), "components").df
-    roots = checked_broadcast(first.select(F.col("node").alias("_n"), "root"))
-    grouped = nodes.join(roots, F.col("node") == F.col("_n"), "left").select("doc_id", "text_key", "node", F.coalesce("root", "node").alias("group"), "n", "prefix")
-    rows_of = postings(grouped)
-    tokens = shared_tokens(rows_of.df)
-    frequent = tokens.where(F.col("c") > FREQUENT)
-    if not frequent.isEmpty():
-        grouped = reordered(docs, grouped, frequent.select("token"), share)
-        rows_of = postings(grouped)
-        tokens = shared_tokens(rows_of.df)
-    pairs = candidates(rows_of.df, tokens, share)
-    more = group_links(docs, grouped, pairs, share) if not pairs.isEmpty() else pairs.limit(0)
-    # Groups' roots stand for their members, so both sets of links make one graph.
-    final = Cut(components(links.unionByName(more)), "components").df
+    scan = Cut(scanned(docs), "sets").df
+    rows = scan.where("range is null").select("doc_id", "text_key", "n", "node")
+    sets = scan.where("range is null and n > 0")
+    levels = by_range(scan.where("range is not null").select("range", "slots"), Frequency, 1 << (COUNT_BITS - RANGE_BITS - 1))
+    nodes = Cut(sets.groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nodes").df
+    groups = groups_of(nodes)
+    with scratch():
+        first = prefixes(sets, groups, levels, share)
+        pairs, many, hot = unit_pairs(postings(first), share)
+        pairs = bounded(pairs, many, hot, first, share)
+        links = verified(sets, nodes.select("node", "n"), groups, pairs, share)
+        final = Cut(components(links), "components", keep=True).df
     small = checked_broadcast(final.select(F.col("node").alias("_n"), "root"))
-    placed = rows.join(small, (F.col("node") == F.col("_n")) & (F.col("n") > 0), "left").select("doc_id", "n", "node", F.coalesce("root", "node").alias("root"))
+    placed = rows.join(small, (F.col("node") == F.col("_n")) & (F.col("n") > 0), "left").select("doc_id", "text_key", "n", F.coalesce("root", "node").alias("root"))
     named = placed.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("c")).where("c > 1")
     named = checked_broadcast(Cut(named.select(F.col("root").alias("_r"), "component_id"), "names").df)
     out = placed.join(named, (F.col("root") == F.col("_r")) & (F.col("n") > 0), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, share: int = 75) -> DataFrame:
     """The rows of ``docs`` with one document of each component: that of the component's id.
 
     Rows without doc_id that stand in a component without any stay; of rows with one doc_id and one
-    component the first by text hash stays.
+    component the first by text hash stays. Documents without words stay all. An empty table stays empty.
     """
-    found = join(docs, share)
-    gone = found.where("component_id <> doc_id or (doc_id is null and component_id is not null)").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
-    repeated = found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("doc_id").alias("_repeated"))
-    repeated = Cut(repeated, "repeated").df
+    found = classes(docs, share)
+    stay = found.where("component_id is null or component_id <=> doc_id")
+    first = stay.where("doc_id is not null").groupBy(F.col("doc_id").alias("_repeated")).agg(F.min("text_key").alias("_first"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    repeated = checked_broadcast(Cut(first.select("_repeated", "_first"), "repeated").df)
+    gone = found.where("not (component_id is null or component_id <=> doc_id)").select("doc_id", "text_key")
+    gone = gone.unionByName(stay.join(repeated, F.col("doc_id") == F.col("_repeated")).where("text_key <> _first").select("doc_id", "text_key"))
+    gone = checked_broadcast(gone.distinct().select(F.col("doc_id").alias("_gone"), F.col("text_key").alias("_gone_text")))
+    left = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]) & (F.xxhash64(docs["text"]) == gone["_gone_text"]), "left_anti")
     if repeated.isEmpty():
         return left
-    few = checked_broadcast(repeated)
-    single = left.join(few, left["doc_id"] == few["_repeated"], "left_anti")
-    return single.unionByName(left.join(few, left["doc_id"] == few["_repeated"], "left_semi").dropDuplicates(["doc_id"]))
+    single = left.join(repeated, left["doc_id"] == repeated["_repeated"], "left_anti")
+    return single.unionByName(left.join(repeated, left["doc_id"] == repeated["_repeated"], "left_semi").dropDuplicates(["doc_id"]))
