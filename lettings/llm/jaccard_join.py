@@ -42,7 +42,7 @@ HOT = 400
 #: not grow; what falls together changes the order, or lets through a shingle of one unit to be dropped later.
 COUNT_BITS, SEEN_BITS, RANGE_BITS = 26, 28, 10
 #: Shingles that a task gathers before it passes on their counts.
-GATHERED = 4_000_000
+GATHERED = 2_000_000
 MULTIPLIERS = mixed(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1)
 WEIGHTS = mixed(np.arange(100, 100 + SHINGLE, dtype=np.uint64)) | np.uint64(1)
 
@@ -96,13 +96,13 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.cumsum(steps, dtype=np.int64)[steps != 255]
 
 
-SET_SCHEMA = "doc_id long, text_key long, n long, node long, bands array<long>, sketch array<int>, tokens binary, range int, slots binary"
+SET_SCHEMA = "row long, doc_id long, text_key long, n long, node long, bands array<long>, sketch array<int>, tokens binary, range int, slots binary"
 
 
 def scanned(docs: DataFrame) -> DataFrame:
-    """Per row its set: number of shingles, node, bands of min-hashes, sketch and tokens; and rows with a ``range`` of slots and the shingles counted there."""
+    """Per row, with a number of its own, its set: number of shingles, node, bands of min-hashes, sketch and tokens; and rows with a ``range`` of slots and the shingles counted there."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.int32(), pa.binary()]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.int32(), pa.binary()]
     names = [x.split()[0] for x in SET_SCHEMA.split(", ")]
 
     def counts(held: list[np.ndarray]) -> pa.RecordBatch:
@@ -114,14 +114,19 @@ def scanned(docs: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([*(pa.nulls(len(found), t) for t in types[:-2]), pa.array(found, types[-2]), pa.array(data, types[-1])], names=names)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         held: list[np.ndarray] = []
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
             sets = shingle_sets(batch.column(2))
             least = [np.array([(s * m).min() for m in MULTIPLIERS]) if len(s) else np.zeros(0, np.uint64) for s in sets]
             bands = [np.array([mixed(x[list(j)] + np.arange(1, len(j) + 1, dtype=np.uint64)).sum() + np.uint64(i) for i, j in enumerate(JOINED)], np.uint64).view(np.int64) if len(x) else np.zeros(0, np.int64) for x in least]
             sketch = lists_of([(x >> np.uint64(33)).astype(np.int32) for x in least], np.int32)
             own = [pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) for s in sets], pa.int64()), lists_of(bands, np.int64), sketch, pa.array([s.tobytes() for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *own, pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())], names=names)
+            numbers = pa.array(np.arange(row, row + len(sets), dtype=np.int64))
+            row += len(sets)
+            yield pa.RecordBatch.from_arrays([numbers, batch.column(0), batch.column(1), *own, pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())], names=names)
             held += sets
             if sum(map(len, held)) > GATHERED:
                 yield counts(held)
@@ -335,7 +340,7 @@ def bounded(pairs: DataFrame, many: DataFrame, hot: DataFrame, rows: DataFrame,
     kept = kept.unionByName(many).distinct() if not many.isEmpty() else kept
     single = units.select("unit", "single")
     kept = kept.join(single, F.col("a") == F.col("unit")).select("a", "b", F.col("single").alias("single_a"))
-    return Cut(kept.join(single, F.col("b") == F.col("unit")).select("a", "b", "single_a", F.col("single").alias("single_b")), "pairs").df
+    return Cut(kept.join(single, F.col("b") == F.col("unit")).select("a", "b", "single_a", F.col("single").alias("single_b")), "pairs", keep=True).df
 
 
 def block_links(xs: list[dict], ys: list[dict], share: int, same: bool) -> list[tuple[int, int]]:
@@ -380,15 +385,16 @@ def block_links(xs: list[dict], ys: list[dict], share: int, same: bool) -> list[
     return out
 
 
-def opened(sets: DataFrame, blocks: DataFrame, pairs: DataFrame, share: int) -> DataFrame:
+def opened(sets: DataFrame, nodes: DataFrame, blocks: DataFrame, pairs: DataFrame, share: int) -> DataFrame:
     """Links (a, b) between the nodes of blocks (block, node), for each of the pairs (x, y) of blocks."""
     with scratch():
-        blocks, pairs = Cut(blocks.distinct(), "blocks").df, Cut(pairs.distinct(), "block-pairs").df
-        used = checked_broadcast(blocks.select(F.col("node").alias("_used")).distinct())
-        tokens = sets.select("node", "tokens").join(used, F.col("node") == F.col("_used"), "left_semi").groupBy("node").agg(F.first("tokens").alias("tokens"))
-        members = blocks.select("block", F.col("node").alias("_n")).join(tokens, F.col("_n") == F.col("node")).groupBy("block").agg(F.collect_list(F.struct("node", "tokens")).alias("members"))
+        pairs = Cut(pairs.distinct(), "block-pairs").df
+        # Of copies the row of one is read.
+        rows = nodes.select(F.col("node").alias("_n"), F.col("row").alias("_row"))
+        blocks = checked_broadcast(Cut(blocks.distinct().join(rows, F.col("node") == F.col("_n")).select("block", "node", "_row"), "blocks").df)
+        members = sets.select("row", "tokens").join(blocks, F.col("row") == F.col("_row")).groupBy("block").agg(F.collect_list(F.struct("node", "tokens")).alias("members"))
         members = Cut(members, "members").df
-        two = pairs.join(members.select(F.col("block").alias("x"), F.col("members").alias("xs")), "x")
+        two = members.select(F.col("block").alias("x"), F.col("members").alias("xs")).join(checked_broadcast(pairs), "x")
         two = two.join(members.select(F.col("block").alias("y"), F.col("members").alias("ys")), "y").select("x", "y", "xs", "ys")
 
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -432,7 +438,7 @@ def verified(sets: DataFrame, nodes: DataFrame, groups: DataFrame, pairs: DataFr
     b = blocks.select("group", "block", "part").distinct()
     first = b.where("part = 0").select(F.col("group").alias("_g"), F.col("block").alias("y"))
     inside = b.select(F.col("block").alias("x"), F.col("block").alias("y")).unionByName(b.join(first, F.col("group") == F.col("_g")).select(F.col("block").alias("x"), "y"))
-    links = opened(sets, blocks.select("block", "node"), inside, share)
+    links = opened(sets, nodes, blocks.select("block", "node"), inside, share)
     roots = Cut(components(links), "roots").df
     blocks = blocks_by_root(blocks, roots)
     b = Cut(blocks.select("group", "block", "solid", "parts").distinct(), "blocks-of-groups").df
@@ -452,7 +458,7 @@ def verified(sets: DataFrame, nodes: DataFrame, groups: DataFrame, pairs: DataFr
     members = blocks.select("block", "node").unionByName(asked.select(F.col("x").alias("block"), F.col("q").alias("node"))).unionByName(alone.select(F.explode(F.array("x", "y")).alias("block")).select("block", F.col("block").alias("node")))
     wanted = Cut(alone.unionByName(inner).unionByName(meets).unionByName(both), "wanted").df
     needed = wanted.select(F.explode(F.array("x", "y")).alias("_b")).distinct()
-    return links.unionByName(opened(sets, members.join(needed, F.col("block") == F.col("_b"), "left_semi"), wanted, share))
+    return links.unionByName(opened(sets, nodes, members.join(needed, F.col("block") == F.col("_b"), "left_semi"), wanted, share))
 
 
 def join(docs: DataFrame, share: int = 75) -> DataFrame:
@@ -478,14 +484,14 @@ def _join(docs: DataFrame, share: int) -> DataFrame:
     rows = scan.where("range is null").select("doc_id", "text_key", "n", "node")
     sets = scan.where("range is null and n > 0")
     levels = by_range(scan.where("range is not null").select("range", "slots"), Frequency, 1 << (COUNT_BITS - RANGE_BITS - 1))
-    nodes = Cut(sets.groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nodes").df
+    nodes = Cut(sets.groupBy("node").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nodes").df
     groups = groups_of(nodes)
     with scratch():
         first = prefixes(sets, groups, levels, share)
         pairs, many, hot = unit_pairs(postings(first), share)
         pairs = bounded(pairs, many, hot, first, share)
-        links = verified(sets, nodes.select("node", "n"), groups, pairs, share)
-        final = Cut(components(links), "components", keep=True).df
+    with scratch():
+        final = Cut(components(verified(sets, nodes.select("node", "row", "n"), groups, pairs, share)), "components", keep=True).df
     small = checked_broadcast(final.select(F.col("node").alias("_n"), "root"))
     placed = rows.join(small, (F.col("node") == F.col("_n")) & (F.col("n") > 0), "left").select("doc_id", "text_key", "n", F.coalesce("root", "node").alias("root"))
     named = placed.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("c")).where("c > 1")
