@@ -11,11 +11,13 @@ seen ``DISCOUNT * T / N``, all of it together. The sum of the logarithms of buck
 words of a document is the document's pseudo-log-likelihood.
 
 The table of counts grows with the distinct words: its most frequent are broadcast, the others are
-joined by word, with the same result. The network is learnt in numpy by all tasks, from every
-document: in each round a task goes over its share of the documents from the round's common start,
-and the tasks' networks are averaged by words seen, in a tree of bounded groups. No task or driver
-holds more than a group of networks. The network's size is fixed, so words that share a bucket
-differ by their counts, not by their contexts.
+joined by word, with the same result. The network is learnt in numpy from every document. Documents
+become bucket numbers and are dealt out by their texts' hashes, each to a round and to a shard of about
+``SHARD_WORDS`` words; a task goes over a shard in the order of the hashes, from the round's common start,
+and the shards' networks are averaged by words seen, in a tree of bounded groups, in the order of
+their numbers. So what is learnt depends on the corpus alone, not on how its table is partitioned,
+and no task or driver holds more than a group of networks. The network's size is fixed, so words that share
+a bucket differ by their counts, not by their contexts.
 """
 
 from __future__ import annotations
@@ -28,9 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import Cut, hashed_words, map_batches
+from ._shared import Cut, hashed_words, map_batches, scratch
 
-CLASSES, MEMBERS, WIDTH = 32, 32, 8
+CLASSES, MEMBERS, WIDTH = 64, 64, 12
 VOCAB = CLASSES * MEMBERS
 HEAD = VOCAB * 3 // 4
 SHARED = VOCAB - HEAD
@@ -39,8 +41,8 @@ DISCOUNT = 0.5
 COUNTED, FREQUENT = 2_000_000, 200_000
 PLACES = (-2, -1, 1, 2)
 CHUNK, RATE, FAN = 16384, 0.1, 16
-#: Weights stay below this, so that no exponential of a sum of WIDTH + 1 of them overflows.
-LARGEST = 9.0
+#: Words of a shard; documents of it that are taken together.
+SHARD_WORDS, TOGETHER = 2_000_000, 256
 SHAPES = {"e": (VOCAB + 1, WIDTH), "place": (len(PLACES), WIDTH), "c": (CLASSES, WIDTH), "cb": (CLASSES,), "w": (CLASSES, MEMBERS, WIDTH), "wb": (CLASSES, MEMBERS)}
 SIZES = {k: int(np.prod(s)) for k, s in SHAPES.items()}
 
@@ -140,6 +142,12 @@ def known(words: DataFrame) -> Words:
     return Words(hashes[top][place], place.astype(np.int32), hashes, n, occurrences, distinct)
 
 
+def spaced(rows: list[np.ndarray]) -> np.ndarray:
+    """Buckets of documents one after the other, with two places without a word around each."""
+    gap = np.full(2, VOCAB, np.int32)
+    return np.concatenate([x for r in rows for x in (gap, r.astype(np.int32))] + [gap])
+
+
 def buckets(texts: pa.Array, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Buckets of the words of texts, ``VOCAB`` where there is none, the number of words of each, and their hashes.
 
@@ -168,10 +176,12 @@ def forward(p: dict[str, np.ndarray], ids: np.ndarray, at: np.ndarray) -> tuple:
         np.matmul(hidden[rows], p["w"][c].T, out=inner[rows])
         inner[rows] += p["wb"][c]
     for x in (z, inner):
+        x -= x.max(1, keepdims=True)
         np.exp(x, out=x)
         x *= 1 / (x @ np.ones(x.shape[1], np.float32))[:, None]
     n = np.arange(len(at))
-    return np.log(z[n, cls]) + np.log(inner[n, member]), hidden, around, z, inner, cuts
+    least = np.float32(1e-30)
+    return np.log(np.maximum(z[n, cls], least)) + np.log(np.maximum(inner[n, member], least)), hidden, around, z, inner, cuts
 
 
 def by_class(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -206,7 +216,6 @@ def learn(vector: np.ndarray, squares: np.ndarray, ids: np.ndarray, at: np.ndarr
     grad /= len(at)
     squares += grad * grad
     vector -= RATE * grad / np.sqrt(squares + 1e-8)
-    np.clip(vector, -LARGEST, LARGEST, out=vector)
 
 
 def averaged(rows: list[tuple[float, bytes]]) -> tuple[float, np.ndarray]:
@@ -216,26 +225,50 @@ def averaged(rows: list[tuple[float, bytes]]) -> tuple[float, np.ndarray]:
     return words, np.asarray(total, np.float32)
 
 
-def round_of(docs: DataFrame, vector: np.ndarray, words: Words) -> np.ndarray:
-    """Parameters after every task has gone over its documents once."""
+def round_of(docs: DataFrame, vector: np.ndarray, words: Words, shards: int) -> np.ndarray:
+    """Parameters after every shard's documents have been gone over once."""
     shared = docs.sparkSession.sparkContext.broadcast((vector, words))
 
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes, n = hashed_words(batch.column(1))
+            ids, ends = shared.value[1].buckets(hashes.view(np.int64)).astype(np.uint16), np.append(0, np.cumsum(n))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([ids[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], names=["h", "ids"])
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+        at, held = None, []
+        own = squares = seen = None
 
-        first, words = shared.value
-        own, squares, seen = first.copy(), np.zeros(len(first), np.float32), 0
-        for batch in batches:
-            ids, _, _ = buckets(batch.column(batch.schema.get_field_index("text")), words)
+        def go_over() -> int:
+            ids = spaced([np.frombuffer(x, np.uint16) for x in held])
+            held.clear()
             places = np.flatnonzero(ids < VOCAB)
             for i in range(0, len(places), CHUNK):
                 learn(own, squares, ids, places[i : i + CHUNK])
-            seen += len(places)
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([float(seen)]), pa.array([own.tobytes()], pa.binary())], names=["part", "words", "vector"])
+            return len(places)
 
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([float(seen)]), pa.array([own.tobytes()], pa.binary())], names=["part", "words", "vector"])
+
+        for batch in batches:
+            for shard, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if shard != at:
+                    if at is not None:
+                        seen += go_over()
+                        yield out()
+                    at, own, squares, seen = shard, shared.value[0].copy(), np.zeros(len(shared.value[0]), np.float32), 0
+                held.append(ids)
+                if len(held) == TOGETHER:
+                    seen += go_over()
+        if at is not None:
+            seen += go_over()
+            yield out()
+
+    coded = map_batches(docs.select("h", "text"), code, "h long, ids binary").withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)))
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = coded.repartition(n, "shard").sortWithinPartitions("shard", "h").select("shard", "ids")
     schema = "part long, words double, vector binary"
-    tasks = Cut(map_batches(docs.select("text"), task, schema), "networks")
+    tasks = Cut(map_batches(dealt, task, schema), "networks")
     n = tasks.count()
 
     def merge(group: pa.Table) -> pa.Table:
@@ -254,11 +287,12 @@ def round_of(docs: DataFrame, vector: np.ndarray, words: Words) -> np.ndarray:
     return averaged([r[1:] for r in rows])[1] if rows else vector
 
 
-def train(docs: DataFrame, words: Words, rounds: int = 2) -> np.ndarray:
-    """Parameters learnt from all documents, each in the round that a hash of its text gives."""
+def train(docs: DataFrame, words: Words, total: int, rounds: int = 2) -> np.ndarray:
+    """Parameters learnt from all documents, of ``total`` words, each in the round that a hash of its text gives."""
     vector = start()
+    rows = docs.where("text is not null").select(F.xxhash64("text").alias("h"), "text")
     for k in range(rounds):
-        vector = round_of(docs.where("text is not null").where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == k), vector, words)
+        vector = round_of(rows.where(F.pmod("h", F.lit(rounds)) == k), vector, words, max(1, -(-total // (rounds * SHARD_WORDS))))
     return vector
 
 
@@ -276,12 +310,21 @@ def score(docs: DataFrame, vector: np.ndarray | None = None, words: DataFrame |
 
     A null or empty text, or one without words, has no words, a sum of 0 and a null mean. Null doc_ids
     are kept; repeated rows score alike. An empty table gives an empty result; other columns are
-    ignored. Sums are rounded to six digits after the point, means too. Parameters are learnt from
-    ``docs`` unless given, and so is the table of ``words``, which must be the one they were learnt with.
+    ignored. Very long texts are taken whole. The same documents in other partitions score the same, but for
+    rounding in single precision. Sums are rounded to six digits after the point, means too. Parameters are
+    learnt from ``docs`` unless given, and so is the table of ``words``, which must be the one they were
+    learnt with.
     """
+    with scratch():
+        return Cut(_score(docs, vector, words), "scores", keep=True).df
+
+
+def _score(docs: DataFrame, vector: np.ndarray | None, words: DataFrame | None) -> DataFrame:
     words = Cut(counted(docs), "words").df if words is None else words
     of = known(words)
-    shared = docs.sparkSession.sparkContext.broadcast((train(docs, of) if vector is None else vector, of))
+    if vector is None:
+        vector = train(docs, of, words.agg(F.sum("n")).first()[0] or 0)
+    shared = docs.sparkSession.sparkContext.broadcast((vector, of))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
