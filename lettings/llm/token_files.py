@@ -11,6 +11,7 @@ number of ids in all parts before its own, plus ``part_start``.
 from __future__ import annotations
 
 import json
+import math
 import os
 import zlib
 from collections.abc import Iterator
@@ -25,6 +26,8 @@ from ._shared import Cut, checked_broadcast, column, map_batches
 
 SCHEMA = "doc_id long, part int, part_start long, n_tokens int, ids array<int>"
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 32 << 20, 256 << 10, 1000
+#: Characters of texts that a file, and the task that writes it, has at most, about.
+PART_CHARS = 256_000_000
 
 
 class ChunkEncoder:
@@ -32,8 +35,9 @@ class ChunkEncoder:
 
     Only for tokenizers whose pre-tokens never span white space: then the ids of a text are those
     of its chunks, one after the other. A chunk is taken apart further, into a word and the full
-    stops or commas after it, which such tokenizers never join, and an ASCII capital that begins
-    it is lower-cased if the tokenizer does so; that leaves fewer words to encode. Others get
+    stops or commas after it, if the word ends in a Latin letter that stays one in lower case: the
+    first split never joins such a letter to a mark. An ASCII capital that begins it is lower-cased if the
+    tokenizer does so; that leaves fewer words to encode. Other chunks stay whole, and other tokenizers get
     whole texts.
     """
 
@@ -65,20 +69,25 @@ class ChunkEncoder:
         self.words: dict[str, int] = {}
         self.flat, self.starts, self.lengths = [np.zeros((0,), t) for t in (np.uint32, np.int64, np.int64)]
 
+    @staticmethod
+    def letters(word: str) -> bool:
+        """Latin letters alone, that stay letters in lower case (the dotted capital I gets a mark of its own)."""
+        return word.isalpha() and (word.isascii() or max(word) < "\u0250" and word.lower().isalpha())
+
     @staticmethod
     def apart(chunk: str) -> tuple[str, str]:
         word = chunk.rstrip(".,")
-        if len(word) < len(chunk) and not word[-1:].isalpha():
+        if len(word) < len(chunk) and not ChunkEncoder.letters(word[-1:]):
             word = chunk
         return (word[0].lower() + word[1:] if "A" <= word[:1] <= "Z" else word), chunk[len(word) :]
 
     def learn(self, new: list[str]) -> None:
-        easy = [w for w in new if w.isalpha()]
+        easy = [w for w in new if self.letters(w)]
         ids = np.array(self.tokenizer.encode_batch_fast([" ".join(easy)], add_special_tokens=False)[0].ids, np.uint32)
         last = np.flatnonzero(self.ends[ids]) + 1
         if len(last) != len(easy):
             easy, ids, last = [], ids[:0], last[:0]
-        hard = [w for w in new if not w.isalpha()] if easy else new
+        hard = [w for w in new if not self.letters(w)] if easy else new
         rest = [e.ids for e in self.tokenizer.encode_batch_fast(hard, add_special_tokens=False)]
         n = np.append(np.diff(last, prepend=0), np.array([len(x) for x in rest], np.int64)).astype(np.int64)
         flat = np.append(ids, np.array([i for x in rest for i in x], np.uint32)).astype(np.uint32)
@@ -166,7 +175,8 @@ def write(docs: DataFrame, definition: str, end_id: int = 1, path: str | None =
         if texts:
             yield rows(at)
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / PART_CHARS))
     key = F.xxhash64("text")
     ranged = docs.select("doc_id", "text").withColumn("_h", key).repartitionByRange(parts, "doc_id", "_h").sortWithinPartitions("doc_id", "_h")
     options = {"parquet.block.size": ROW_GROUP_BYTES, "parquet.page.size": PAGE_BYTES, "parquet.page.row.count.limit": PAGE_ROWS, "parquet.enable.dictionary": "true", "compression": "zstd"}
