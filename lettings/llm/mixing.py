@@ -113,11 +113,14 @@ def mix(docs: DataFrame, seed: int = 1, block: int = 8, shard_docs: int = 1000,
 
 
 def mixed_documents(docs: DataFrame, seed: int = 1, **options: object) -> DataFrame:
-    """The documents of the mix, each as often as its ``copies`` say, with the columns of ``docs``."""
+    """The documents of the mix, each as often as its ``copies`` say, with the columns of ``docs``, whatever their names.
+
+    Null texts have no words and are never taken; of an empty table nothing is.
+    """
     plan = mix(docs, seed, **options).where("copies > 0").select(F.col("row_hash").alias("_h"), F.col("doc_id").alias("_id"), "copies")
     # Equal rows share hash and id: their copies are numbered by one row each.
-    plan = plan.groupBy("_h", "_id").agg(F.sum("copies").alias("_mix_copies"))
-    rows = docs.withColumn("_mix_row", F.xxhash64(F.lit(seed), "doc_id", "text"))
-    joined = rows.join(plan, (rows["_mix_row"] == plan["_h"]) & rows["doc_id"].eqNullSafe(plan["_id"]))
-    one = joined.select(*[rows[c] for c in docs.columns], "_mix_copies")
-    return one.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_mix_copies").cast("int"))).alias("_mix_nth")).drop("_mix_nth")
+    plan = plan.groupBy("_h", "_id").agg(F.sum("copies").alias("copies"))
+    # The document is one column meanwhile, so that none of its names can clash.
+    rows = docs.select(F.xxhash64(F.lit(seed), "doc_id", "text").alias("row"), F.col("doc_id").alias("id"), F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("doc"))
+    joined = rows.join(plan, (F.col("row") == F.col("_h")) & F.col("id").eqNullSafe(F.col("_id")))
+    return joined.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("nth")).select("doc.*")
