@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -78,13 +79,21 @@ def whole(text: str, m: re.Match) -> bool:
 
 
 def near_terms(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int, str, str, int, int]]:
-    """(kind, entity, term, start, end) of the words next to each entity that are in no entity."""
+    """(kind, entity, term, start, end) of the words next to each entity that are in no entity; spans are in order."""
+    starts, ends = [], []  # of what entities cover, apart from one another
+    for a, _, b in spans:
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
     for a, kind, b in spans:
         lo, hi = max(0, a - NEAR_CHARS), min(len(text), b + NEAR_CHARS)
         before = [m for m in TERM.finditer(text, lo, a) if whole(text, m)][-NEAR_WORDS:]
         after = [m for m in TERM.finditer(text, b, hi) if whole(text, m)][:NEAR_WORDS]
         for m in before + after:
-            if not any(x < m.end() and m.start() < y for x, _, y in spans):
+            at = bisect_left(starts, m.end()) - 1
+            if at < 0 or ends[at] <= m.start():
                 yield kind, text[a:b], m[0].lower(), m.start(), m.end()
 
 
