@@ -9,7 +9,7 @@ from ._shared import Cut
 
 #: Verdict and place (host, then path) of each rule.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
-ABSOLUTE_LINK = r"""(?i)<[a-z][^>]*?\s(?:href|src|action)\s*=\s*["']?\s*(?:https?:)?//([^/?#"'>\s]+)"""
+ABSOLUTE_LINK = r"""(?i)<[a-z][^<>]*?\s(?:href|src|action)\s*=\s*["']?\s*(?:https?:)?//([^/?#"'>\s]+)"""
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
