@@ -271,25 +271,25 @@ def test_conditional_probabilities_sum_to_one():
 def test_words_of_one_bucket_have_their_own_probabilities(spark, monkeypatch):
     from lettings.llm._shared import hashed_words
 
-    names = [f"v{i}" for i in range(4000)]
+    names = [f"v{i}" for i in range(12000)]
     of = {}
     for name, h in zip(names, hashed_words(pa.array(names))[0].tolist(), strict=True):
         of.setdefault(h % pseudo_likelihood.VOCAB, []).append(name)
     often, seldom = next(v for v in of.values() if len(v) > 1)[:2]
-    twice = [x for x in names if x not in (often, seldom)][:900]
+    twice = [x for x in names if x not in (often, seldom)][:3300]
     rows = [(i, f"a b {often if i else seldom} c d", "s") for i in range(40)] + [(100, " ".join(names + twice), "s")]
     first, *more = ({r["doc_id"]: r["log_prob"] for r in pseudo_likelihood.score(documents(spark, rows), *given).collect()} for given in ((), (pseudo_likelihood.start(),)))
     assert first[1] == first[2] > first[0] + 0.5
     # Words that are joined, as all but the most frequent are, score as those that are broadcast.
-    monkeypatch.setattr(pseudo_likelihood, "FREQUENT", 1000)
+    monkeypatch.setattr(pseudo_likelihood, "FREQUENT", 3500)
     joined = {r["doc_id"]: r["log_prob"] for r in pseudo_likelihood.score(documents(spark, rows), pseudo_likelihood.start()).collect()}
     assert joined == pytest.approx(more[0])
 
 
 def test_shares_of_a_bucket_sum_to_one(spark):
-    table = spark.createDataFrame([(h, 1 + h % 7) for h in range(3000)], "hash long, n long")
+    table = spark.createDataFrame([(h, 1 + h % 7) for h in range(12000)], "hash long, n long")
     words = pseudo_likelihood.known(table)
-    hashes = np.arange(3000)
+    hashes = np.arange(12000)
     ids = words.buckets(hashes)
     log, lacks = words.shares(hashes, ids)
     assert not lacks.any() and len(set(ids[ids < pseudo_likelihood.HEAD])) == pseudo_likelihood.HEAD
