@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -41,7 +42,10 @@ UNDER_WAY: ContextVar[tuple[list[Cut], ...]] = ContextVar("UNDER_WAY", default=(
 
 @contextmanager
 def scratch() -> Iterator[None]:
-    """Tables that are written inside are deleted at the end, but for those to keep."""
+    """Tables that are written inside are deleted at the end, but for those to keep.
+
+    Then the driver's garbage is collected, since Spark deletes the shuffle files of what has ended only after that.
+    """
     token = UNDER_WAY.set((*UNDER_WAY.get(), []))
     try:
         yield
@@ -50,6 +54,9 @@ def scratch() -> Iterator[None]:
         UNDER_WAY.reset(token)
         for cut in cuts:
             cut.drop()
+        if cuts:
+            gc.collect()
+            cuts[0].spark.sparkContext._jvm.System.gc()
 
 
 class Cut:
@@ -144,11 +151,22 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` with batches of bounded rows: what a function makes of one is bounded, whatever the session's setting."""
+    """``mapInArrow`` with batches of bounded rows, so that what a function makes of one is bounded.
+
+    The session's limit of rows in an Arrow batch is lowered to ``BATCH_ROWS`` if it is higher, and stays so:
+    Spark reads it when the result is computed, and larger batches of texts would be held by executor and worker at once.
+    """
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
     def few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, BATCH_ROWS):
                 yield batch.slice(i, BATCH_ROWS)
 
-    return df.mapInArrow(lambda batches: f(few(batches)), schema)
+    def freed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(few(batches))
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(freed, schema)

@@ -42,7 +42,7 @@ HOT = 400
 #: not grow; what falls together changes the order, or lets through a shingle of one unit to be dropped later.
 COUNT_BITS, SEEN_BITS, RANGE_BITS = 26, 28, 10
 #: Shingles that a task gathers before it passes on their counts.
-GATHERED = 2_000_000
+GATHERED = 1_000_000
 MULTIPLIERS = mixed(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1)
 WEIGHTS = mixed(np.arange(100, 100 + SHINGLE, dtype=np.uint64)) | np.uint64(1)
 
@@ -96,27 +96,17 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.cumsum(steps, dtype=np.int64)[steps != 255]
 
 
-SET_SCHEMA = "row long, doc_id long, text_key long, n long, node long, bands array<long>, sketch array<int>, tokens binary, range int, slots binary"
+SET_SCHEMA = "row long, doc_id long, text_key long, n long, node long, bands array<long>, sketch array<int>, tokens binary"
 
 
 def scanned(docs: DataFrame) -> DataFrame:
-    """Per row, with a number of its own, its set: number of shingles, node, bands of min-hashes, sketch and tokens; and rows with a ``range`` of slots and the shingles counted there."""
+    """Per row, with a number of its own, its set: number of shingles, node, bands of min-hashes, sketch and tokens."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.int32(), pa.binary()]
     names = [x.split()[0] for x in SET_SCHEMA.split(", ")]
 
-    def counts(held: list[np.ndarray]) -> pa.RecordBatch:
-        slots = np.sort((np.concatenate(held) >> np.uint64(64 - COUNT_BITS)).astype(np.uint32))
-        inner = COUNT_BITS - RANGE_BITS
-        cuts = np.searchsorted(slots, np.arange((1 << RANGE_BITS) + 1, dtype=np.uint64) << np.uint64(inner))
-        found = [i for i in range(1 << RANGE_BITS) if cuts[i] < cuts[i + 1]]
-        data = [packed(slots[cuts[i] : cuts[i + 1]] & np.uint32((1 << inner) - 1)) for i in found]
-        return pa.RecordBatch.from_arrays([*(pa.nulls(len(found), t) for t in types[:-2]), pa.array(found, types[-2]), pa.array(data, types[-1])], names=names)
-
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        held: list[np.ndarray] = []
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             sets = shingle_sets(batch.column(2))
@@ -126,15 +116,33 @@ def scanned(docs: DataFrame) -> DataFrame:
             own = [pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) for s in sets], pa.int64()), lists_of(bands, np.int64), sketch, pa.array([s.tobytes() for s in sets], pa.binary())]
             numbers = pa.array(np.arange(row, row + len(sets), dtype=np.int64))
             row += len(sets)
-            yield pa.RecordBatch.from_arrays([numbers, batch.column(0), batch.column(1), *own, pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())], names=names)
-            held += sets
+            yield pa.RecordBatch.from_arrays([numbers, batch.column(0), batch.column(1), *own], names=names)
+
+    return map_batches(rows, scan, SET_SCHEMA)
+
+
+def counted(sets: DataFrame) -> DataFrame:
+    """Rows with a ``range`` of slots and the shingles counted there, of all sets."""
+
+    def counts(held: list[np.ndarray]) -> pa.RecordBatch:
+        slots = np.sort(np.concatenate(held))
+        inner = COUNT_BITS - RANGE_BITS
+        cuts = np.searchsorted(slots, np.arange((1 << RANGE_BITS) + 1, dtype=np.uint64) << np.uint64(inner))
+        found = [i for i in range(1 << RANGE_BITS) if cuts[i] < cuts[i + 1]]
+        data = [packed(slots[cuts[i] : cuts[i + 1]] & np.uint32((1 << inner) - 1)) for i in found]
+        return pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(data, pa.binary())], names=["range", "slots"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for batch in batches:
+            held += [(np.frombuffer(x, np.uint64) >> np.uint64(64 - COUNT_BITS)).astype(np.uint32) for x in batch.column(0).to_pylist()]
             if sum(map(len, held)) > GATHERED:
                 yield counts(held)
                 held = []
-        if any(map(len, held)):
+        if held:
             yield counts(held)
 
-    return map_batches(rows, scan, SET_SCHEMA)
+    return map_batches(sets.select("tokens"), count, "range int, slots binary")
 
 
 def by_range(rows: DataFrame, kind: object, size: int) -> np.ndarray:
@@ -218,7 +226,7 @@ def groups_of(nodes: DataFrame) -> DataFrame:
     choices = alike.select("node", F.explode(F.array("node", "head")).alias("head")).unionByName(alike.select(F.col("head").alias("node"), "head"))
     chosen = Cut(choices.groupBy("node").agg(F.min(order("head"))["node"].alias("group")), "chosen").df
     sizes = chosen.groupBy("group").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > SMALL).withColumnRenamed("group", "_g")
-    return Cut(chosen.join(sizes, F.col("group") == F.col("_g")).select("node", "group", "size"), "groups").df
+    return Cut(chosen.join(sizes, F.col("group") == F.col("_g")).select("node", "group", "size"), "groups", keep=True).df
 
 
 def prefixes(sets: DataFrame, groups: DataFrame, levels: np.ndarray, share: int) -> DataFrame:
@@ -258,7 +266,7 @@ def seen_by_two(rows: DataFrame) -> np.ndarray:
             lists = batch.column(1)
             units = np.repeat(batch.column(0).to_numpy().view(np.uint64), np.asarray(lists.value_lengths()))
             held.append(np.stack([slots(np.asarray(lists.flatten())), units]))
-            if sum(x.shape[1] for x in held) > GATHERED // 2:
+            if sum(x.shape[1] for x in held) > GATHERED:
                 yield out()
                 held.clear()
         if held:
@@ -481,11 +489,12 @@ def classes(docs: DataFrame, share: int = 75) -> DataFrame:
 
 def _join(docs: DataFrame, share: int) -> DataFrame:
     scan = Cut(scanned(docs), "sets").df
-    rows = scan.where("range is null").select("doc_id", "text_key", "n", "node")
-    sets = scan.where("range is null and n > 0")
-    levels = by_range(scan.where("range is not null").select("range", "slots"), Frequency, 1 << (COUNT_BITS - RANGE_BITS - 1))
+    rows = scan.select("doc_id", "text_key", "n", "node")
+    sets = scan.where("n > 0")
+    levels = by_range(counted(sets), Frequency, 1 << (COUNT_BITS - RANGE_BITS - 1))
     nodes = Cut(sets.groupBy("node").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nodes").df
-    groups = groups_of(nodes)
+    with scratch():
+        groups = groups_of(nodes)
     with scratch():
         first = prefixes(sets, groups, levels, share)
         pairs, many, hot = unit_pairs(postings(first), share)
