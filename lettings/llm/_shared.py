@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -131,8 +132,8 @@ def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     starts, ends = np.flatnonzero(~space & before), np.flatnonzero(~space & after)
     hashes = np.empty(len(starts), np.uint64)
     i = 0
-    while i < len(starts):  # words of about a megabyte at a time; a longer word is one round
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + (1 << 20), side="right")))
+    while i < len(starts):  # words of about an eighth of a megabyte at a time; a longer word is one round
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + (1 << 17), side="right")))
         first, last = starts[i:j] - starts[i], ends[i:j] - starts[i]
         n = int(last[-1]) + 1
         up, down = powers(n)
@@ -167,6 +168,9 @@ def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[
 
     def freed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from f(few(batches))
+        # Workers outlive their tasks: what they have freed goes back to the system, so that idle ones stay small.
         pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
 
     return df.mapInArrow(freed, schema)

@@ -41,7 +41,7 @@ class ChunkEncoder:
     whole texts.
     """
 
-    def __init__(self, definition: str, bound: int = 800_000):
+    def __init__(self, definition: str, bound: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.bound = Tokenizer.from_str(definition), bound
@@ -134,7 +134,7 @@ def encoder_of(definition: str) -> ChunkEncoder:
 
 
 #: Characters that are encoded together.
-ROUND_CHARS = 4_000_000
+ROUND_CHARS = 1_000_000
 
 
 def write(docs: DataFrame, definition: str, end_id: int = 1, path: str | None = None) -> Cut:
