@@ -102,7 +102,7 @@ def fn_pc_parts(t: Tables) -> DataFrame:
     return t.listings.select("id", A.postcode_full(p).alias("full_postcode"), A.postcode_district(p).alias("district"), A.postcode_area(p).alias("area"))
 
 
-@query("SELECT id, CAST(SPLIT_PART(postcode, ' ', 1) IN ('SW1A', 'SW3', 'SW10', 'W8', 'NW3', 'SW7', 'W1', '') AS INT) AS prime FROM listings")
+@query("SELECT id, CAST(SPLIT_PART(postcode, ' ', 1) IN ('SW1A', 'SW3', 'SW10', 'W8', 'NW3', 'SW7', 'W1') AS INT) AS prime FROM listings")
 def fn_is_prime(t: Tables) -> DataFrame:
     return t.listings.select("id", A.is_prime(A.district_by_space(F.col("postcode"))).cast("int").alias("prime"))
 
