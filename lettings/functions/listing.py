@@ -82,10 +82,6 @@ def haversine_m(lat: Column, lon: Column, lat2: Column, lon2: Column) -> Column:
     return F.atan2(F.sqrt(a), F.sqrt(1 - a)) * (2 * 6371000)
 
 
-def brand(agent: Column) -> Column:
-    return F.coalesce(F.substring_index(agent, ",", 1), F.lit("unknown"))
-
-
 def let_type(x: Column) -> Column:
     low = F.lower(x)
     return F.when(F.contains(low, F.lit("short")), "short").when(F.contains(low, F.lit("long")), "long").otherwise("unknown")

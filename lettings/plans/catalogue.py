@@ -46,4 +46,4 @@ def query(sql: str | None = None):
     return register
 
 
-from . import aggregates, dashboards, duplicates, joins, matching, projections, reports, selections, windows  # noqa: E402, F401
+from . import aggregates, dashboards, duplicates, extraction, joins, matching, projections, reports, selections, windows  # noqa: E402, F401

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import address as A
 from ..functions import listing as X
+from ..functions import wording as W
 from .catalogue import Tables, query
 
 PPSF = "CAST(price_pcm AS DOUBLE) / NULLIF(size_sqft, 0)"
@@ -146,7 +147,7 @@ def fn_let_type(t: Tables) -> DataFrame:
 
 @query("SELECT id, COALESCE(SPLIT_PART(agent_name, ',', 1), 'unknown') AS brand FROM listings")
 def fn_agent_brand(t: Tables) -> DataFrame:
-    return t.listings.select("id", X.brand(F.col("agent_name")).alias("brand"))
+    return t.listings.select("id", W.brand(F.col("agent_name")).alias("brand"))
 
 
 @query("""SELECT id, ROUND(2 * 6371000 * ATAN2(SQRT(a), SQRT(1 - a)), 3) AS metres FROM (SELECT id, POW(SIN(RADIANS(5.15e1 - latitude) / 2), 2) + COS(RADIANS(latitude)) * COS(RADIANS(5.15e1)) * POW(SIN(RADIANS(-1.5e-1 - longitude) / 2), 2) AS a FROM listings) x""")
