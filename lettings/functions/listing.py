@@ -57,8 +57,9 @@ def parse_added(added: Column, now: Column) -> Column:
 
 
 def days_on_market(since: Column, now: Column) -> Column:
-    """Whole periods of 24 hours, 0 at least."""
-    return F.greatest(F.lit(0), F.floor(F.timestamp_diff("SECOND", since, now) / 86400)).cast("int")
+    """Whole periods of 24 hours, 0 at least; null where the start isn't known."""
+    passed = F.floor(F.timestamp_diff("SECOND", since, now) / 86400).cast("int")
+    return F.when(passed.isNotNull(), F.greatest(F.lit(0), passed))
 
 
 def weekly(pcm: Column) -> Column:

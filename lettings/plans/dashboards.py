@@ -111,17 +111,6 @@ def r_stale(t: Tables) -> DataFrame:
     return t.listings.agg(*(F.count_if(days() >= d).alias(f"d{d}") for d in STALE_DAYS))
 
 
-@query(f"SELECT {DISTRICT} AS district, MEDIAN({DAYS}) FILTER (WHERE price_pcm < 5000) AS low, MEDIAN({DAYS}) FILTER (WHERE price_pcm >= 5000) AS high FROM listings GROUP BY 1")
-def r_heatmap(t: Tables) -> DataFrame:
-    low = F.col("price_pcm") < 5000
-    return t.listings.groupBy(A.district_by_space(F.col("postcode")).alias("district")).agg(F.median(F.when(low, days())).alias("low"), F.median(F.when(~low, days())).alias("high"))
-
-
-@query(f"SELECT SPLIT_PART(agent_name, ',', 1) AS agency, COUNT(*) AS n, MEDIAN({DAYS}) AS median_days FROM listings WHERE agent_name IS NOT NULL GROUP BY 1 HAVING COUNT(*) >= 20")
-def r_agency_speed(t: Tables) -> DataFrame:
-    return t.listings.where("agent_name is not null").groupBy(X.brand(F.col("agent_name")).alias("agency")).agg(rows().alias("n"), F.median(days()).alias("median_days")).where("n >= 20")
-
-
 @query("SELECT source, COUNT(*) FILTER (WHERE added_date LIKE 'Reduced%') AS reduced, COUNT(*) AS total, ROUND(COUNT(*) FILTER (WHERE added_date LIKE 'Reduced%') * 100.0 / COUNT(*), 4) AS rate FROM listings WHERE added_date IS NOT NULL GROUP BY source")
 def r_agency_reductions(t: Tables) -> DataFrame:
     by = t.listings.where("added_date is not null").groupBy("source").agg(F.count_if(X.event_type(F.col("added_date")) == "reduced").alias("reduced"), rows().alias("total"))
