@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import address as A
 from ..functions import listing as X
 from .catalogue import Tables, query
 
