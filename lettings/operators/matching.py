@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -16,17 +17,21 @@ CONFIDENCE = {"coords": 0.95, "exact": 0.90, "fuzzy": 0.75}
 CELL = METRES / 110_500
 #: Longitude cells are made for latitudes up to this; beyond it (no town of the market) rows are not placed.
 FARTHEST = 66.0
+#: The folder of a local session without spark.checkpoint.dir, once there is one.
+OWN_FOLDER: dict[str, str] = {}
 
 
 def lasting(df: DataFrame) -> DataFrame:
-    """The table with its lineage cut, in the shared folder; only a local session gets a folder of its own."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local"):
+    """The table, written once to the shared folder and read from there; only a local session gets a folder of its own."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or OWN_FOLDER.get("path")
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
+        folder = OWN_FOLDER["path"] = f"file://{tempfile.mkdtemp(prefix='matching-')}"
+    path = f"{folder}/matching-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def price_band(price: Column) -> Column:
@@ -173,8 +178,8 @@ def cross_pairs(rows: DataFrame, least: float = RATIO) -> DataFrame:
 
 def components(pairs: DataFrame) -> DataFrame:
     """``id``, ``root`` for each id in the pairs (a, b): the least id that it is connected to. Labels go to neighbours and jump to their labels' labels, until none changes."""
-    both = pairs.where("a <> b").select("a", "b").unionByName(pairs.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = lasting(both)
+    one_way = lasting(pairs.where("a <> b").select("a", "b"))
+    both = lasting(one_way.unionByName(one_way.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = lasting(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("root")).withColumnRenamed("a", "id"))
     while True:
         near = both.join(labels, F.col("b") == F.col("id")).groupBy("a").agg(F.min("root").alias("m"))
