@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, main_text, mixing, neighbours, personal_data, pseudo_likelihood, quality, token_files, url_filter
+from . import bpe_automaton, decontaminate, jaccard_join, main_text, mixing, neighbours, personal_data, pseudo_likelihood, quality, token_files, url_filter
 from ._shared import table
 
 #: Folder of the public tokenizer files where the package that knows it is missing.
@@ -79,6 +79,14 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.detect(table(spark, sf_dir, "documents"))
 
 
+def op11_bpe_automaton(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    """Token ids of every document and the text they decode to: their number and checksums."""
+    automaton = bpe_automaton.Automaton(Path(tokenizer or tokenizer_file("byte_bpe_50k.json")).read_text())
+    rows = bpe_automaton.decode(bpe_automaton.encode(table(spark, sf_dir, "documents"), automaton), automaton)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_quality": op2_quality,
@@ -90,5 +98,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_main_text": op8_main_text,
     "op9_url_filter": op9_url_filter,
     "op10_personal_data": op10_personal_data,
+    "op11_bpe_automaton": op11_bpe_automaton,
 }
 ORACLES: dict[str, str] = {}
