@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_automaton, decontaminate, jaccard_join, main_text, mixing, neighbours, personal_data, pseudo_likelihood, quality, token_files, url_filter
+from . import bpe_automaton, decontaminate, jaccard_join, main_text, mixing, neighbours, periodic_runs, personal_data, pseudo_likelihood, quality, token_files, url_filter
 from ._shared import table
 
 #: Folder of the public tokenizer files where the package that knows it is missing.
@@ -87,6 +89,26 @@ def op11_bpe_automaton(spark: SparkSession, sf_dir: str, tokenizer: str | None =
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def planted(doc_id: int | None, n: int) -> np.ndarray | None:
+    """The words of a tenth of the documents, by crc32 of doc_id, where a stretch is repeated to the end; a null doc_id has none."""
+    h = zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10 or not n:
+        return None
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return np.concatenate([np.arange(a), a + np.arange(n - a) % p])
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All periodic runs of every document's words, the one of most periods, and the words without repeats."""
+    rows = periodic_runs.detect(table(spark, sf_dir, "documents"), rewrite=planted)
+    lines = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    best = F.expr(f"reduce(runs, cast(null as {periodic_runs.RUN}), (b, r) -> if(b is null or r.length * b.period > b.length * r.period, r, b))")
+    rows = rows.withColumn("best", best)
+    return rows.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"), F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_quality": op2_quality,
@@ -99,5 +121,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_filter": op9_url_filter,
     "op10_personal_data": op10_personal_data,
     "op11_bpe_automaton": op11_bpe_automaton,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 ORACLES: dict[str, str] = {}
