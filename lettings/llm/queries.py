@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_automaton, decontaminate, jaccard_join, main_text, mixing, neighbours, periodic_runs, personal_data, pseudo_likelihood, quality, token_files, url_filter
+from . import bpe_automaton, collocations, decontaminate, jaccard_join, main_text, mixing, neighbours, periodic_runs, personal_data, pseudo_likelihood, quality, token_files, url_filter
 from ._shared import table
 
 #: Folder of the public tokenizer files where the package that knows it is missing.
@@ -109,6 +109,11 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"), F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's 2000 phrases of two to four words that keep together best."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_quality": op2_quality,
@@ -122,5 +127,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_personal_data": op10_personal_data,
     "op11_bpe_automaton": op11_bpe_automaton,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_collocations": op13_collocations,
 }
 ORACLES: dict[str, str] = {}
