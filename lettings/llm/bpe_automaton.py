@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -31,6 +31,8 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N
 ASCII_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
 #: Words that a worker remembers (and as many before them), and the longest of them in characters.
 WORDS, LETTERS = 300_000, 64
+#: Pairs of state and label that a worker remembers.
+PAIRS = 4_000_000
 #: The state that reading begins in.
 START = -1
 
@@ -56,12 +58,15 @@ class Known(dict):
     def __missing__(self, word: str) -> tuple[int, ...]:
         ids = self.old.get(word) or self.find(word)
         if len(word) <= LETTERS:
-            if len(self) >= WORDS:
-                self.old = dict(self)
-                self.clear()
-            self[word] = ids
+            self.remember([(word, ids)])
         return ids
 
+    def remember(self, found: Iterable[tuple[str, tuple[int, ...]]]) -> None:
+        if len(self) >= WORDS:
+            self.old = dict(self)
+            self.clear()
+        self.update(found)
+
 
 class Automaton:
     """Compiled merges.
@@ -107,16 +112,29 @@ class Automaton:
             for byte in self.labels[t]:
                 node = node.setdefault(byte, {})
             node[-1] = t
+        #: The same in arrays: edges as node * 256 + byte in order, where they lead, the label that ends at each node, and labels' lengths.
+        nodes, edges = [self.root], []
+        for n, node in enumerate(nodes):  # grows meanwhile
+            for byte, child in node.items():
+                if byte >= 0:
+                    edges.append((n << 8 | byte, len(nodes)))
+                    nodes.append(child)
+        self.edges, self.child = np.array(sorted(edges), np.int64).T.copy()
+        self.ends = np.array([node.get(-1, -1) for node in nodes], np.int64)
+        self.lengths = np.zeros(max(self.labels) + 1, np.int64)
+        for i, label in self.labels.items():
+            self.lengths[i] = len(label)
         self.clear()
 
     def clear(self) -> None:
         self.arcs: dict[int, dict[int, bool]] = {}
+        self.pairs, self.there = np.array([-1], np.int64), np.array([False])
         self.words, self.chunks = Known(lambda word: tuple(self.path(word.encode()))), Known(self.chunk)
         self.any_split, self.ascii_split = regex.compile(SPLIT), re.compile(ASCII_SPLIT, re.ASCII)
         self.apart = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("arcs", "words", "chunks", "any_split", "ascii_split", "apart")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("arcs", "pairs", "there", "words", "chunks", "any_split", "ascii_split", "apart")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
@@ -172,15 +190,77 @@ class Automaton:
             state = label
         return path
 
+    def lead(self, states: np.ndarray, labels: np.ndarray) -> np.ndarray:
+        """``leads`` of many, from a sorted table of the pairs met before."""
+        keys = (states + 1) << 32 | labels
+        at = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
+        new = np.unique(keys[self.pairs[at] != keys])
+        if len(new):
+            if len(self.pairs) > PAIRS:
+                self.pairs, self.there = self.pairs[:1], self.there[:1]
+                return self.lead(states, labels)
+            found = [self.leads((k >> 32) - 1, k & 0xFFFFFFFF) for k in new.tolist()]
+            place = np.searchsorted(self.pairs, new)
+            self.pairs, self.there = np.insert(self.pairs, place, new), np.insert(self.there, place, found)
+            at = np.searchsorted(self.pairs, keys)
+        return self.there[at]
+
+    def paths(self, words: list[bytes]) -> list[tuple[int, ...]]:
+        """The paths of many words, all of them one arc on, or back, at a time."""
+        data, size = np.frombuffer(b"".join(words), np.uint8), np.array([len(w) for w in words], np.int64)
+        end = np.cumsum(size)
+        begin, at = end - size, end - size
+        #: By byte: the label that ends with it, and the most bytes of one that begins with it.
+        into, most = np.full(len(data), START, np.int64), np.full(len(data), len(data), np.int64)
+        live = np.flatnonzero(size)
+        while len(live):
+            place, stop, walk = at[live], end[live], np.arange(len(live))
+            bound, node, found = most[place], np.zeros(len(live), np.int64), []
+            while len(walk := walk[(place[walk] < stop[walk]) & (bound[walk] > len(found))]):
+                keys = node[walk] << 8 | data[place[walk]]
+                edge = np.minimum(np.searchsorted(self.edges, keys), len(self.edges) - 1)
+                on = self.edges[edge] == keys
+                walk, edge = walk[on], edge[on]
+                node[walk] = self.child[edge]
+                place[walk] += 1
+                label = self.ends[node[walk]]
+                found.append((walk[label >= 0], label[label >= 0]))
+            state = np.where(at[live] > begin[live], into[at[live] - 1], START)
+            chosen = np.full(len(live), -1, np.int64)
+            for walk, label in reversed(found):
+                open_ = chosen[walk] < 0
+                walk, label = walk[open_], label[open_]
+                on = self.lead(state[walk], label)
+                chosen[walk[on]] = label[on]
+            back, live, chosen = live[chosen < 0], live[chosen >= 0], chosen[chosen >= 0]
+            at[live] += self.lengths[chosen]
+            into[at[live] - 1] = chosen
+            long = self.lengths[into[at[back] - 1]]  # this arc leads nowhere: shorter ones are next
+            at[back] -= long
+            most[at[back]] = long - 1
+            live = np.append(live[at[live] < end[live]], back)
+        word, labels, live = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.flatnonzero(size)
+        while len(live):
+            word.append(live)
+            labels.append(into[at[live] - 1])
+            at[live] -= self.lengths[labels[-1]]
+            live = live[at[live] > begin[live]]
+        of = np.concatenate(word)
+        flat = np.concatenate(labels)[::-1][np.argsort(of[::-1], kind="stable")].tolist()
+        ends = np.cumsum(np.bincount(of, minlength=len(words))).tolist()
+        return [tuple(flat[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
+
     def chunk(self, part: str) -> tuple[int, ...]:
         if not part or part[0].isspace():
             raise Odd
         return tuple(self.plain(" " + part))
 
+    def split(self, text: str) -> list[str]:
+        return (self.ascii_split if text.isascii() else self.any_split).findall(text)
+
     def plain(self, text: str) -> Iterator[int]:
         """Ids of a text's words."""
-        split = self.ascii_split if text.isascii() else self.any_split
-        return chain.from_iterable(map(self.words.__getitem__, split.findall(text)))
+        return chain.from_iterable(map(self.words.__getitem__, self.split(text)))
 
     def piece(self, text: str) -> list[int]:
         """Ids of a text without added tokens. A word begins at each blank before another character, so what is between can be remembered."""
@@ -190,6 +270,15 @@ class Automaton:
         except Odd:
             return list(self.plain(text))
 
+    def meet(self, texts: list[str]) -> None:
+        """Remembers what follows blanks in the texts, and its words, where they are new."""
+        new = set(chain.from_iterable(t.split(" ")[1:] for t in texts)).difference(self.chunks, self.chunks.old)
+        parts = {part: self.split(" " + part) for part in new if part and len(part) < LETTERS and not part[0].isspace()}
+        words = list(set(chain.from_iterable(parts.values())).difference(self.words, self.words.old))
+        self.words.remember(zip(words, self.paths([w.encode() for w in words]), strict=True))
+        ids = self.words.__getitem__
+        self.chunks.remember((part, ids(split[0]) if len(split) == 1 else tuple(chain.from_iterable(map(ids, split)))) for part, split in parts.items())
+
     def encode(self, text: str) -> list[int]:
         """Ids of a text, as the library gives them; added tokens in it are one id each."""
         at = 0
@@ -199,6 +288,10 @@ class Automaton:
             at = m.end()
         return ids + self.piece(text[at:])
 
+    def encode_many(self, texts: list[str]) -> list[list[int]]:
+        self.meet(texts)
+        return list(map(self.encode, texts))
+
 
 def encode(docs: DataFrame, automaton: Automaton) -> DataFrame:
     """``doc_id`` and ``ids``, those of the whole text, for every row of docs (doc_id, text).
@@ -211,7 +304,7 @@ def encode(docs: DataFrame, automaton: Automaton) -> DataFrame:
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shared.value.encode(t or "") for t in column(batch, "text")]
+            found = shared.value.encode_many([t or "" for t in column(batch, "text")])
             flat = np.fromiter(chain.from_iterable(found), np.int32, sum(map(len, found)))
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]).astype(np.int32)), pa.array(flat))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["doc_id", "ids"])
