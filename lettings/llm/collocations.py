@@ -26,7 +26,7 @@ from ._shared import Cut, checked_broadcast, column, map_batches
 #: Words of the longest phrase.
 DEPTH = 4
 #: Words of a shard's tries, and of a range, rims aside, before equal paths are merged.
-SHARD_WORDS, RANGE_WORDS = 2_000_000, 4_000_000
+SHARD_WORDS, RANGE_WORDS = 2_000_000, 2_000_000
 #: Documents that range limits are taken from (at least), and words between two of the places to choose from.
 LIMIT_DOCS, LIMIT_STEP = 2000, 400
 #: Bytes that end a piece, bytes between words, and bytes in lower case.
@@ -89,7 +89,7 @@ def packed(paths: np.ndarray, counts: np.ndarray, vocabulary: pa.Array) -> tuple
     return len(raw), pa.compress(raw, "zstd", asbytes=True)
 
 
-def unpacked(size: int, blob: bytes) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+def unpacked(size: int, blob: bytes | pa.Buffer) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """What was packed: paths with numbers from 1, counts, and the words in order."""
     raw, at = pa.decompress(blob, size, "zstd", asbytes=True), 0
 
@@ -101,10 +101,10 @@ def unpacked(size: int, blob: bytes) -> tuple[np.ndarray, np.ndarray, pa.Array]:
 
     n, words, *levels, width = take(DEPTH + 3, np.int64).tolist()
     shared, length, counts = take(n, np.uint8), take(n, np.uint8), take(n, np.int64)
-    paths = np.zeros((n, DEPTH), np.int64)
+    paths = np.zeros((n, DEPTH), np.int32)
     for d, k in enumerate(levels):
         given = (shared <= d) & (length > d)
-        values = take(k, np.uint16 if width == 2 else np.uint32).astype(np.int64)
+        values = take(k, np.uint16 if width == 2 else np.uint32).astype(np.int32)
         nth = np.maximum(np.cumsum(given) - 1, 0)
         paths[:, d] = np.where(length > d, values[nth] if k else 0, 0)
     offsets = np.append(0, np.cumsum(take(words, np.int32))).astype(np.int64)
@@ -116,10 +116,12 @@ def merged(tries: list[tuple[np.ndarray, np.ndarray, pa.Array]]) -> tuple[np.nda
     """One trie of several, equal paths' counts summed. The sort is stable, so it merges what is in order already."""
     numbers, vocabulary = in_order(pa.concat_arrays([t[2] for t in tries]))
     begins = np.cumsum([0, *[len(t[2]) for t in tries]])
-    paths = np.concatenate([np.append(0, numbers[a:b])[t[0]] for t, a, b in zip(tries, begins[:-1], begins[1:], strict=True)])
+    numbers = numbers.astype(np.int32)
+    paths = np.concatenate([np.append(np.int32(0), numbers[a:b])[t[0]] for t, a, b in zip(tries, begins[:-1], begins[1:], strict=True)])
     counts = np.concatenate([t[1] for t in tries])
-    front, back = (np.unique(paths[:, d] << 32 | paths[:, d + 1], return_inverse=True)[1] for d in (0, 2))
-    keys = front << 32 | back
+    keys = np.zeros(len(paths), np.int64)
+    for d in (0, 2):
+        keys = keys << 32 | np.unique(paths[:, d].astype(np.int64) << 32 | paths[:, d + 1], return_inverse=True)[1]
     order = np.argsort(keys, kind="stable")
     begin = np.flatnonzero(np.append(True, np.diff(keys[order]) > 0)[: len(order)])
     return paths[order[begin]], np.add.reduceat(counts[order], begin), vocabulary
@@ -136,7 +138,7 @@ def counted(paths: np.ndarray, counts: np.ndarray, least: int) -> Iterator[tuple
     for d in range(DEPTH):
         changed[1:] |= paths[1:, d] != paths[:-1, d]
         begins.append(np.flatnonzero(changed))
-        group.append(np.cumsum(changed) - 1)
+        group.append((np.cumsum(changed) - 1).astype(np.int32))
         sums.append(np.add.reduceat(counts, begins[-1]))
         rim = np.zeros(len(begins[-1]), bool)
         rim[[0, -1]] = True
@@ -223,7 +225,7 @@ def phrases(docs: DataFrame, least: int = 30) -> tuple[Cut, DataFrame]:
                 yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([nth], pa.int32()), pa.array([size]), pa.array([blob], pa.binary())], names=["lang", "nth", "size", "trie"])
 
     def merge(key: tuple, rows: pa.Table) -> pa.Table:
-        paths, counts, vocabulary = merged([unpacked(s, b) for s, b in zip(column(rows, "size"), column(rows, "trie"), strict=True)])
+        paths, counts, vocabulary = merged([unpacked(s.as_py(), b.as_buffer()) for s, b in zip(rows.column("size"), rows.column("trie"), strict=True)])
         words = vocabulary.to_pylist()
         found = [("", 0, int(counts.sum()), True, [])]
         found += [(b" ".join([words[k - 1] for k in p]).decode(), len(p), f, rim, left) for p, f, rim, left in counted(paths, counts, least)]
