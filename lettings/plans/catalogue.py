@@ -46,4 +46,4 @@ def query(sql: str | None = None):
     return register
 
 
-from . import agencies, aggregates, dashboards, duplicates, extraction, joins, matching, projections, reports, selections, windows  # noqa: E402, F401
+from . import agencies, aggregates, dashboards, duplicates, extraction, floors, joins, matching, projections, rent_model, reports, selections, windows  # noqa: E402, F401

@@ -9,15 +9,13 @@ from ..functions import address as A
 from ..functions import listing as X
 from ..functions import wording as W
 from .catalogue import Tables, query
-from .matching import PRIORITY_SQL, priority
+from .rent_model import LOADED, loaded
 
 SUMMARY = "LOWER(COALESCE(summary, ''))"
 FLAGS = {n: f"CAST(regexp_matches({SUMMARY}, '{p}') AS INT)" for n, p in W.AMENITIES.items()}
 OUTDOOR = f"CAST({SUMMARY} LIKE '%balcon%' OR {SUMMARY} LIKE '%terrace%' OR {SUMMARY} LIKE '%garden%' AS INT)"
 #: As SQL: agency by the four names that the tables have.
 AGENCY = "CASE WHEN agent_name IS NULL THEN 'Unknown' ELSE TRIM(SPLIT_PART(agent_name, ',', 1)) END"
-SOUND = """size_sqft / CAST(CASE WHEN bedrooms = 0 THEN 0.5 ELSE bedrooms END AS DOUBLE) >= 70 AND price_pcm BETWEEN 500 AND 100000 AND size_sqft BETWEEN 150 AND 10000 AND CAST(price_pcm AS DOUBLE) / size_sqft BETWEEN 3 AND 30"""
-LOADED = f"(SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY LOWER(TRIM(address)), LOWER(TRIM(postcode)) ORDER BY {PRIORITY_SQL} DESC, id) AS rn FROM listings WHERE {SOUND}) s WHERE rn = 1)"
 
 
 @query(f"SELECT id, {', '.join(f'{sql} AS {n}' for n, sql in FLAGS.items())}, {OUTDOOR} AS has_outdoor_space, CASE WHEN summary LIKE '%ground floor%' THEN 0 END AS floor_level, CAST(NULL AS VARCHAR) AS furnished FROM listings")
@@ -67,36 +65,6 @@ def fn_days_fractional(t: Tables) -> DataFrame:
     return t.listings.select("id", ((F.unix_micros(F.col("last_seen").cast("timestamp")) - F.unix_micros(F.col("first_seen").cast("timestamp"))) / 86400e6).alias("days"))
 
 
-def loaded(t: Tables) -> DataFrame:
-    """Rows to learn from: sound ones, of each address and postcode the one of the best source. One aggregate, no window."""
-    rows = t.listings
-    sound = rows.where(X.sound({c: F.col(c) for c in rows.columns}))
-    best = F.max_by(F.struct(*rows.columns), F.struct(priority(F.col("source")), -F.col("id"))).alias("row")
-    return sound.groupBy(F.lower(F.trim("address")).alias("_a"), F.lower(F.trim("postcode")).alias("_p")).agg(best).select("row.*")
-
-
-@query(f"SELECT id, source, price_pcm, size_sqft FROM {LOADED} m")
-def ml_load(t: Tables) -> DataFrame:
-    return loaded(t).select("id", "source", "price_pcm", "size_sqft")
-
-
-@query(f"SELECT id, LN(1 + price_pcm) AS target, EXP(LN(1 + price_pcm)) - 1 AS price FROM {LOADED} m")
-def ml_target_log(t: Tables) -> DataFrame:
-    target = F.log1p("price_pcm")
-    return loaded(t).select("id", target.alias("target"), F.expm1(target).alias("price"))
-
-
-@query(f"""WITH m AS {LOADED}, top AS (SELECT d, ROW_NUMBER() OVER (ORDER BY n DESC, d) AS rank FROM (SELECT SPLIT_PART(postcode, ' ', 1) AS d, COUNT(*) AS n FROM m GROUP BY 1) x QUALIFY rank <= 3)
-SELECT id, CASE WHEN top.rank = 1 THEN 1 ELSE 0 END AS first_district, CASE WHEN top.rank = 2 THEN 1 ELSE 0 END AS second_district, CASE WHEN top.rank = 3 THEN 1 ELSE 0 END AS third_district FROM m LEFT JOIN top ON top.d = SPLIT_PART(postcode, ' ', 1)""")
-def ml_onehot(t: Tables) -> DataFrame:
-    """Indicators of the three districts with most rows; the table of districts is joined, not collected."""
-    rows = loaded(t).select("id", F.substring_index("postcode", " ", 1).alias("district"))
-    top = rows.groupBy("district").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "district").limit(3)
-    ranks = top.agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "district"))).alias("top"))  # one row of three
-    at = F.array_position(F.transform("top", lambda x: x["district"]), F.col("district"))
-    return rows.crossJoin(F.broadcast(ranks)).select("id", *[(F.coalesce(at, F.lit(0)) == i).cast("int").alias(f"{n}_district") for i, n in enumerate(("first", "second", "third"), 1)])
-
-
 @query(f"""WITH m AS {LOADED}, r AS (SELECT SPLIT_PART(postcode, ' ', 1) AS d, SUM(CAST(price_pcm AS DOUBLE)) / SUM(size_sqft) AS rate, COUNT(*) AS n FROM m GROUP BY 1), g AS (SELECT SUM(CAST(price_pcm AS DOUBLE)) / SUM(size_sqft) AS rate FROM m)
 SELECT id, p AS predicted, p * 0.82 AS low, p * 1.18 AS high FROM (SELECT id, size_sqft * (LEAST(r.n / 10.0, 1) * r.rate + (1 - LEAST(r.n / 10.0, 1)) * g.rate) AS p FROM m JOIN r ON r.d = SPLIT_PART(postcode, ' ', 1) CROSS JOIN g) x""")
 def ml_predict_blend(t: Tables) -> DataFrame:
