@@ -112,15 +112,24 @@ def mix(docs: DataFrame, seed: int = 1, block: int = 8, shard_docs: int = 1000,
     return placed.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), copies.cast("long").alias("copies"), F.col("_h").alias("row_hash"))
 
 
+#: Copies of one document that are made by one row of the join; more are dealt to more rows.
+COPIES = 1000
+
+
 def mixed_documents(docs: DataFrame, seed: int = 1, **options: object) -> DataFrame:
     """The documents of the mix, each as often as its ``copies`` say, with the columns of ``docs``, whatever their names.
 
-    Null texts have no words and are never taken; of an empty table nothing is.
+    Rows of equal doc_id, text and source are one document that the mix holds as often as it takes
+    them together; if their other columns differ, the copies have those of the least hash. Null texts
+    have no words and are never taken; of an empty table nothing is.
     """
-    plan = mix(docs, seed, **options).where("copies > 0").select(F.col("row_hash").alias("_h"), F.col("doc_id").alias("_id"), "copies")
-    # Equal rows share hash and id: their copies are numbered by one row each.
-    plan = plan.groupBy("_h", "_id").agg(F.sum("copies").alias("copies"))
+    plan = mix(docs, seed, **options).where("copies > 0").select(F.col("row_hash").alias("_h"), F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "copies")
+    plan = plan.groupBy("_h", "_id", "_source").agg(F.sum("copies").alias("copies"))
+    plan = plan.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("copies") - 1) / COPIES).cast("int"))).alias("_part"))
+    plan = plan.withColumn("copies", F.least(F.lit(COPIES), F.col("copies") - F.col("_part") * COPIES))
     # The document is one column meanwhile, so that none of its names can clash.
-    rows = docs.select(F.xxhash64(F.lit(seed), "doc_id", "text").alias("row"), F.col("doc_id").alias("id"), F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("doc"))
-    joined = rows.join(plan, (F.col("row") == F.col("_h")) & F.col("id").eqNullSafe(F.col("_id")))
+    doc = F.struct(*[docs[f"`{c}`"] for c in docs.columns])
+    rows = docs.select(F.xxhash64(F.lit(seed), "doc_id", "text").alias("row"), F.col("doc_id").alias("id"), F.col("source").alias("from"), doc.alias("doc"))
+    rows = rows.groupBy("row", "id", "from").agg(F.min_by("doc", F.xxhash64("doc")).alias("doc"))
+    joined = rows.join(plan, (F.col("row") == F.col("_h")) & F.col("id").eqNullSafe(F.col("_id")) & F.col("from").eqNullSafe(F.col("_source")))
     return joined.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("nth")).select("doc.*")

@@ -134,10 +134,12 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: i
 
 
 def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """Learning rows (doc_id, text, n_chars, quality): at most ``sample``, none held out, the first by a hash of doc_id."""
+    """Learning rows (doc_id, text, n_chars, quality): at most ``sample``, none held out, the first by a hash of doc_id; of a repeated doc_id the row of the least text hash."""
     good = labels.where("doc_id is not null and quality in (0, 1) and crc32(cast(doc_id as string)) % 4 <> 2")
     few = good.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64(F.lit(7), "doc_id"), "doc_id").limit(sample)
-    return docs.select("doc_id", "text", "n_chars").join(F.broadcast(few), "doc_id")
+    rows = docs.select("doc_id", "text", "n_chars").join(F.broadcast(few), "doc_id")
+    one = F.min_by(F.struct("text", "n_chars"), F.struct(F.xxhash64("text"), "n_chars")).alias("row")
+    return rows.groupBy("doc_id", "quality").agg(one).select("doc_id", "row.text", "row.n_chars", "quality")
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> FactorisationMachine:
