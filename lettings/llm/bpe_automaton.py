@@ -15,11 +15,12 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -29,8 +30,10 @@ from ._shared import column, map_batches
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: The same for texts of ASCII characters.
 ASCII_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
-#: Words that a worker remembers (and as many before them), and the longest of them in characters.
-WORDS, LETTERS = 300_000, 64
+#: Words, and as many strings between blanks, that a worker remembers, and the longest of them in characters.
+WORDS, LETTERS = 500_000, 64
+#: Ids that are decoded together.
+ROUND_IDS = 1_000_000
 #: Pairs of state and label that a worker remembers.
 PAIRS = 4_000_000
 #: The state that reading begins in.
@@ -44,28 +47,26 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-class Odd(Exception):
-    """A blank that white space or nothing follows."""
+class Store:
+    """Ids of known strings: ``place`` tells where in ``starts`` and ``lengths`` each stands, these where in ``flat`` its ids are."""
 
+    def __init__(self) -> None:
+        self.place: dict[str, int] = {}
+        self.flat, self.starts, self.lengths = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-class Known(dict):
-    """Ids of words, or of what follows a blank up to the next, found when first asked for and remembered up to a bound."""
+    def add(self, new: list[str], flat: np.ndarray, n: np.ndarray) -> None:
+        at = len(self.lengths)
+        self.place.update(zip(new, range(at, at + len(new)), strict=True))
+        self.starts = np.append(self.starts, len(self.flat) + np.cumsum(n) - n)
+        self.lengths, self.flat = np.append(self.lengths, n), np.append(self.flat, flat.astype(np.int32))
 
-    def __init__(self, find: Callable[[str], tuple[int, ...]]):
-        super().__init__()
-        self.find, self.old = find, {}
+    def places(self, strings: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.place.__getitem__, strings), np.int64, len(strings))
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        ids = self.old.get(word) or self.find(word)
-        if len(word) <= LETTERS:
-            self.remember([(word, ids)])
-        return ids
-
-    def remember(self, found: Iterable[tuple[str, tuple[int, ...]]]) -> None:
-        if len(self) >= WORDS:
-            self.old = dict(self)
-            self.clear()
-        self.update(found)
+    def gather(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the strings, one after the other, and the number of each."""
+        n = self.lengths[places]
+        return self.flat[np.repeat(self.starts[places] - (np.cumsum(n) - n), n) + np.arange(n.sum())], n
 
 
 class Automaton:
@@ -129,7 +130,7 @@ class Automaton:
     def clear(self) -> None:
         self.arcs: dict[int, dict[int, bool]] = {}
         self.pairs, self.there = np.array([-1], np.int64), np.array([False])
-        self.words, self.chunks = Known(lambda word: tuple(self.path(word.encode()))), Known(self.chunk)
+        self.words, self.chunks = Store(), Store()
         self.any_split, self.ascii_split = regex.compile(SPLIT), re.compile(ASCII_SPLIT, re.ASCII)
         self.apart = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
 
@@ -205,8 +206,8 @@ class Automaton:
             at = np.searchsorted(self.pairs, keys)
         return self.there[at]
 
-    def paths(self, words: list[bytes]) -> list[tuple[int, ...]]:
-        """The paths of many words, all of them one arc on, or back, at a time."""
+    def paths(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The paths of many words, one after the other, and the length of each; all words go one arc on, or back, at a time."""
         data, size = np.frombuffer(b"".join(words), np.uint8), np.array([len(w) for w in words], np.int64)
         end = np.cumsum(size)
         begin, at = end - size, end - size
@@ -246,51 +247,72 @@ class Automaton:
             at[live] -= self.lengths[labels[-1]]
             live = live[at[live] > begin[live]]
         of = np.concatenate(word)
-        flat = np.concatenate(labels)[::-1][np.argsort(of[::-1], kind="stable")].tolist()
-        ends = np.cumsum(np.bincount(of, minlength=len(words))).tolist()
-        return [tuple(flat[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
-
-    def chunk(self, part: str) -> tuple[int, ...]:
-        if not part or part[0].isspace():
-            raise Odd
-        return tuple(self.plain(" " + part))
+        return np.concatenate(labels)[::-1][np.argsort(of[::-1], kind="stable")], np.bincount(of, minlength=len(words))
 
     def split(self, text: str) -> list[str]:
         return (self.ascii_split if text.isascii() else self.any_split).findall(text)
 
-    def plain(self, text: str) -> Iterator[int]:
-        """Ids of a text's words."""
-        return chain.from_iterable(map(self.words.__getitem__, self.split(text)))
-
-    def piece(self, text: str) -> list[int]:
-        """Ids of a text without added tokens. A word begins at each blank before another character, so what is between can be remembered."""
-        head, *parts = text.split(" ")
-        try:
-            return [*self.plain(head), *chain.from_iterable(map(self.chunks.__getitem__, parts))]
-        except Odd:
-            return list(self.plain(text))
-
-    def meet(self, texts: list[str]) -> None:
-        """Remembers what follows blanks in the texts, and its words, where they are new."""
-        new = set(chain.from_iterable(t.split(" ")[1:] for t in texts)).difference(self.chunks, self.chunks.old)
-        parts = {part: self.split(" " + part) for part in new if part and len(part) < LETTERS and not part[0].isspace()}
-        words = list(set(chain.from_iterable(parts.values())).difference(self.words, self.words.old))
-        self.words.remember(zip(words, self.paths([w.encode() for w in words]), strict=True))
-        ids = self.words.__getitem__
-        self.chunks.remember((part, ids(split[0]) if len(split) == 1 else tuple(chain.from_iterable(map(ids, split)))) for part, split in parts.items())
-
     def encode(self, text: str) -> list[int]:
         """Ids of a text, as the library gives them; added tokens in it are one id each."""
         at = 0
         ids: list[int] = []
-        for m in self.apart.finditer(text) if self.apart else ():
-            ids += [*self.piece(text[at : m.start()]), self.special[m.group()]]
-            at = m.end()
-        return ids + self.piece(text[at:])
+        for m in [*(self.apart.finditer(text) if self.apart else ()), None]:
+            for word in self.split(text[at : m.start()] if m else text[at:]):
+                ids += self.path(word.encode())
+            if m:
+                ids.append(self.special[m.group()])
+                at = m.end()
+        return ids
 
-    def encode_many(self, texts: list[str]) -> list[list[int]]:
-        self.meet(texts)
-        return list(map(self.encode, texts))
+    def learn(self, parts: list[str]) -> None:
+        """Remembers what stands between blanks, with the blank before it, and its words."""
+        split = [self.split(" " + part) for part in parts]
+        words = list(chain.from_iterable(split))
+        new = list({w for w in words if w not in self.words.place})
+        self.words.add(new, *self.paths([w.encode() for w in new]))
+        flat, n = self.words.gather(self.words.places(words))
+        ends = np.cumsum(np.array([len(x) for x in split], np.int64))
+        self.chunks.add(parts, flat, np.diff(np.append(0, np.cumsum(n))[ends], prepend=0))
+
+    def encode_many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts, one after the other, and the number of each.
+
+        A word begins at each blank that another character follows, so what stands between blanks is
+        remembered. Texts with other blanks, added tokens or long words go word by word.
+        """
+        for store in ("chunks", "words"):
+            if len(getattr(self, store).place) > WORDS:
+                setattr(self, store, Store())
+        lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        coded, ends = lists.flatten().dictionary_encode(), np.asarray(lists.offsets).astype(np.int64)
+        parts, code = coded.dictionary.to_pylist(), np.asarray(coded.indices).astype(np.int64)
+        head = np.zeros(len(code), bool)
+        head[ends[:-1]] = True
+        plain = np.array([bool(p) and len(p) < LETTERS and not p[0].isspace() for p in parts], bool)
+        odd = np.add.reduceat(~plain[code] & ~head, ends[:-1]) > 0 if len(texts) else np.zeros(0, bool)
+        if self.apart:
+            odd |= np.array([self.apart.search(t) is not None for t in texts], bool)
+        used = np.zeros(len(parts), bool)
+        used[code[~head & ~np.repeat(odd, np.diff(ends))]] = True
+        known = self.chunks.place
+        needed = [p for p, u in zip(parts, used.tolist(), strict=True) if u]
+        self.learn([p for p in needed if p not in known])
+        place = np.zeros(len(parts), np.int64)
+        place[used] = self.chunks.places(needed)
+        # Firsts and odd texts are put in between.
+        whole = [self.encode(t) if o else self.encode(t.partition(" ")[0]) for t, o in zip(texts, odd.tolist(), strict=True)]
+        use = ~head & used[code] & ~np.repeat(odd, np.diff(ends))
+        flat, n = self.chunks.gather(place[code[use]])
+        text = np.repeat(np.arange(len(texts)), np.diff(ends))[use]
+        rest = np.bincount(text, n, len(texts)).astype(np.int64)
+        first = np.array([len(w) for w in whole], np.int64)
+        out = np.empty(int(first.sum() + rest.sum()), np.int32)
+        begin = np.cumsum(first + rest) - rest - first
+        is_first = np.zeros(len(out), bool)
+        is_first[np.repeat(begin - (np.cumsum(first) - first), first) + np.arange(first.sum())] = True
+        out[is_first] = np.fromiter(chain.from_iterable(whole), np.int32, int(first.sum()))
+        out[~is_first] = flat
+        return out, first + rest
 
 
 def encode(docs: DataFrame, automaton: Automaton) -> DataFrame:
@@ -304,9 +326,8 @@ def encode(docs: DataFrame, automaton: Automaton) -> DataFrame:
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = shared.value.encode_many([t or "" for t in column(batch, "text")])
-            flat = np.fromiter(chain.from_iterable(found), np.int32, sum(map(len, found)))
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]).astype(np.int32)), pa.array(flat))
+            flat, n = shared.value.encode_many([t or "" for t in column(batch, "text")])
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(flat))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["doc_id", "ids"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -318,12 +339,30 @@ def decode(rows: DataFrame, automaton: Automaton) -> DataFrame:
 
     Bytes that aren't UTF-8 become U+FFFD; ids without a label give nothing; null ids an empty text.
     """
-    shared = rows.sparkSession.sparkContext.broadcast(automaton.labels)
+    ids = np.array(sorted(automaton.labels), np.int64)
+    labels = b"".join([automaton.labels[i] for i in ids.tolist()])
+    size, start = np.zeros(ids.max() + 2, np.int64), np.zeros(ids.max() + 2, np.int64)
+    size[ids] = [len(automaton.labels[i]) for i in ids.tolist()]
+    start[ids] = np.cumsum(size[ids]) - size[ids]
+    shared = rows.sparkSession.sparkContext.broadcast((np.frombuffer(labels, np.uint8), size, start))
+
+    def joined(flat: np.ndarray) -> bytes:
+        labels, size, start = shared.value
+        flat = np.where((flat >= 0) & (flat < len(size)), flat, len(size) - 1)
+        out = []
+        for i in range(0, len(flat), ROUND_IDS):
+            some = flat[i : i + ROUND_IDS]
+            n = size[some]
+            out.append(labels[np.repeat(start[some] - (np.cumsum(n) - n), n) + np.arange(n.sum())].tobytes())
+        return b"".join(out)
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            label = shared.value.get
-            found = [b"".join([label(i, b"") for i in ids or ()]).decode(errors="replace") for ids in column(batch, "ids")]
+            lists = batch.column(1)
+            flat, ends = np.asarray(lists.flatten()), np.append(0, np.cumsum(np.asarray(lists.value_lengths().fill_null(0))))
+            n = np.append(0, np.cumsum(shared.value[1][np.where((flat >= 0) & (flat < len(shared.value[1])), flat, len(shared.value[1]) - 1)]))[ends]
+            data = joined(flat)
+            found = [data[a:b].decode(errors="replace") for a, b in zip(n[:-1].tolist(), n[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=["doc_id", "ids", "text"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
