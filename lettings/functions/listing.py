@@ -94,19 +94,32 @@ def amenity_flags(x: Column) -> dict[str, Column]:
     return {f"has_{w.replace(' ', '_')}": flag(w) for w in ("balcony", "garden", "lift", "porter", "parking", "roof terrace")}
 
 
+#: Issues for which a listing is dropped even where others are let pass.
+CRITICAL = ("missing source", "missing property_id", "missing url")
+
+
 def issues(row: dict[str, Column]) -> Column:
-    """What is wrong with a listing, as a list; empty if nothing."""
-    price = F.coalesce(row["price_pcm"], F.lit(0))
+    """What is wrong with a listing, as a list in the order of the rules; empty if nothing."""
+    none = lambda c: F.coalesce(row[c], F.lit("")) == ""
+    say = lambda before, c, after=")": F.concat(F.lit(before), row[c].cast("string"), F.lit(after))
+    price, sqft = row["price_pcm"], row["size_sqft"]
     found = [
-        F.when(F.coalesce(row["source"], F.lit("")) == "", "missing source"),
-        F.when(F.coalesce(row["property_id"], F.lit("")) == "", "missing property_id"),
-        F.when(price <= 0, "missing price"),
-        F.when(F.coalesce(row["postcode"], F.lit("")) == "", "missing postcode"),
-        F.when(row["bedrooms"] > 20, "too many bedrooms"),
+        F.when(none("source"), "missing source"),
+        F.when(none("property_id"), "missing property_id"),
+        F.when(F.coalesce(price, F.lit(0)) <= 0, F.lit("missing/invalid price_pcm")).when(price < 100, say("price_pcm too low (", "price_pcm")).when(price > 500000, say("price_pcm suspiciously high (", "price_pcm")),
+        F.when(F.length(F.coalesce(row["address"], F.lit(""))) < 5, "missing/invalid address"),
+        F.when(none("url"), F.lit("missing url")).when(~F.startswith(row["url"], F.lit("http")), F.concat(F.lit("invalid url format ("), F.substring(row["url"], 1, 30), F.lit("...)"))),
+        F.when((row["bedrooms"] < 0) | (row["bedrooms"] > 20), say("invalid bedrooms (", "bedrooms")),
+        F.when(sqft < 50, say("sqft too small (", "size_sqft")).when(sqft > 50000, say("sqft too large (", "size_sqft")),
     ]
     return F.array_compact(F.array(*found))
 
 
+def acceptable(found: Column, strict: bool = False) -> Column:
+    """Whether a listing with these issues is kept: without any, or, if not strict, without critical ones."""
+    return F.size(found) == 0 if strict else ~F.arrays_overlap(found, F.array(*map(F.lit, CRITICAL)))
+
+
 def sound(row: dict[str, Column]) -> Column:
     """Not masked by any of the seven quality rules."""
     rate = ppsf(row["price_pcm"], row["size_sqft"])

@@ -29,6 +29,14 @@ class Tables:
     def runs(self) -> DataFrame:
         return market(self.spark, self.sf_dir, "scrape_runs")
 
+    @property
+    def documents(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.sf_dir}/documents.parquet")
+
+    @property
+    def pages(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.sf_dir}/pages.parquet")
+
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -46,4 +54,4 @@ def query(sql: str | None = None):
     return register
 
 
-from . import agencies, aggregates, dashboards, duplicates, extraction, floors, joins, matching, projections, rent_model, reports, selections, windows  # noqa: E402, F401
+from . import agencies, aggregates, dashboards, duplicates, extraction, floorplans, floors, joins, matching, projections, rent_model, reports, selections, windows  # noqa: E402, F401

@@ -160,10 +160,18 @@ def tx_amenity_flags(t: Tables) -> DataFrame:
     return t.listings.select("id", *(c.alias(n) for n, c in X.amenity_flags(F.col("summary")).items()))
 
 
-@query("SELECT id, CASE WHEN price_pcm <= 0 AND postcode = '' THEN 'missing price;missing postcode' WHEN price_pcm <= 0 THEN 'missing price' WHEN postcode = '' THEN 'missing postcode' ELSE '' END AS issues FROM listings")
+#: Addresses of listings' pages, which the tables don't have; some are missing or of another kind.
+URL = "CASE WHEN id % 29 = 0 THEN NULL WHEN id % 31 = 0 THEN CONCAT('ftp://listings.example.com/of/the/market/', property_id) ELSE CONCAT('https://example.com/', source, '/', property_id) END"
+
+
+@query(f"""SELECT id, issues, issues = '' AS valid, NOT CONTAINS(issues, 'missing url') AS kept FROM (SELECT id, CONCAT_WS(';', CASE WHEN COALESCE(price_pcm, 0) <= 0 THEN 'missing/invalid price_pcm' WHEN price_pcm < 100 THEN CONCAT('price_pcm too low (', price_pcm, ')') WHEN price_pcm > 500000 THEN CONCAT('price_pcm suspiciously high (', price_pcm, ')') END,
+CASE WHEN LENGTH(address) < 5 THEN 'missing/invalid address' END, CASE WHEN url IS NULL THEN 'missing url' WHEN NOT STARTS_WITH(url, 'http') THEN CONCAT('invalid url format (', SUBSTR(url, 1, 30), '...)') END, CASE WHEN bedrooms < 0 OR bedrooms > 20 THEN CONCAT('invalid bedrooms (', bedrooms, ')') END,
+CASE WHEN size_sqft < 50 THEN CONCAT('sqft too small (', size_sqft, ')') WHEN size_sqft > 50000 THEN CONCAT('sqft too large (', size_sqft, ')') END) AS issues FROM (SELECT *, {URL} AS url FROM listings) u) i""")
 def fn_validate_item(t: Tables) -> DataFrame:
-    rows = t.listings
-    return rows.select("id", F.array_join(X.issues({c: F.col(c) for c in rows.columns}), ";").alias("issues"))
+    """Every rule a listing breaks, whether it breaks none, and whether it is kept where only critical ones drop it."""
+    rows = t.listings.withColumn("url", F.expr(URL))
+    rows = rows.select("id", X.issues({c: F.col(c) for c in rows.columns}).alias("found"))
+    return rows.select("id", F.array_join("found", ";").alias("issues"), X.acceptable(F.col("found"), strict=True).alias("valid"), X.acceptable(F.col("found")).alias("kept"))
 
 
 @query("SELECT id, CASE WHEN price_pcm <= 0 THEN NULL WHEN price_pcm <= 2000 THEN 0 WHEN price_pcm <= 5000 THEN 1 WHEN price_pcm <= 10000 THEN 2 WHEN price_pcm <= 30000 THEN 3 END AS bin FROM listings")

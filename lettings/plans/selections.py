@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import address as A
+from ..functions import listing as X
 from .catalogue import Tables, query
 
 #: As SQL text: the last day that any listing was seen.
@@ -53,10 +54,11 @@ def agg_min_max_round(t: Tables) -> DataFrame:
     return sized.agg(F.min("size_sqft").alias("least"), F.max("size_sqft").alias("most"), F.round(F.avg("size_sqft"), 1).alias("mean"))
 
 
-@query("""SELECT days, SUM(n) OVER (ORDER BY days) * 1e2 / SUM(n) OVER () AS cumulative FROM (SELECT CAST(id % 45 AS INT) AS days, COUNT(*) AS n FROM listings GROUP BY 1) d""")
+@query("""SELECT days, SUM(n) OVER (ORDER BY days) * 1e2 / SUM(n) OVER () AS cumulative FROM (SELECT CAST(FLOOR((EPOCH(last_seen) - EPOCH(first_seen)) / 86400) AS INT) AS days, COUNT(*) AS n FROM listings WHERE last_seen IS NOT NULL AND first_seen IS NOT NULL GROUP BY 1) d""")
 def agg_cdf(t: Tables) -> DataFrame:
-    """Per number of days the share of listings with as many or fewer; the windows span the distinct numbers only."""
-    per = t.listings.groupBy((F.col("id") % 45).cast("int").alias("days")).agg(F.count(F.lit(1)).alias("n"))
+    """Per number of days on the market the share of listings with as many or fewer; the windows span the distinct numbers only."""
+    days = X.days_on_market(F.col("first_seen"), F.col("last_seen"))
+    per = t.listings.groupBy(days.alias("days")).agg(F.count(F.lit(1)).alias("n")).where("days is not null")
     return per.select("days", (F.sum("n").over(Window.orderBy("days")) * F.lit(100.0) / F.sum("n").over(Window.partitionBy())).alias("cumulative"))
 
 
