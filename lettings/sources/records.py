@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +16,37 @@ def embedded_json(html: Column) -> Column:
     return F.nullif(F.trim(F.regexp_extract(html, NEXT_DATA, 1)), F.lit(""))
 
 
+#: A string with its escapes (to the end where it isn't closed) or a brace.
+TOKEN = re.compile(r'"(?:[^"\\]|\\.)*+("?)|[{}]', re.S)
+
+
+def balanced(text: str | None, begin: str) -> str | None:
+    """The object that begins right after the first match of the pattern and blanks, up to its own closing brace; braces in strings don't count. Null if there is none or it doesn't close. One pass."""
+    found = re.search(begin, text) if text else None
+    start = re.compile(r"\s*").match(text, found.end()).end() if found else 0
+    if not found or text[start : start + 1] != "{":
+        return None
+    depth = 0
+    for token in TOKEN.finditer(text, start):
+        if token.group() == "{":
+            depth += 1
+        elif token.group() == "}":
+            depth -= 1
+            if not depth:
+                return text[start : token.end()]
+    return None
+
+
+def balanced_json(html: Column, begin: str = r"window\.PAGE_MODEL\s*=") -> Column:
+    """The text of a page's object by ``balanced``, in Arrow batches: nested braces are beyond regular expressions."""
+
+    @F.arrow_udf("string")
+    def read(pages: pa.Array) -> pa.Array:
+        return pa.array([balanced(t, begin) for t in pages.to_pylist()], pa.string())
+
+    return read(html)
+
+
 def embedded_listings(pages: DataFrame, path: str, schema: str, html: str = "html") -> DataFrame:
     """A row for each record of the array at ``path`` (like ``$.props.pageProps.results``), with the page's other columns.
 
