@@ -62,29 +62,6 @@ def q_price_events(t: Tables) -> DataFrame:
     return found.orderBy(F.desc("recorded_at"), "listing_id", "seq").limit(50).select("listing_id", "seq", "previous", "price_pcm")
 
 
-@query("""WITH c AS (SELECT listing_id, seq, price_pcm, LAG(price_pcm) OVER (PARTITION BY listing_id ORDER BY seq) AS previous FROM price_history),
-f AS (SELECT listing_id, ARG_MIN((previous - price_pcm) * 100.0 / previous, seq) AS cut FROM c WHERE price_pcm < previous GROUP BY 1),
-s AS (SELECT source, COUNT(cut) * 100.0 / COUNT(*) AS cuts, COALESCE(AVG(cut), 0) AS mean_cut, COUNT(*) FILTER (WHERE is_active = 0) * 100.0 / COUNT(*) AS turnover FROM listings LEFT JOIN f ON listing_id = id GROUP BY 1)
-SELECT source, ROUND(100 - LEAST(cuts, 100) + 100 - LEAST(20 * ABS(mean_cut), 100) + LEAST(turnover, 50), 4) AS score FROM s""")
-def q_agent_leaderboard(t: Tables) -> DataFrame:
-    """Few and small first cuts and a high turnover score well."""
-    changes = t.history.withColumn("previous", F.lag("price_pcm").over(Window.partitionBy("listing_id").orderBy("seq"))).where("price_pcm < previous")
-    first = changes.groupBy("listing_id").agg(F.min_by((F.col("previous") - F.col("price_pcm")) * 100 / F.col("previous"), "seq").alias("cut"))
-    joined = t.listings.select("id", "source", "is_active").join(first, F.col("id") == F.col("listing_id"), "left")
-    by = joined.groupBy("source").agg((F.count("cut") * 100 / rows()).alias("cuts"), F.coalesce(F.avg("cut"), F.lit(0.0)).alias("mean_cut"), (F.count_if(F.col("is_active") == 0) * 100 / rows()).alias("turnover"))
-    upto = lambda x, most: F.least(x, F.lit(float(most)))
-    score = 100 - upto(F.col("cuts"), 100) + 100 - upto(20 * F.abs("mean_cut"), 100) + upto(F.col("turnover"), 50)
-    return by.select("source", F.round(score, 4).alias("score"))
-
-
-@query(f"""SELECT source, ROUND(MEDIAN(price_pcm), 4) AS median_price, ROUND(MEDIAN({RATE}), 4) AS median_ppsf, ROUND(AVG({DAYS}), 4) AS mean_days, ROUND(COUNT(*) FILTER (WHERE size_sqft > 0) * 100.0 / COUNT(*), 4) AS coverage FROM listings GROUP BY source""")
-def q_agency_detail(t: Tables) -> DataFrame:
-    return t.listings.groupBy("source").agg(
-        F.round(F.median("price_pcm"), 4).alias("median_price"), F.round(F.median(rate()), 4).alias("median_ppsf"), F.round(F.avg(days()), 4).alias("mean_days"),
-        F.round(F.count_if(F.col("size_sqft") > 0) * 100 / rows(), 4).alias("coverage"),
-    )
-
-
 @query("""SELECT source, day, CAST(SUM(fresh) AS BIGINT) AS new, CAST(SUM(let) AS BIGINT) AS lets, CAST(SUM(SUM(let)) OVER (PARTITION BY source ORDER BY day) AS BIGINT) AS lets_so_far FROM
 (SELECT source, CAST(first_seen AS DATE) AS day, 1 AS fresh, 0 AS let FROM listings UNION ALL SELECT source, CAST(last_seen AS DATE), 0, 1 FROM listings WHERE is_active = 0) x GROUP BY source, day""")
 def q_agency_trends(t: Tables) -> DataFrame:
@@ -94,11 +71,6 @@ def q_agency_trends(t: Tables) -> DataFrame:
     return by.withColumn("lets_so_far", F.sum("lets").over(Window.partitionBy("source").orderBy("day")))
 
 
-@query("SELECT COUNT(*) AS runs, MAX(finished_at) AS last_run, CAST(SUM(items_scraped) AS BIGINT) AS items, CAST(SUM(error_count) AS BIGINT) AS errors FROM scrape_runs")
-def q_health(t: Tables) -> DataFrame:
-    return t.runs.agg(rows().alias("runs"), F.max("finished_at").alias("last_run"), F.sum("items_scraped").alias("items"), F.sum("error_count").alias("errors"))
-
-
 @query(f"SELECT source, COUNT(*) AS n, ROUND(AVG({DAYS}), 4) AS mean, MIN({DAYS}) AS least, ROUND(QUANTILE_CONT({DAYS}, 0.25), 4) AS p25, ROUND(MEDIAN({DAYS}), 4) AS p50, ROUND(QUANTILE_CONT({DAYS}, 0.75), 4) AS p75, MAX({DAYS}) AS most FROM listings GROUP BY source")
 def r_dom_source(t: Tables) -> DataFrame:
     quarters = [F.round(F.percentile(days(), p), 4).alias(f"p{round(p * 100)}") for p in (0.25, 0.5, 0.75)]

@@ -33,33 +33,6 @@ def q_market_stats(t: Tables) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("n"), *(F.round(F.percentile("r", p), 6).alias(f"p{round(p * 100)}") for p in (0.25, 0.5, 0.75)), F.round(F.avg("r"), 6).alias("mean"))
 
 
-@query(f"""SELECT source, UPPER(SUBSTR(source, 1, 1)) || SUBSTR(source, 2) AS display_name, COUNT(*) FILTER (WHERE is_active = 1) AS active, COUNT(*) FILTER (WHERE is_active = 0) AS inactive,
-ROUND(COUNT(*) FILTER (WHERE is_active = 0) * 100.0 / COUNT(*), 1) AS let_rate, ROUND(AVG(price_pcm) FILTER (WHERE is_active = 1), 2) AS avg_price, CAST(SUM(CAST(price_pcm AS BIGINT) * 12) FILTER (WHERE is_active = 1) AS BIGINT) AS portfolio
-FROM listings WHERE source <> 'rightmove' AND ({RATE} BETWEEN 3 AND 30 OR size_sqft IS NULL OR size_sqft = 0) GROUP BY source""")
-def q_agency_list(t: Tables) -> DataFrame:
-    active = F.col("is_active") == 1
-    rows = t.listings.where("source <> 'rightmove'").where(X.ppsf(F.col("price_pcm"), F.col("size_sqft")).between(3, 30) | (F.coalesce("size_sqft", F.lit(0)) == 0))
-    by = rows.groupBy("source").agg(F.count_if(active).alias("active"), F.count_if(~active).alias("inactive"), F.count(F.lit(1)).alias("n"), F.round(F.avg(F.when(active, F.col("price_pcm"))), 2).alias("avg_price"), F.sum(F.when(active, F.col("price_pcm").cast("long") * 12)).alias("portfolio"))
-    return by.select("source", F.initcap(F.replace("source", F.lit("_"), F.lit(" "))).alias("display_name"), "active", "inactive", F.round(F.col("inactive") * 100 / F.col("n"), 1).alias("let_rate"), "avg_price", "portfolio")
-
-
-@query("""WITH ch AS (SELECT listing_id, seq, recorded_at, price_pcm, LAG(price_pcm) OVER (PARTITION BY listing_id ORDER BY seq) AS previous FROM price_history)
-SELECT source, COUNT(DISTINCT id) AS listings, COUNT(DISTINCT CASE WHEN price_pcm < previous THEN id END) AS reducing, ROUND(AVG(CASE WHEN price_pcm < previous THEN (previous - price_pcm) * 100.0 / previous END), 4) AS mean_cut FROM listings LEFT JOIN ch c (cid, nth, recorded, cp, previous) ON cid = id GROUP BY source""".replace("price_pcm < previous THEN id", "cp < previous THEN id").replace("price_pcm < previous THEN (previous - price_pcm)", "cp < previous THEN (previous - cp)"))
-def q_agent_perf(t: Tables) -> DataFrame:
-    changes = t.history.select(F.col("listing_id"), F.col("price_pcm").alias("cp"), F.lag("price_pcm").over(Window.partitionBy("listing_id").orderBy("seq")).alias("previous"))
-    cut = F.col("cp") < F.col("previous")
-    # A listing's figures first: then no distinct counts are needed.
-    own = changes.groupBy("listing_id").agg(F.max(cut).alias("reducing"), F.sum(F.when(cut, (F.col("previous") - F.col("cp")) * 100 / F.col("previous"))).alias("cuts"), F.count_if(cut).alias("n"))
-    rows = t.listings.join(own, F.col("id") == F.col("listing_id"), "left")
-    return rows.groupBy("source").agg(F.count(F.lit(1)).alias("listings"), F.count_if(F.col("reducing")).alias("reducing"), F.round(F.sum("cuts") / F.nullif(F.sum("n"), F.lit(0)), 4).alias("mean_cut"))
-
-
-@query("""SELECT SPLIT_PART(postcode, ' ', 1) AS district, source, COUNT(*) AS n, ROUND(COUNT(*) * 100.0 / SUM(COUNT(*)) OVER (PARTITION BY SPLIT_PART(postcode, ' ', 1)), 4) AS share FROM listings WHERE is_active = 1 GROUP BY 1, 2""")
-def q_market_share(t: Tables) -> DataFrame:
-    by = t.listings.where("is_active = 1").groupBy(A.district_by_space(F.col("postcode")).alias("district"), "source").agg(F.count(F.lit(1)).alias("n"))
-    return by.withColumn("share", F.round(F.col("n") * 100 / F.sum("n").over(Window.partitionBy("district")), 4))
-
-
 @query("""SELECT listing_id, seq, previous, price_pcm, ROUND((price_pcm - previous) * 100.0 / previous, 4) AS change FROM (SELECT *, LAG(price_pcm) OVER (PARTITION BY listing_id ORDER BY seq) AS previous FROM price_history) x WHERE previous > 0 AND ABS(price_pcm - previous) >= 50 AND ABS(price_pcm - previous) * 50 >= previous""")
 def st_price_change(t: Tables) -> DataFrame:
     """Changes of £50 and 2 % at least."""
@@ -100,11 +73,6 @@ def q_recent_runs(t: Tables) -> DataFrame:
     return t.runs.orderBy(F.desc("started_at"), "spider_name").limit(20).select("run_id", "spider_name", "items_scraped", "error_count")
 
 
-@query("SELECT run_id, CAST(SUM(items_scraped) AS BIGINT) AS items, CAST(SUM(error_count) AS BIGINT) AS errors FROM scrape_runs GROUP BY run_id")
-def q_daily_stats(t: Tables) -> DataFrame:
-    return t.runs.groupBy("run_id").agg(F.sum("items_scraped").alias("items"), F.sum("error_count").alias("errors"))
-
-
 @query("""SELECT CASE WHEN price_pcm < 2000 THEN '<£2k' WHEN price_pcm < 3000 THEN '£2-3k' WHEN price_pcm < 5000 THEN '£3-5k' WHEN price_pcm < 10000 THEN '£5-10k' ELSE '£10k+' END AS bucket,
 COUNT(*) AS n, ROUND(AVG(days), 4) AS mean_days, ROUND(MEDIAN(days), 4) AS median_days FROM (SELECT price_pcm, DATE_DIFF('day', first_seen, last_seen) AS days FROM listings) x GROUP BY 1""")
 def r_dom_bucket(t: Tables) -> DataFrame:
