@@ -32,6 +32,8 @@ AMENITY_WORDS = {
 }
 LEAKY = ("luxury", "ppsf", "price", "_encoded", "is_luxury")
 TOP_DISTRICTS, SEED = 15, 42
+#: Rows of a partition that trees are learnt from.
+PART_ROWS = 20_000
 
 # As SQL: the same rules, for the oracles.
 DISTRICT_SQL = "NULLIF(regexp_extract(postcode, '^([A-Z]+[0-9]+[A-Z]?)', 1), '')"
@@ -143,10 +145,11 @@ def vectors(t: Tables, folds: int) -> tuple[DataFrame, list[str]]:
     names = [c for c in wide.columns if c not in ("id", "price_pcm")]
     made = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep").transform(wide.na.fill(0.0))
     made = made.select("id", "price_pcm", "features", F.log1p("price_pcm").alias("target"), fold(folds).alias("fold"))
-    return lasting(made.repartitionByRange(8, "id").sortWithinPartitions("id")), names
+    parts = rows.count() // PART_ROWS + 1
+    return lasting(made.repartitionByRange(parts, "id").sortWithinPartitions("id")), names
 
 
-def trees(iterations: int = 20, depth: int = 5, step: float = 0.1) -> GBTRegressor:
+def trees(iterations: int = 10, depth: int = 5, step: float = 0.1) -> GBTRegressor:
     """Boosted trees that learn the absolute error of the logarithm."""
     return GBTRegressor(labelCol="target", predictionCol="log_predicted", lossType="absolute", maxIter=iterations, maxDepth=depth, stepSize=step, subsamplingRate=0.8, featureSubsetStrategy="0.7", minInstancesPerNode=5, seed=SEED)
 
@@ -260,7 +263,7 @@ def ml_model_metrics(t: Tables) -> DataFrame:
 def ml_tune(t: Tables) -> DataFrame:
     """Settings of the trees by their mean R2 of the logarithm over three folds, best first."""
     rows, _ = vectors(t, 3)
-    model = trees(iterations=10)
+    model = trees(iterations=5)
     grid = ParamGridBuilder().addGrid(model.maxDepth, [4, 6]).addGrid(model.stepSize, [0.1, 0.3]).build()
     scorer = RegressionEvaluator(labelCol="target", predictionCol="log_predicted", metricName="r2")
     found = CrossValidator(estimator=model, estimatorParamMaps=grid, evaluator=scorer, numFolds=3, foldCol="fold", parallelism=2).fit(rows)
