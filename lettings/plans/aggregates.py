@@ -121,20 +121,6 @@ def agg_threshold_counts(t: Tables) -> DataFrame:
     return t.listings.groupBy("bedrooms").agg(*(F.count_if(days >= d).alias(f"over_{d}") for d in (7, 14, 21, 30)))
 
 
-@query("""WITH r AS (SELECT source, price_pcm, AVG(rn) OVER (PARTITION BY price_pcm) AS rk FROM (SELECT source, price_pcm, ROW_NUMBER() OVER (ORDER BY price_pcm) AS rn FROM listings WHERE source IN ('savills', 'foxtons')) x)
-SELECT ROUND(SUM(CASE WHEN source = 'savills' THEN rk ELSE 0 END) - MAX(n) * (MAX(n) + 1) / 2.0, 3) AS u FROM r, (SELECT COUNT(*) AS n FROM listings WHERE source = 'savills') c""")
-def agg_mannwhitney(t: Tables) -> DataFrame:
-    """U of two samples from counts by value: no window over all rows."""
-    by = t.listings.where(F.col("source").isin("savills", "foxtons")).groupBy("price_pcm").agg(F.count_if(F.col("source") == "savills").alias("a"), F.count_if(F.col("source") == "foxtons").alias("b"))
-    # Values are ranked in ranges of a power of two, then ranges: prefix sums in two levels.
-    by = by.withColumn("range", F.floor(F.col("price_pcm") / 64))
-    from pyspark.sql import Window
-
-    ranges = by.groupBy("range").agg(F.sum("b").alias("all_b")).withColumn("below", F.sum("all_b").over(Window.orderBy("range")) - F.col("all_b"))
-    within = by.withColumn("before", F.sum("b").over(Window.partitionBy("range").orderBy("price_pcm")) - F.col("b"))
-    return within.join(F.broadcast(ranges), "range").agg(F.round(F.sum(F.col("a") * (F.col("below") + F.col("before") + F.col("b") / 2)), 3).alias("u"))
-
-
 @query(f"SELECT SPLIT_PART(postcode, ' ', 1) AS district, COUNT(*) AS n, ROUND(MEDIAN({RATE}), 6) AS median_ppsf FROM listings WHERE size_sqft > 0 AND is_active = 1 GROUP BY 1 HAVING COUNT(*) >= 5 ORDER BY 3 DESC, 1 LIMIT 15")
 def q_ppsf_district(t: Tables) -> DataFrame:
     rows = t.listings.where("size_sqft > 0 and is_active = 1").groupBy(A.district_by_space(F.col("postcode")).alias("district"))

@@ -54,4 +54,4 @@ def query(sql: str | None = None):
     return register
 
 
-from . import agencies, agency_figures, aggregates, dashboards, deletion, duplicates, extraction, floorplans, floors, joins, matching, pages, projections, rent_model, reports, selections, windows  # noqa: E402, F401
+from . import agencies, agency_figures, aggregates, dashboards, deletion, duplicates, extraction, floorplans, floors, joins, matching, pages, projections, quality, rent_model, reports, selections, windows  # noqa: E402, F401

@@ -56,18 +56,6 @@ def dq_ppsf_bands(t: Tables) -> DataFrame:
     return t.listings.where("is_active = 1 and size_sqft > 0 and price_pcm > 0").groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT 'price' AS rule, COUNT(*) FILTER (WHERE price_pcm <= 0) AS violations FROM listings UNION ALL SELECT 'seen order', COUNT(*) FILTER (WHERE last_seen < first_seen) FROM listings
-UNION ALL SELECT 'unique key', COUNT(*) - COUNT(DISTINCT source || property_id) FROM listings""")
-def dq_integrity(t: Tables) -> DataFrame:
-    one = t.listings.agg(F.count_if(F.col("price_pcm") <= 0).alias("price"), F.count_if(F.col("last_seen") < F.col("first_seen")).alias("seen order"), (F.count(F.lit(1)) - F.count_distinct("source", "property_id")).alias("unique key"))
-    return one.unpivot([], ["price", "seen order", "unique key"], "rule", "violations")
-
-
-@query("SELECT COUNT(*) AS total, COUNT(*) FILTER (WHERE is_active = 1) AS active, COUNT(*) FILTER (WHERE size_sqft > 0) AS with_sqft, COUNT(DISTINCT source) AS sources, MIN(first_seen) AS earliest, MAX(last_seen) AS latest FROM listings")
-def dq_snapshot(t: Tables) -> DataFrame:
-    return t.listings.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("is_active") == 1).alias("active"), F.count_if(F.col("size_sqft") > 0).alias("with_sqft"), F.count_distinct("source").alias("sources"), F.min("first_seen").alias("earliest"), F.max("last_seen").alias("latest"))
-
-
 @query("SELECT run_id, spider_name, items_scraped, error_count FROM scrape_runs ORDER BY started_at DESC, spider_name LIMIT 20")
 def q_recent_runs(t: Tables) -> DataFrame:
     return t.runs.orderBy(F.desc("started_at"), "spider_name").limit(20).select("run_id", "spider_name", "items_scraped", "error_count")
@@ -78,10 +66,3 @@ COUNT(*) AS n, ROUND(AVG(days), 4) AS mean_days, ROUND(MEDIAN(days), 4) AS media
 def r_dom_bucket(t: Tables) -> DataFrame:
     days = X.days_on_market(F.col("first_seen"), F.col("last_seen"))
     return t.listings.groupBy(X.tier(F.col("price_pcm")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(days), 4).alias("mean_days"), F.round(F.median(days), 4).alias("median_days"))
-
-
-@query("SELECT " + ", ".join(f"ROUND(AVG(CASE WHEN CONTAINS(summary, '{w}') THEN price_pcm END) / AVG(CASE WHEN NOT CONTAINS(summary, '{w}') THEN price_pcm END) * 100 - 100, 4) AS {w}" for w in ("garden", "balcony", "lift")) + " FROM listings")
-def r_amenity_premium(t: Tables) -> DataFrame:
-    has = lambda w: F.contains("summary", F.lit(w))
-    price = F.col("price_pcm")
-    return t.listings.agg(*(F.round(F.avg(F.when(has(w), price)) / F.avg(F.when(~has(w), price)) * 100 - 100, 4).alias(w) for w in ("garden", "balcony", "lift")))
