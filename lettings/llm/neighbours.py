@@ -32,6 +32,11 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & F.coalesce(finite, F.lit(False)) & F.coalesce(F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def scaled(v: np.ndarray) -> np.ndarray:
+    """Vectors times powers of two, so that their greatest components are from 0.5 to 1: cosines keep every bit, and no square overflows or vanishes."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max(1, keepdims=True))[1])
+
+
 def unit(v: np.ndarray) -> np.ndarray:
     v = v.astype(np.float64)
     v /= np.abs(v).max(1, keepdims=True)  # no overflow or underflow in squares
@@ -162,6 +167,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, probe_share: float
                 code, scalars, vector = (np.frombuffer(b"".join(data.field(c).to_pylist()), t).reshape(len(entry), -1) for c, t in (("code", np.uint8), ("scalars", np.float32), ("vector", np.float64)))
                 query, asking = np.asarray(ask.field("query")), np.asarray(ask.field("embedding").flatten()).reshape(-1, width)
                 guess, error = estimates(unit(asking), centres[number], turn, code, scalars)
+                vector, asking = scaled(vector), scaled(asking)
                 lengths = np.sqrt((vector * vector).sum(1))
                 for q, v, g, e in zip(query, asking, guess, error, strict=True):
                     floor = np.partition(g - e, -(k + 1))[-(k + 1)] if len(g) > k + 1 else -np.inf
