@@ -230,6 +230,43 @@ def ml_onehot(t: Tables) -> DataFrame:
     return indicators(loaded(t))
 
 
+#: Amenities of the narrower table.
+NARROW = ("has_balcony", "has_garden", "has_porter", "has_gym", "has_parking", "has_lift")
+
+
+def narrow_features(rows: DataFrame) -> DataFrame:
+    """The narrower table: 21 features and an indicator for each of the 15 districts (letters and figures alone) with most rows, by rank. Distances without coordinates stay null, as trees take them."""
+    text, agent = F.lower(F.coalesce("summary", F.lit(""))), F.lower(F.coalesce("agent_name", F.lit("")))
+    district = F.nullif(F.regexp_extract("postcode", r"^([A-Z]+\d+)", 1), F.lit(""))
+    floors = floor_flags(text)
+    made = {
+        "outer": district, "sqft_per_bedroom": F.col("size_sqft") / F.greatest(F.col("bedrooms"), F.lit(1)), "is_prime": F.coalesce(district.isin(*PRIME), F.lit(False)).cast("int"), "is_premium_agent": either(agent, tuple(a.lower() for a in PREMIUM_AGENTS)).cast("int"),
+        "dist_to_center": P.city_km(F.col("latitude"), F.col("longitude")), "dist_to_tube": P.station_km(F.col("latitude"), F.col("longitude")), "has_terrace": F.contains(text, F.lit("terrace")).cast("int"), "has_roof_terrace": F.contains(text, F.lit("roof terrace")).cast("int"),
+        **{n: either(text, AMENITY_WORDS[n]).cast("int") for n in NARROW}, **{n: floors[n] for n in ("floor_count", "has_ground", "has_first_floor", "has_second_floor", "has_basement")},
+    }
+    rows = rows.withColumns(made)
+    top = rows.where("outer is not null").groupBy("outer").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "outer").limit(TOP_DISTRICTS)
+    ranked = top.select("outer", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("n"), "outer")).alias("rank"))  # fifteen rows
+    tops = [F.coalesce(F.col("rank") == i, F.lit(False)).cast("int").alias(f"district_{i}") for i in range(1, TOP_DISTRICTS + 1)]
+    return rows.join(F.broadcast(ranked), "outer", "left").select("id", "price_pcm", "bedrooms", "bathrooms", "size_sqft", *[n for n in made if n != "outer"], *tops)
+
+
+def _narrow_sql() -> str:
+    low = "LOWER(COALESCE(summary, ''))"
+    has = lambda words: f"CAST(({' OR '.join(f"CONTAINS({low}, '{w}')" for w in words)}) AS INT)"
+    floors = {"has_basement": "basement|lower\\s*ground", "has_ground": "(^|[^r]|[^e]r|[^w]er|[^o]wer) ?ground floor", "has_first_floor": "first floor|1st floor", "has_second_floor": "second floor|2nd floor", "_third": "third floor|3rd floor", "_fourth": "(fourth|fifth|sixth|seventh|eighth|ninth|tenth) floor|([4-9]|1[0-9])th floor"}
+    stations = ", ".join(_distance_sql("latitude", "longitude", at) for at in P.STATIONS.values())
+    return f"""WITH a AS (SELECT *, NULLIF(regexp_extract(postcode, '^([A-Z]+[0-9]+)', 1), '') AS outcode, {', '.join(f"CAST(regexp_matches({low}, '{p}') AS INT) AS {n}" for n, p in floors.items())} FROM {LOADED} m), r AS (SELECT outcode, ROW_NUMBER() OVER (ORDER BY COUNT(*) DESC, outcode) AS rank FROM a WHERE outcode IS NOT NULL GROUP BY 1)
+SELECT id, price_pcm, bedrooms, bathrooms, size_sqft, CAST(size_sqft AS DOUBLE) / GREATEST(bedrooms, 1) AS sqft_per_bedroom, CAST(COALESCE(a.outcode IN {PRIME}, FALSE) AS INT) AS is_prime, CAST(({' OR '.join(f"CONTAINS(LOWER(COALESCE(agent_name, '')), '{x.lower()}')" for x in PREMIUM_AGENTS)}) AS INT) AS is_premium_agent,
+  {_distance_sql('latitude', 'longitude', P.CITY)} AS dist_to_center, LEAST({stations}) AS dist_to_tube, {has(('terrace',))} AS has_terrace, {has(('roof terrace',))} AS has_roof_terrace, {', '.join(f'{has(AMENITY_WORDS[n])} AS {n}' for n in NARROW)}, has_basement + has_ground + has_first_floor + has_second_floor + _third + _fourth AS floor_count,
+  has_ground, has_first_floor, has_second_floor, has_basement, {', '.join(f'CAST(COALESCE(rank = {i}, FALSE) AS INT) AS district_{i}' for i in range(1, TOP_DISTRICTS + 1))} FROM a LEFT JOIN r ON r.outcode = a.outcode"""
+
+
+@query(_narrow_sql())
+def ml_features_pg(t: Tables) -> DataFrame:
+    return narrow_features(loaded(t))
+
+
 @query(f"""SELECT id, name, km FROM (SELECT l.id, s.name, {_distance_sql('l.latitude', 'l.longitude', ('s.lat', 's.lon'))} AS km, ROW_NUMBER() OVER (PARTITION BY l.id ORDER BY {_distance_sql('l.latitude', 'l.longitude', ('s.lat', 's.lon'))}, s.name) AS rn
 FROM listings l CROSS JOIN (VALUES {', '.join(f"('{n}', {a}, {b})" for n, (a, b) in P.STATIONS.items())}) s(name, lat, lon) WHERE l.latitude <> 0 AND l.longitude <> 0) x WHERE rn = 1""")
 def jn_nearest(t: Tables) -> DataFrame:
