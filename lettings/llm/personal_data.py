@@ -246,7 +246,9 @@ def detect(docs: DataFrame, threshold: float = 0.75, entities: int = 3) -> DataF
     terms = Cut(disclosing(docs, scanned, threshold, entities), "terms").df
     # Without a term, the entities that were found are all; else the texts are read again, for the terms' occurrences.
     joined = scanned.select("doc_id", "base", F.array().cast(f"array<{SPAN}>").alias("more")) if terms.isEmpty() else marked(based(docs), terms)
-    of = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS[:4])]
+    # The lambda has one parameter only: Spark fills a second one with the place in the array.
+    number = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long")
+    of = [number(k).alias(f"n_{name}") for k, name in enumerate(KINDS[:4])]
     return joined.select("doc_id", *of, F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.concat("base", "more")).alias("spans"))
 
 
