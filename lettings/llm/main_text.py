@@ -1,8 +1,9 @@
 """Main text of pages by wrapper induction over the pages of a host.
 
-Pages become trees of block elements; what is inline is part of its block's text. Up to ``FRAMES``
-pages of each host, chosen by hash among those with blocks, are merged into its frame: each is aligned with
-what came before by simple tree matching, and its nodes without a partner are added where they stand.
+Pages become trees of block elements; what is inline is part of its block's text. The structures of all
+pages of a host that have blocks, each once, are merged into its frame, about ``FRAMES`` at a time and what that gives
+again, the longest first: each is aligned with what came before by simple tree matching, and its nodes without
+a partner are added where they stand.
 Every page of the host is aligned with the frame, in any number of tasks, and per node of the frame are
 summed the pages, the words and whether the text was the same throughout. Nodes of one text are the
 template, others slots; words of blocks without a partner count for the slot around them. The wrapper is
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import Cut, column, map_batches, scratch
+from ._shared import Cut, checked_broadcast, column, map_batches, scratch
 from .url_filter import host_path
 
 #: Name of a tag; the rest of a tag, in which a quoted value may hold anything; elements whose content is no markup.
@@ -43,7 +44,7 @@ NEVER_NAMED = frozenset("ad ads advert adverts advertisement sponsor sponsored p
 NAME = re.compile(r"""\b(?:class|id)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 #: Elements that a start tag closes if they are open, as the HTML standard has it.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-#: Pages that are merged into a host's frame; elements below this depth stand beside one another, as in browsers.
+#: Structures that are merged at a time, about, into those of a host's frame; elements below this depth stand beside one another, as in browsers.
 FRAMES, DEPTH = 8, 512
 #: Cells of a table by which children are matched; larger ones are halved, with the same result.
 CELLS = 4_000_000
@@ -201,6 +202,8 @@ def aligned(w: np.ndarray) -> list[tuple[int, int]]:
     """Rows and columns in order of which the weights are most; large tables are halved by rows, so memory is bounded."""
     if not w.size or not w.any():
         return []
+    if len(w) > w.shape[1]:  # a step for each of the shorter side: frames are much longer than most pages
+        return [(a, b) for b, a in aligned(w.T)]
     if w.size > CELLS and len(w) > 1:
         half = len(w) // 2
         for first in rows(w[:half]):
@@ -238,7 +241,8 @@ def most(a: Node, b: Node, known: dict) -> int:
     if (a.shape, b.shape) not in known:
         i, j = ends(a.kids, b.kids)
         same = sum(n.size for n in a.kids[:i]) + sum(n.size for n in a.kids[len(a.kids) - j :])
-        for last in rows(weights(a.kids[i : len(a.kids) - j], b.kids[i : len(b.kids) - j], known)):
+        w = weights(a.kids[i : len(a.kids) - j], b.kids[i : len(b.kids) - j], known)
+        for last in rows(w if len(w) <= w.shape[1] else w.T):
             pass
         known[a.shape, b.shape] = 1 + same + int(last[-1])
     return known[a.shape, b.shape]
@@ -368,8 +372,8 @@ def extract(pages: DataFrame) -> DataFrame:
 
     Texts have character references decoded, one space for white space within a block and between
     blocks. A null or empty html, or one without content, gives an empty text. A null url, or one
-    without host, has no host's wrapper. Repeated rows give equal results; of pages that the hash
-    ties, the smaller page_id gives the frame; an empty page never does. An empty table gives an empty
+    without host, has no host's wrapper. Repeated rows give equal results; a page without
+    content is in no frame. An empty table gives an empty
     result; other columns are ignored. Very long pages are read whole, in time in proportion but for the matching of
     what differs from the frame.
     """
@@ -379,22 +383,21 @@ def extract(pages: DataFrame) -> DataFrame:
 
 def _extract(pages: DataFrame) -> DataFrame:
     rows = pages.select("page_id", "url", "html", host_path(F.col("url"))[0].alias("host"))
-    key = F.xxhash64("url", "page_id")
-    usable = rows.where("host <> '' and html rlike '<[A-Za-z]'").withColumn("_h", key)
-    first = usable.groupBy("host", F.pmod("_h", F.lit(FRAMES)).alias("k")).agg(F.min("_h").alias("_m"))
-    first = Cut(first.select(F.col("host").alias("_host"), "_m"), "frame-pages").df
-    chosen = usable.join(first, (F.col("host") == F.col("_host")) & (F.col("_h") == F.col("_m"))).select("host", "page_id", "html")
+    usable = rows.where("host <> '' and html rlike '<[A-Za-z]'")
 
     def skeletons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[int] = set()
         for batch in batches:
-            trees = [tree(h) for h in column(batch, "html")]
-            frames = pa.array([skeleton(t) if any(n.own() and not n.never for n in preorder(t)) else None for t in trees], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int64()), frames], names=["host", "page_id", "frame"])
-
-    drawn = map_batches(chosen, skeletons, "host string, page_id long, frame string").where("frame is not null")
-    # One page of each hash; no more than FRAMES of a host.
-    drawn = drawn.groupBy("host", F.pmod(F.xxhash64("frame"), F.lit(FRAMES)).alias("k")).agg(F.min(F.struct("page_id", "frame")).alias("f"))
-    drawn = drawn.groupBy("host").agg(F.sort_array(F.collect_list("f")).alias("frames"))
+            out = []
+            for host, page in zip(column(batch, "host"), column(batch, "html"), strict=True):
+                t = tree(page)
+                key = hash((host, text := skeleton(t)))
+                if key not in met and any(n.own() and not n.never for n in preorder(t)):
+                    met.add(key)
+                    out.append((host, text))
+            if len(met) > 100_000:
+                met.clear()
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.string()) for k in range(2)], names=["host", "frame"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -406,7 +409,19 @@ def _extract(pages: DataFrame) -> DataFrame:
                 out.append(skeleton(frame))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["host", "frame"])
 
-    framed_hosts = Cut(map_batches(drawn, merge, "host string, frame string"), "frames").df
+    # Every structure of a host's pages once, in one order for all; then FRAMES or so are merged, and again, until a host has one.
+    now = Cut(map_batches(usable.select("host", "html"), skeletons, "host string, frame string").groupBy("host", "frame").agg(F.count(F.lit(1)).alias("c")).select("host", "frame"), "frames").df
+    while True:
+        counts = now.groupBy("host").agg(F.count(F.lit(1)).alias("_n"))
+        counts = Cut(counts.where("_n > 1").withColumnRenamed("host", "_of"), "frame-counts").df
+        if counts.isEmpty():
+            framed_hosts = now
+            break
+        parts = F.ceil(F.coalesce("_n", F.lit(1)) / FRAMES)
+        order = F.xxhash64("frame")
+        dealt = now.join(checked_broadcast(counts), F.col("host") == F.col("_of"), "left")
+        dealt = dealt.groupBy("host", F.pmod(order, parts).alias("k")).agg(F.sort_array(F.collect_list(F.struct((-F.length("frame")).alias("size"), order.alias("order"), "frame"))).alias("frames"))
+        now = Cut(map_batches(dealt.select("host", "frames"), merge, "host string, frame string"), "frames").df
 
     def with_hosts(hosts: DataFrame, columns: list[str]) -> DataFrame:
         """Pages with their host's columns: broadcast if all hosts' are small, by their measured size."""
@@ -450,14 +465,15 @@ def _extract(pages: DataFrame) -> DataFrame:
         known: dict[str, tuple[Node, tuple[int, set[int]]]] = {}
         for batch in batches:
             texts = []
-            for host, frame, stats, page in zip(column(batch, "host"), column(batch, "frame"), column(batch, "stats"), column(batch, "html"), strict=True):
+            frames, figures = (batch.column(batch.schema.get_field_index(x)) for x in ("frame", "stats"))
+            for i, (host, page) in enumerate(zip(column(batch, "host"), column(batch, "html"), strict=True)):
                 of: tuple = (None, None)
-                if frame and page:
+                if frames[i].is_valid and page:
                     if host not in known:
                         if len(known) > 2000:
                             known.clear()
-                        root = framed(frame)
-                        known[host] = root, induced(root, {s["node"]: (s["pages"], s["words"], s["same"]) for s in stats})
+                        root = framed(frames[i].as_py())
+                        known[host] = root, induced(root, {s["node"]: (s["pages"], s["words"], s["same"]) for s in figures[i].as_py()})
                     of = known[host]
                 texts.append(extracted(tree(page), *of) if page else "")
             ids = batch.column(0).cast(pa.int64())
