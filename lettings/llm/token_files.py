@@ -13,8 +13,10 @@ from __future__ import annotations
 import json
 import math
 import os
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import Cut, checked_broadcast, column, map_batches
+from ._shared import Cut, checked_broadcast, map_batches
 
 SCHEMA = "doc_id long, part int, part_start long, n_tokens int, ids array<int>"
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 32 << 20, 256 << 10, 1000
@@ -30,39 +32,45 @@ ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 32 << 20, 256 << 10, 1000
 PART_CHARS = 256_000_000
 
 
+#: Bytes of ASCII letters and of U+00C0 to U+023F, of which the signs of multiplication and division and the dotted
+#: capital I are no plain letters.
+PLAIN = np.zeros(256, bool)
+PLAIN[[*range(65, 91), *range(97, 123), *range(0x80, 0xC0), *range(0xC3, 0xC9)]] = True
+
+
 class ChunkEncoder:
     """Ids of a text, remembering those of chunks between blanks and line feeds.
 
     Only for tokenizers whose pre-tokens never span white space: then the ids of a text are those
-    of its chunks, one after the other. A chunk is taken apart further, into a word and the full
-    stops or commas after it, if the word ends in a Latin letter that stays one in lower case: the
-    first split never joins such a letter to a mark. An ASCII capital that begins it is lower-cased if the
-    tokenizer does so; that leaves fewer words to encode. Other chunks stay whole, and other tokenizers get
-    whole texts.
+    of its chunks, one after the other. A chunk that begins with a plain word and goes on with an ASCII
+    character other than a letter is taken apart there: the first split never joins the two. Plain words are
+    letters of ASCII and of U+00C0 to U+023F that stay letters in lower case and are composed already; they are one
+    pre-token each, so the tokenizer's model encodes them by itself, and their ASCII capitals are lower-cased before
+    they are looked up. What is not plain takes the whole tokenizer, and other tokenizers get whole texts.
     """
 
     def __init__(self, definition: str, bound: int = 400_000):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.bound = Tokenizer.from_str(definition), bound
-        d = json.loads(definition)
-        self.chunked = self.local(d)
-        suffix = (d.get("model") or {}).get("end_of_word_suffix") or ""
-        vocab = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocab.values(), default=0) + 1, bool)
-        self.ends[[i for t, i in vocab.items() if suffix and t.endswith(suffix)]] = True
+        self.chunked = self.local(json.loads(definition))
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.level = {ord(c): level.pre_tokenize_str(c)[0][0] for c in {chr(c).lower() for c in range(0xC0, 0x240) if c != 0x130}}
         self.clear()
 
     @staticmethod
     def local(d: dict) -> bool:
-        """Texts are lower-cased, white space is dropped by the first split, and nothing is put before or after."""
+        """Texts are lower-cased, white space is dropped by the first split, bytes are the model's letters, and nothing is put before or after."""
         norm, pre = d.get("normalizer") or {}, d.get("pre_tokenizer") or {}
-        steps = [x["type"] for x in norm.get("normalizers", [norm]) if x]
-        splits = pre.get("pretokenizers", [pre])
-        first = splits[0] if splits else {}
+        steps = [x for x in norm.get("normalizers", [norm]) if x]
+        first, *others = pre.get("pretokenizers", [pre])[:3] or [{}]
         apart = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") and (first["pattern"].get("Regex") or "").endswith(r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-        plain = "Lowercase" in steps and all(x in ("NFC", "Lowercase", "Replace") for x in steps) and not any(x.get("add_prefix_space") for x in splits)
-        return bool(apart and plain and not any(" " in x["content"] or x.get("lstrip") or x.get("rstrip") for x in d.get("added_tokens", [])))
+        level = len(others) == 1 and others[0]["type"] == "ByteLevel" and not others[0].get("add_prefix_space") and not others[0].get("use_regex", True)
+        blanks = all(x["pattern"] == {"Regex": r"\s+"} and x["content"] == " " for x in steps if x["type"] == "Replace")
+        plain = "Lowercase" in (kinds := [x["type"] for x in steps]) and blanks and all(x in ("NFC", "Lowercase", "Replace") for x in kinds)
+        # An added token is found before all else: none may begin in a plain word or span chunks.
+        added = all(re.match(r"[^\w\s]", x["content"]) and not re.search(r"[ \n]", x["content"]) and not x.get("lstrip") and not x.get("rstrip") for x in d.get("added_tokens", []))
+        return bool(apart and level and plain and added and (d.get("model") or {}).get("type") == "BPE" and not d["model"].get("dropout") and not d.get("truncation") and not d.get("padding"))
 
     def clear(self) -> None:
         """Place of each known word among ``lengths`` and ``starts``, which tell where in ``flat`` its ids are."""
@@ -70,31 +78,45 @@ class ChunkEncoder:
         self.flat, self.starts, self.lengths = [np.zeros((0,), t) for t in (np.uint32, np.int64, np.int64)]
 
     @staticmethod
-    def letters(word: str) -> bool:
-        """Latin letters alone, that stay letters in lower case (the dotted capital I gets a mark of its own)."""
-        return word.isalpha() and (word.isascii() or max(word) < "\u0250" and word.lower().isalpha())
-
-    @staticmethod
-    def apart(chunk: str) -> tuple[str, str]:
-        word = chunk.rstrip(".,")
-        if len(word) < len(chunk) and not ChunkEncoder.letters(word[-1:]):
-            word = chunk
-        return (word[0].lower() + word[1:] if "A" <= word[:1] <= "Z" else word), chunk[len(word) :]
-
-    def learn(self, new: list[str]) -> None:
-        easy = [w for w in new if self.letters(w)]
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(easy)], add_special_tokens=False)[0].ids, np.uint32)
-        last = np.flatnonzero(self.ends[ids]) + 1
-        if len(last) != len(easy):
-            easy, ids, last = [], ids[:0], last[:0]
-        hard = [w for w in new if not self.letters(w)] if easy else new
-        rest = [e.ids for e in self.tokenizer.encode_batch_fast(hard, add_special_tokens=False)]
-        n = np.append(np.diff(last, prepend=0), np.array([len(x) for x in rest], np.int64)).astype(np.int64)
-        flat = np.append(ids, np.array([i for x in rest for i in x], np.uint32)).astype(np.uint32)
+    def apart(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """The plain words of all texts and what is between them, in order; which are plain; how many come before each text and at the end."""
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        offsets = offsets - offsets[0]
+        if not len(data):
+            return pa.array([], pa.large_string()), np.zeros(0, bool), np.zeros(len(texts) + 1, np.int64)
+        inside = (data != 32) & (data != 10)
+        before, after = np.append(True, ~inside[:-1]), np.append(~inside[1:], True)
+        before[offsets[:-1][offsets[:-1] < len(data)]] = True
+        after[offsets[1:][offsets[1:] > 0] - 1] = True
+        starts, ends = np.flatnonzero(inside & before), np.flatnonzero(inside & after) + 1
+        # Where the plain word at the front of a chunk ends.
+        odd = ~PLAIN[data]
+        odd[:-1] |= (data[:-1] == 0xC3) & (data[1:] | 0x20 == 0xB7) | (data[:-1] == 0xC4) & (data[1:] == 0xB0)
+        after = np.minimum.accumulate(np.where(odd, np.arange(len(data)), len(data))[::-1])[::-1]
+        cut = np.minimum(after[starts], ends)
+        plain = (cut > starts) & ((cut == ends) | (np.append(data, 0)[cut] < 0x80))
+        cut = np.where(plain, cut, ends)
+        more = cut < ends
+        at = np.cumsum(1 + more) - 1 - more
+        first, n, words = [np.zeros(len(at) + more.sum(), t) for t in (np.int64, np.int64, bool)]
+        first[at], n[at], words[at] = starts, cut - starts, plain
+        first[at[more] + 1], n[at[more] + 1] = cut[more], (ends - cut)[more]
+        kept = data[inside]
+        kept += ((kept >= 65) & (kept <= 90) & np.repeat(words, n)).view(np.uint8) << 5
+        array = pa.LargeStringArray.from_buffers(len(n), pa.py_buffer(np.append(0, np.cumsum(n))), pa.py_buffer(kept))
+        return array, words, np.searchsorted(first, offsets)
+
+    def learn(self, new: list[str], plain: list[bool]) -> None:
+        model = self.tokenizer.model
+        easy = (w if w.isascii() else w.lower().translate(self.level) for w, p in zip(new, plain, strict=True) if p)
+        rest = iter(self.tokenizer.encode_batch_fast([w for w, p in zip(new, plain, strict=True) if not p], add_special_tokens=False))
+        found = [[t.id for t in model.tokenize(next(easy))] if p else next(rest).ids for p in plain]
+        n = np.array([len(x) for x in found], np.int64)
         at = len(self.lengths)
-        self.words.update((w, at + i) for i, w in enumerate([*easy, *hard]))
+        self.words.update(zip(new, range(at, at + len(new)), strict=True))
         self.starts = np.append(self.starts, len(self.flat) + np.cumsum(n) - n)
-        self.lengths, self.flat = np.append(self.lengths, n), np.append(self.flat, flat)
+        self.lengths, self.flat = np.append(self.lengths, n), np.append(self.flat, np.fromiter(chain.from_iterable(found), np.uint32, n.sum()))
 
     def gather(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of words given by their places, one after the other, and the number of each."""
@@ -102,24 +124,30 @@ class ChunkEncoder:
         first = np.repeat(self.starts[words] - (np.cumsum(n) - n), n)
         return self.flat[first + np.arange(len(first))], n
 
-    def many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def many(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of texts, one after the other, and the number of each."""
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.large_string())
         if not self.chunked:
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
             return np.array([i for x in found for i in x], np.uint32), np.array([len(x) for x in found], np.int64)
-        lists = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " "), " ")
-        coded = lists.flatten().dictionary_encode()
-        pairs = [self.apart(c) for c in coded.dictionary.to_pylist()]
-        if len(self.words) > self.bound:
+        array, plain, offsets = self.apart(texts)
+        if not len(array):
+            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+        coded = array.dictionary_encode()
+        # No word holds a blank, and taking one string apart is quicker than taking each from Arrow.
+        one = pc.binary_join(pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary), pa.scalar(" ", pa.large_string()))
+        chunks, words = np.asarray(coded.indices), one[0].as_py().split(" ")
+        if len(self.words) > self.bound or len(self.flat) > 10 * self.bound:
             self.clear()
-        if new := list({x for p in pairs for x in p}.difference(self.words)):
-            self.learn(new)
-        words = self.words
-        parts = np.fromiter((words[x] for p in pairs for x in p), np.int64, 2 * len(pairs)).reshape(-1, 2)
-        chunks = parts[np.asarray(coded.indices)]
-        flat, n = self.gather(chunks.ravel())
-        each = n.reshape(-1, 2).sum(1)
-        ends = np.append(0, np.cumsum(each))[np.asarray(lists.offsets)]
+        places = np.array([self.words.get(w, -1) for w in words], np.int64)
+        if len(new := np.flatnonzero(places < 0)):
+            easy = np.zeros(len(words), bool)
+            easy[chunks] = plain
+            places[new] = len(self.lengths) + np.arange(len(new))
+            self.learn([words[i] for i in new.tolist()], easy[new].tolist())
+        flat, n = self.gather(places[chunks])
+        ends = np.append(0, np.cumsum(n))[offsets]
         return flat, np.diff(ends)
 
 
@@ -133,8 +161,8 @@ def encoder_of(definition: str) -> ChunkEncoder:
     return ENCODER[0][1]
 
 
-#: Characters that are encoded together.
-ROUND_CHARS = 1_000_000
+#: Bytes of texts that are encoded together, about.
+ROUND_BYTES = 1_000_000
 
 
 def write(docs: DataFrame, definition: str, end_id: int = 1, path: str | None = None) -> Cut:
@@ -155,10 +183,11 @@ def write(docs: DataFrame, definition: str, end_id: int = 1, path: str | None =
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder, part, at = encoder_of(shared.value), TaskContext.get().partitionId(), 0
         keys: list[pa.Array] = []
-        texts: list[str] = []
+        texts: list[pa.Array] = []
+        held = 0
 
         def rows(at: int) -> pa.RecordBatch:
-            flat, n = encoder.many(texts)
+            flat, n = encoder.many(pa.concat_arrays(texts))
             flat = np.insert(flat, np.cumsum(n), end_id).astype(np.int32)
             n += 1
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(flat))
@@ -167,11 +196,12 @@ def write(docs: DataFrame, definition: str, end_id: int = 1, path: str | None =
 
         for batch in batches:
             keys.append(batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64()))
-            texts += [t or "" for t in column(batch, "text")]
-            if sum(map(len, texts)) >= ROUND_CHARS:
+            texts.append(batch.column(batch.schema.get_field_index("text")).cast(pa.large_string()).fill_null(""))
+            held += texts[-1].nbytes
+            if held >= ROUND_BYTES:
                 yield (out := rows(at))
                 at += len(out.column(4).flatten())
-                keys, texts = [], []
+                keys, texts, held = [], [], 0
         if texts:
             yield rows(at)
 
