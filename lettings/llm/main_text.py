@@ -4,8 +4,8 @@ Pages become trees of block elements; what is inline is part of its block's text
 pages of a host that have blocks, each once, are merged into its frame, about ``FRAMES`` at a time and what that gives
 again, the longest first: each is aligned with what came before by simple tree matching, and its nodes without
 a partner are added where they stand.
-Every page of the host is aligned with the frame, in any number of tasks, and per node of the frame are
-summed the pages, the words and whether the text was the same throughout. Nodes of one text are the
+Per node of a structure are summed, while pages are read for it, the pages, the words and whether the text was the same
+throughout; every structure is then aligned with its host's frame, in any number of tasks, and its sums go to the frame's nodes. Nodes of one text are the
 template, others slots; words of blocks without a partner count for the slot around them. The wrapper is
 the smallest container that holds most words of slots, and a page's main text is its node there, without
 elements that are never content. Constant blocks inside are left out if they are not paragraphs,
@@ -48,6 +48,8 @@ CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "t
 FRAMES, DEPTH = 8, 512
 #: Cells of a table by which children are matched; larger ones are halved, with the same result.
 CELLS = 4_000_000
+#: Nodes of structures, with their sums, that a task holds before it passes them on.
+HELD_NODES = 300_000
 #: Share of the slots' words that a container must hold; pages that a constant must be on.
 HELD, CONSTANT_PAGES = 0.8, 5
 
@@ -285,20 +287,34 @@ def merged(frame: Node, page: Node) -> Node:
     return numbered(frame)
 
 
-def measured(frame: Node, page: Node) -> Iterator[tuple[int, int, int]]:
-    """(node of the frame, words, checksum of the text) of a page's blocks; those without a partner, checksum -1, count for the one around them."""
+def counted(page: Node, sums: list[list[int]]) -> None:
+    """Adds the words and the checksum of each block's own text to a structure's sums; what is in elements that are never content isn't read."""
+    stack = [page]
+    while stack:
+        n = stack.pop()
+        words = "".join(x if isinstance(x, str) else " " for x in n.items).split()
+        check = zlib.crc32(" ".join(words).encode(errors="replace"))
+        of = sums[n.index]
+        of[0] += len(words)
+        of[1], of[2] = min(of[1], check), max(of[2], check)
+        if not n.never:
+            stack += n.kids
+
+
+def placed(frame: Node, page: Node) -> list[tuple[int, int, bool]]:
+    """(node of the frame, node of the page, partners or not) of a page's blocks; those without a partner count for the one around them."""
     of = {p.index: f.index for f, p in match(frame, page)[1]}
-    stack = [(page, of.get(page.index, 0))]
+    stack, out = [(page, of.get(page.index, 0))], []
     while stack:
         n, around = stack.pop()
         at = of.get(n.index)
-        text = n.own()
         if at is not None:
-            yield at, len(text.split()), zlib.crc32(text.encode(errors="replace"))
-        elif text and not n.never:
-            yield around, len(text.split()), -1
+            out.append((at, n.index, True))
+        elif not n.never:
+            out.append((around, n.index, False))
         if not n.never:
             stack += [(k, around if at is None else at) for k in n.kids]
+    return out
 
 
 def induced(frame: Node, stats: dict[int, tuple[int, int, bool]]) -> tuple[int, set[int]]:
@@ -350,11 +366,18 @@ def text_of(node: Node, left_out: set[int]) -> str:
     return " ".join(out)
 
 
-def extracted(page: Node, frame: Node | None, wrapper: tuple[int, set[int]] | None) -> str:
+def extracted(page: Node, frame: Node | None, wrapper: tuple[int, set[int]] | None, known: dict[int, tuple[int, set[int]]] | None = None) -> str:
+    """A page's main text; ``known`` has the region and what is left out for shapes that met this frame and wrapper before."""
     if frame is not None and wrapper is not None and wrapper[0] > 0:
-        of = {f.index: p for f, p in match(frame, page)[1]}
-        if (region := of.get(wrapper[0])) is not None and region.tag not in ("html", "body"):
-            return text_of(region, {of[i].index for i in wrapper[1] if i in of and of[i].tag not in LEAVES})
+        known = {} if known is None else known
+        if page.shape not in known:
+            of = {f.index: p for f, p in match(frame, page)[1]}
+            region = of.get(wrapper[0])
+            fits = region is not None and region.tag not in ("html", "body")
+            known[page.shape] = (region.index, {of[i].index for i in wrapper[1] if i in of and of[i].tag not in LEAVES}) if fits else (-1, set())
+        at, left_out = known[page.shape]
+        if at >= 0:
+            return text_of(next(n for n in preorder(page) if n.index == at), left_out)
     mains = [n for n in preorder(page) if n.tag in ("article", "main")]
     if mains:
         outer: list[Node] = []
@@ -383,21 +406,34 @@ def extract(pages: DataFrame) -> DataFrame:
 
 def _extract(pages: DataFrame) -> DataFrame:
     rows = pages.select("page_id", "url", "html", host_path(F.col("url"))[0].alias("host"))
-    usable = rows.where("host <> '' and html rlike '<[A-Za-z]'")
+    usable = rows.where("host <> '' and html is not null").withColumn("marked", F.col("html").rlike("<[A-Za-z]"))
+
+    def structures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # By host and structure: whether a page of it has content, its pages, and the sums of its nodes.
+        met: dict[tuple[str, str], list] = {}
+        nodes = 0
+
+        def out() -> pa.RecordBatch:
+            values = list(met.values())
+            sums = [pa.array([[x[k] for x in v[2]] for v in values], pa.list_(pa.int64())) for k in range(3)]
+            columns = [pa.array([k[i] for k in met], pa.string()) for i in range(2)] + [pa.array([v[0] for v in values], pa.bool_()), pa.array([v[1] for v in values], pa.int64()), *sums]
+            return pa.RecordBatch.from_arrays(columns, names=["host", "frame", "content", "pages", "words", "least", "most"])
 
-    def skeletons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met: set[int] = set()
         for batch in batches:
-            out = []
-            for host, page in zip(column(batch, "host"), column(batch, "html"), strict=True):
+            for host, page, marked in zip(column(batch, "host"), column(batch, "html"), column(batch, "marked"), strict=True):
                 t = tree(page)
-                key = hash((host, text := skeleton(t)))
-                if key not in met and any(n.own() and not n.never for n in preorder(t)):
-                    met.add(key)
-                    out.append((host, text))
-            if len(met) > 100_000:
-                met.clear()
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.string()) for k in range(2)], names=["host", "frame"])
+                if (key := (host, skeleton(t))) not in met:
+                    met[key] = [False, 0, [[0, 1 << 40, -1] for _ in range(t.size)]]
+                    nodes += t.size
+                of = met[key]
+                of[0] = of[0] or marked and any(n.own() and not n.never for n in preorder(t))
+                of[1] += 1
+                counted(t, of[2])
+                if nodes > HELD_NODES:
+                    yield out()
+                    met.clear()
+                    nodes = 0
+        yield out()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -410,7 +446,8 @@ def _extract(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["host", "frame"])
 
     # Every structure of a host's pages once, in one order for all; then FRAMES or so are merged, and again, until a host has one.
-    now = Cut(map_batches(usable.select("host", "html"), skeletons, "host string, frame string").groupBy("host", "frame").agg(F.count(F.lit(1)).alias("c")).select("host", "frame"), "frames").df
+    found = Cut(map_batches(usable.select("host", "html", "marked"), structures, "host string, frame string, content boolean, pages long, words array<long>, least array<long>, most array<long>"), "structures").df
+    now = Cut(found.where("content").select("host", "frame").distinct(), "frames").df
     while True:
         counts = now.groupBy("host").agg(F.count(F.lit(1)).alias("_n"))
         counts = Cut(counts.where("_n > 1").withColumnRenamed("host", "_of"), "frame-counts").df
@@ -423,11 +460,11 @@ def _extract(pages: DataFrame) -> DataFrame:
         dealt = dealt.groupBy("host", F.pmod(order, parts).alias("k")).agg(F.sort_array(F.collect_list(F.struct((-F.length("frame")).alias("size"), order.alias("order"), "frame"))).alias("frames"))
         now = Cut(map_batches(dealt.select("host", "frames"), merge, "host string, frame string"), "frames").df
 
-    def with_hosts(hosts: DataFrame, columns: list[str]) -> DataFrame:
-        """Pages with their host's columns: broadcast if all hosts' are small, by their measured size."""
+    def with_hosts(rows: DataFrame, hosts: DataFrame, columns: list[str], how: str) -> DataFrame:
+        """Rows with their host's columns: broadcast if all hosts' are small, by their measured size."""
         size = hosts.agg(F.sum(F.length(F.to_json(F.struct(*columns))))).first()[0] or 0
         side = hosts.withColumnRenamed("host", "_of")
-        return rows.join(F.broadcast(side) if size <= 32 << 20 else side, F.col("host") == F.col("_of"), "left").drop("_of")
+        return rows.join(F.broadcast(side) if size <= 32 << 20 else side, F.col("host") == F.col("_of"), how).drop("_of")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, Node] = {}
@@ -439,30 +476,31 @@ def _extract(pages: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([*arrays, *(pa.array([v[i] for v in values], pa.int64()) for i in range(4))], names=["host", "node", "pages", "words", "least", "most"])
 
         for batch in batches:
-            for host, frame, page in zip(column(batch, "host"), column(batch, "frame"), column(batch, "html"), strict=True):
-                if not frame or page is None:
-                    continue
+            hosts, frames, whole = (column(batch, x) for x in ("host", "frame", "whole"))
+            figures = zip(*(column(batch, x) for x in ("pages", "words", "least", "most")), strict=True)
+            for host, structure, frame, (pages, words, least, most) in zip(hosts, frames, whole, figures, strict=True):
                 if host not in known:
                     if len(known) > 2000:
                         known.clear()
                     known[host] = framed(frame)
-                for node, words, check in measured(known[host], tree(page)):
+                for node, own, partners in placed(known[host], framed(structure)):
                     s = sums.setdefault((host, node), [0, 0, 1 << 40, -1])
-                    s[1] += words
-                    if check >= 0:
-                        s[0], s[2], s[3] = s[0] + 1, min(s[2], check), max(s[3], check)
+                    s[1] += words[own]
+                    if partners:
+                        s[0], s[2], s[3] = s[0] + pages, min(s[2], least[own]), max(s[3], most[own])
             if len(sums) > 100_000:
                 yield out()
                 sums.clear()
         yield out()
 
-    sums = map_batches(with_hosts(framed_hosts, ["frame"]).select("host", "frame", "html"), measure, "host string, node int, pages long, words long, least long, most long")
+    structured = with_hosts(found, framed_hosts.withColumnRenamed("frame", "whole"), ["whole"], "inner").select("host", "frame", "whole", "pages", "words", "least", "most")
+    sums = map_batches(structured, measure, "host string, node int, pages long, words long, least long, most long")
     sums = sums.groupBy("host", "node").agg(F.sum("pages").alias("pages"), F.sum("words").alias("words"), (F.min("least") == F.max("most")).alias("same"))
     stats = sums.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("node", "pages", "words", "same"))).alias("stats"))
     wrappers = Cut(framed_hosts.join(stats, "host"), "wrappers").df
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[Node, tuple[int, set[int]]]] = {}
+        known: dict[str, tuple[Node, tuple[int, set[int]], dict]] = {}
         for batch in batches:
             texts = []
             frames, figures = (batch.column(batch.schema.get_field_index(x)) for x in ("frame", "stats"))
@@ -473,11 +511,13 @@ def _extract(pages: DataFrame) -> DataFrame:
                         if len(known) > 2000:
                             known.clear()
                         root = framed(frames[i].as_py())
-                        known[host] = root, induced(root, {s["node"]: (s["pages"], s["words"], s["same"]) for s in figures[i].as_py()})
+                        known[host] = root, induced(root, {s["node"]: (s["pages"], s["words"], s["same"]) for s in figures[i].as_py()}), {}
                     of = known[host]
+                    if len(of[2]) > 10_000:
+                        of[2].clear()
                 texts.append(extracted(tree(page), *of) if page else "")
             ids = batch.column(0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([ids, batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    joined = with_hosts(wrappers, ["frame", "stats"]).select("page_id", "url", "host", "frame", "stats", "html")
+    joined = with_hosts(rows, wrappers, ["frame", "stats"], "left").select("page_id", "url", "host", "frame", "stats", "html")
     return map_batches(joined, cut_out, "page_id long, url string, text string, n_chars long")
