@@ -71,5 +71,4 @@ def tx_address_line(t: Tables) -> DataFrame:
 @query()
 def tx_confidence(t: Tables) -> DataFrame:
     """How much was read of each plan."""
-    rows = plans(t).select("id", P.total_area(F.col("plan"))[0].alias("sqft"), P.rooms(F.col("plan")).alias("rooms"), P.floors(F.col("plan"))["floors"].alias("floors"))
-    return rows.select("id", P.confidence(F.col("sqft"), F.col("rooms"), F.col("floors")).alias("confidence"))
+    return plans(t).select("id", P.plan_confidence(F.col("plan")).alias("confidence"))

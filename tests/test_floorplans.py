@@ -103,3 +103,15 @@ def test_counts_features_lines_and_confidence(spark):
     row = spark.createDataFrame([(text,)], "t string").select(P.room_counts(P.rooms(F.col("t"))).alias("counts"), P.special(F.col("t")).alias("special"), P.address_line(F.col("t")).alias("line"), P.confidence(P.total_area(F.col("t"))[0], P.rooms(F.col("t")), P.floors(F.col("t"))["floors"]).alias("sure")).first()
     assert row["counts"] == {"bedroom": 2, "cellar": 1} and row["special"] == ["cellar", "sauna", "wine cellar"] and row["line"] == "10 Eaton Square, SW1W 9BB"
     assert row["sure"] == round(0.4 + 0.3 * 3 / 5 + 0.2 / 3 + 0.1, 2)
+
+
+def test_signs_tell_what_the_patterns_tell(spark, texts):
+    """Types by their signs alone, and the confidence from the text alone, are those from whole rooms."""
+    assert list(P.SIGNS) == list(P.ROOMS)
+    every = [*(x for t in texts for x in (t or "").split("\n")), "bed 3", "bed x", "shower room", "en suite", "staff quarters", "staff", "media room", "TV  ROOM", "entrance hall", "wine cellar", "home office", "Laundry"]
+    got = spark.createDataFrame([(x,) for x in every], "x string").select("x", P.kind(F.col("x")).alias("kind")).collect()
+    assert all(r["kind"] == next((k for k, p in P.ROOMS.items() if re.search(p, r["x"].lower().strip())), None) for r in got)
+    tails = ["", "\nTotal Area 900 sq ft", "\nexcluding the basement", "\nLGF", "\nFirst Floor"]
+    rows = spark.createDataFrame([((t or "") + tails[i % 5] if t is not None else None,) for i, t in enumerate(texts)], "t string")
+    whole = P.confidence(P.total_area(F.col("t"))[0], P.rooms(F.col("t")), P.floors(F.col("t"))["floors"])
+    assert rows.where(~whole.eqNullSafe(P.plan_confidence(F.col("t")))).isEmpty()
