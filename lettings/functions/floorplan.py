@@ -231,11 +231,12 @@ def outdoor(text: Column) -> Column:
     text = F.coalesce(text, F.lit(""))
     every = []
     for kind, pattern in OUTDOOR.items():
-        around = F.lit(rf"(?is)(?<=(^.{{0,{BEFORE - 1}}}|.{{{BEFORE}}}))({pattern})(?=(.{{0,{AFTER}}}))")
+        # The mention is looked for first, then what stands before it: the other way round, every character would have that read.
+        around = F.lit(rf"(?is)(?={pattern})(?<=(^.{{0,{BEFORE - 1}}}|.{{{BEFORE}}}))({pattern})(?=(.{{0,{AFTER}}}))")
         parts = [F.regexp_extract_all(text, around, F.lit(i)) for i in (1, 2, 3)]
         contexts = F.zip_with(F.zip_with(*parts[:2], lambda a, b: F.concat(a, b)), parts[2], lambda a, b: F.concat(a, b))
-        every.append(F.transform(contexts, _space(kind)))
-    return F.concat(*every)
+        every.append(F.when(text.rlike(f"(?i){pattern}"), F.transform(contexts, _space(kind))).otherwise(F.transform(F.array().cast("array<string>"), _space(kind))))
+    return F.when(text.rlike(f"(?i){'|'.join(OUTDOOR.values())}"), F.concat(*every)).otherwise(F.transform(F.array().cast("array<string>"), _space("")))
 
 
 def _space(kind: str):

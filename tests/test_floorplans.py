@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -115,3 +116,12 @@ def test_signs_tell_what_the_patterns_tell(spark, texts):
     rows = spark.createDataFrame([((t or "") + tails[i % 5] if t is not None else None,) for i, t in enumerate(texts)], "t string")
     whole = P.confidence(P.total_area(F.col("t"))[0], P.rooms(F.col("t")), P.floors(F.col("t"))["floors"])
     assert rows.where(~whole.eqNullSafe(P.plan_confidence(F.col("t")))).isEmpty()
+
+
+def test_texts_without_outdoor_spaces_cost_little(spark):
+    """Three long texts with one mention at the end: what stands before is read at the mention only."""
+    rows = spark.range(3).select(F.concat(F.repeat(F.lit("a quiet street of tall houses "), 100_000), F.lit("Terrace 12'6 x 10'0")).alias("t")).repartition(3).cache()
+    rows.count()
+    began = time.time()
+    assert [[tuple(x) for x in r["o"]] for r in rows.select(P.outdoor(F.col("t")).alias("o")).collect()] == [[("terrace", "12'6 x 10'0", 125)]] * 3
+    assert time.time() - began < 30  # it took over a minute when each character had what stands before it read
