@@ -42,7 +42,7 @@ def tx_total_area(t: Tables) -> DataFrame:
 
 @query(f"""SELECT id, type, COUNT(*) AS n FROM (SELECT id, CASE {' '.join(f"WHEN regexp_matches(line, '{p}') THEN '{k}'" for k, p in P.ROOMS.items())} END AS type FROM (SELECT id, LOWER(UNNEST(STRING_SPLIT({PLAN}, chr(10)))) AS line FROM listings) l) r WHERE type IS NOT NULL GROUP BY 1, 2""")
 def tx_room_counts(t: Tables) -> DataFrame:
-    return plans(t).select("id", F.explode(P.room_counts(P.rooms(F.col("plan")))).alias("type", "n"))
+    return plans(t).select("id", F.explode(P.kind_counts(P.room_kinds(F.col("plan")))).alias("type", "n"))
 
 
 @query()

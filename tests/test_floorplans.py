@@ -125,3 +125,10 @@ def test_texts_without_outdoor_spaces_cost_little(spark):
     began = time.time()
     assert [[tuple(x) for x in r["o"]] for r in rows.select(P.outdoor(F.col("t")).alias("o")).collect()] == [[("terrace", "12'6 x 10'0", 125)]] * 3
     assert time.time() - began < 30  # it took over a minute when each character had what stands before it read
+
+
+def test_kinds_are_counted_without_making_rooms(spark, texts):
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(P.room_counts(P.rooms(F.col("t"))).alias("a"), P.kind_counts(P.room_kinds(F.col("t"))).alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in rows) and any(len(r["a"]) > 3 for r in rows)
+    # A line is split into words once for all that is taken from them.
+    assert str(P.rooms(F.col("t"))).count("split(") == 2
