@@ -30,8 +30,8 @@ def plans(t: Tables) -> DataFrame:
 @query(f"""SELECT id, {SHOWN} AS floors, {', '.join(f"CAST({' OR '.join(FLAGS[n] for n in names)} AS INT) AS {flag}" for flag, names in FLAG_NAMES.items())}, {COUNT} AS floor_count, CASE WHEN {COUNT} <= 1 THEN 'single_floor' WHEN {COUNT} = 2 THEN 'duplex' WHEN {COUNT} = 3 THEN 'triplex' ELSE 'multi_floor' END AS property_levels FROM {CLEAN} c""")
 def tx_floors(t: Tables) -> DataFrame:
     """Floors named on the plan, their flags, how many they are and what kind of home that makes."""
-    found = P.floors(F.col("plan"))
-    return plans(t).select("id", *[(F.array_join(c, ", ") if n == "floors" else c).alias(n) for n, c in found.items()])
+    found = plans(t).select("id", P.floor_facts(F.col("plan")).alias("found"))
+    return found.select("id", F.array_join("found.floors", ", ").alias("floors"), *[f"found.{n}" for n in P.FACTS if n != "floors"])
 
 
 @query(f"""SELECT id, CAST(CASE WHEN size_sqft IS NOT NULL THEN CASE WHEN id % 2 = 0 THEN CASE WHEN size_sqft > 100 THEN size_sqft END ELSE 1100 + size_sqft % 900 END END AS BIGINT) AS sqft, CAST(CASE WHEN size_sqft IS NOT NULL AND id % 2 = 1 THEN 50 + id % 90 END AS BIGINT) AS sqm FROM listings""")

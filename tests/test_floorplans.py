@@ -132,3 +132,11 @@ def test_kinds_are_counted_without_making_rooms(spark, texts):
     assert all(r["a"] == r["b"] for r in rows) and any(len(r["a"]) > 3 for r in rows)
     # A line is split into words once for all that is taken from them.
     assert str(P.rooms(F.col("t"))).count("split(") == 2
+
+
+def test_facts_of_floors_are_worked_out_once(spark):
+    rows = spark.createDataFrame([(t,) for t in FLOORS], "t string")
+    one = rows.select("t", P.floor_facts(F.col("t")).alias("f")).select("t", "f.*").collect()
+    assert one == rows.withColumns(P.floors(F.col("t"))).select("t", *P.FACTS).collect()
+    # The text is mended and put in lower case once, not once a pattern.
+    assert str(P.floor_facts(F.col("t"))).count("flocr") == 1
