@@ -89,3 +89,12 @@ def test_components_of_a_path(spark):
 def test_normal_addresses(spark, address, a, b):
     text = F.lit(address).cast("string")
     assert tuple(spark.range(1).select(D.normal_a(text), D.normal_b(text)).first()) == (a, b)
+
+
+def test_the_bound_leaves_no_ratio_out(spark):
+    r = random.Random(6)
+    texts = ["", "a", "12 kings rd", "flat 1 12 kings road", "é" * 5, "Ā" * 5] + ["".join(r.choice("abcé1 ") for _ in range(r.randrange(12))) for _ in range(40)]
+    rows = spark.createDataFrame([(x, y) for x in texts for y in texts], "x string, y string")
+    for row in rows.select("x", "y", M.sequence_ratio(F.col("x"), F.col("y"), 0.6).alias("r")).collect():
+        want = SequenceMatcher(None, row["x"], row["y"]).ratio() if row["x"] and row["y"] else 0.0
+        assert row["r"] == (want if want >= 0.6 else 0.0)
