@@ -91,6 +91,18 @@ def test_normal_addresses(spark, address, a, b):
     assert tuple(spark.range(1).select(D.normal_a(text), D.normal_b(text)).first()) == (a, b)
 
 
+@pytest.mark.parametrize("bands", [0, 1, 1000])
+def test_texts_meet_by_block_or_by_band_alike(spark, monkeypatch, bands):
+    """However many texts count as wide, the pairs are the same; rows meet by text, so that no district is left in the plan of the last join."""
+    rows = spark.createDataFrame([(*r[:2], r[2] or "UNKNOWN", *r[3:]) for r in some_rows(5, 80)], SCHEMA)
+    want = {tuple(r) for r in M.cross_pairs(rows).collect()}, {tuple(r) for r in M.fuzzy_pairs(rows, "district").collect()}
+    monkeypatch.setattr(M, "BANDS", bands)
+    pairs = M.cross_pairs(rows)
+    assert ({tuple(r) for r in pairs.collect()}, {tuple(r) for r in M.fuzzy_pairs(rows, "district").collect()}) == want and all(want)
+    plan = spark._jvm.PythonSQLUtils.explainString(pairs._jdf.queryExecution(), "simple")
+    assert "district" not in plan and "text_b" in plan
+
+
 def test_the_bound_leaves_no_ratio_out(spark):
     r = random.Random(6)
     texts = ["", "a", "12 kings rd", "flat 1 12 kings road", "é" * 5, "Ā" * 5] + ["".join(r.choice("abcé1 ") for _ in range(r.randrange(12))) for _ in range(40)]
