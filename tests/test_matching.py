@@ -110,3 +110,19 @@ def test_the_bound_leaves_no_ratio_out(spark):
     for row in rows.select("x", "y", M.sequence_ratio(F.col("x"), F.col("y"), 0.6).alias("r")).collect():
         want = SequenceMatcher(None, row["x"], row["y"]).ratio() if row["x"] and row["y"] else 0.0
         assert row["r"] == (want if want >= 0.6 else 0.0)
+
+
+@pytest.mark.parametrize("lot", [3, 50, 10_000])
+def test_a_forest_connects_what_the_pairs_connect(spark, monkeypatch, lot):
+    monkeypatch.setattr(M, "PAIRS_AT_ONCE", lot)
+    r = random.Random(lot)
+    pairs = [(r.randrange(300), r.randrange(300)) for _ in range(180)] + [(1000 + i, 1000 + j) for i in range(40) for j in range(i)]
+    df = spark.createDataFrame(pairs, "a long, b long").repartition(2)
+    root = {i: i for a, b in pairs if a != b for i in (a, b)}
+    while any(root[a] != root[b] for a, b in pairs if a != b):
+        for a, b in pairs:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    assert {x["id"]: x["root"] for x in M.components(df).collect()} == root
+    made = M.forest(df.where("a <> b").coalesce(1)).collect()
+    assert len(made) < len(root) if lot == 10_000 else {i for p in made for i in p} == set(root)
