@@ -128,11 +128,11 @@ def dd_pair_stats(t: Tables) -> DataFrame:
 @query()
 def dd_merge_sqft(t: Tables) -> DataFrame:
     """Sizes for rows without one from their pairs across sources; of several partners the last by source and id."""
-    pairs = M.cross_pairs(by_address(t))
-    both = pairs.select(F.col("a").alias("id"), F.col("b").alias("donor")).unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("donor")))
-    sizes = t.listings.where("size_sqft > 0").select(F.col("id").alias("donor"), "source", F.col("size_sqft").alias("sqft"))
-    lacking = t.listings.where("coalesce(size_sqft, 0) = 0").select("id")
-    return both.join(lacking, "id", "left_semi").join(sizes, "donor").groupBy("id").agg(F.max_by("sqft", F.struct("source", "donor")).alias("sqft"))
+    pairs = M.cross_matches(by_address(t).withColumn("sized", F.coalesce("size_sqft", F.lit(0)) > 0), "size_sqft", unlike="sized")
+    # Of each pair one row has a size, the other lacks one.
+    pick = lambda s: F.when(F.col("sized_a"), F.col(f"{s}_a")).otherwise(F.col(f"{s}_b"))
+    both = pairs.select(F.when(F.col("sized_a"), F.col("id_b")).otherwise(F.col("id_a")).alias("id"), pick("source").alias("source"), pick("id").alias("donor"), pick("size_sqft").alias("sqft"))
+    return both.groupBy("id").agg(F.max_by("sqft", F.struct("source", "donor")).alias("sqft"))
 
 
 @query()

@@ -126,3 +126,14 @@ def test_a_forest_connects_what_the_pairs_connect(spark, monkeypatch, lot):
     assert {x["id"]: x["root"] for x in M.components(df).collect()} == root
     made = M.forest(df.where("a <> b").coalesce(1)).collect()
     assert len(made) < len(root) if lot == 10_000 else {i for p in made for i in p} == set(root)
+
+
+def test_counts_and_sizes_are_taken_without_looking_pairs_up(spark):
+    """Pairs carry what is counted and chosen; the figures are those of the pairs."""
+    rows = spark.createDataFrame([(*r[:2], r[2] or "UNKNOWN", *r[3:], 500 + r[0] if r[0] % 3 else None) for r in some_rows(7, 80)], SCHEMA + ", size int")
+    rows = rows.withColumn("sized", F.col("size").isNotNull())
+    told = {r["id"]: (r["source"], r["size"]) for r in rows.collect()}
+    pairs = {(r["a"], r["b"]) for r in M.cross_pairs(rows).collect()}
+    got = M.cross_matches(rows, "size", unlike="sized").select("id_a", "id_b", "source_a", "size_b").collect()
+    assert {(r["id_a"], r["id_b"]) for r in got} == {(a, b) for a, b in pairs if (told[a][1] is None) != (told[b][1] is None)} and got
+    assert all(told[r["id_a"]][0] == r["source_a"] and told[r["id_b"]][1] == r["size_b"] for r in got)
