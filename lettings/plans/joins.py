@@ -5,8 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import matching as M
 from .catalogue import Tables, query
 
+# Fixed value: letters of a place's beginning by which addresses that hold it are looked for.
+LETTERS = 8
+
+
+def holding(addresses: DataFrame) -> DataFrame:
+    """``at_a``, ``at_b``: numbers of addresses of one postcode of which one holds the other's place, in both orders, each with itself too.
+
+    A place's first letters stand somewhere in an address that holds it, so those meet by them; only shorter places meet their whole postcode.
+    """
+    pieces = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("address") - LETTERS + 1), lambda i: F.substring(F.col("address"), i, F.lit(LETTERS))))
+    holders = addresses.select(F.col("at").alias("at_a"), F.col("postcode").alias("postcode_a"), F.col("address").alias("address_a"))
+    held = addresses.select(F.col("at").alias("at_b"), F.col("postcode").alias("postcode_b"), F.col("place").alias("place_b"))
+    long = addresses.where(F.length("address") >= LETTERS).select(F.col("at").alias("at_a"), F.col("postcode").alias("postcode_a"), F.col("address").alias("address_a"), F.explode(pieces).alias("piece"))
+    same, short = F.col("postcode_a") == F.col("postcode_b"), F.length("place_b") < LETTERS
+    met = long.join(held.where(~short), same & (F.col("piece") == F.substring("place_b", 1, LETTERS))).drop("piece").unionByName(holders.join(held.where(short), same))
+    one = met.where(F.contains("address_a", F.col("place_b"))).select("at_a", "at_b")
+    return one.unionByName(one.select(F.col("at_b").alias("at_a"), F.col("at_a").alias("at_b"))).distinct()
+
 
 @query("SELECT source, COUNT(*) AS events, COUNT(DISTINCT id) AS listings FROM price_history JOIN listings ON id = listing_id GROUP BY source")
 def jn_inner_hist(t: Tables) -> DataFrame:
@@ -70,12 +89,14 @@ def jn_outer(t: Tables) -> DataFrame:
 @query("""SELECT a.id AS id_a, b.id AS id_b FROM listings a JOIN listings b ON a.postcode = b.postcode AND a.bedrooms = b.bedrooms AND a.id < b.id AND a.source <> b.source
 AND ABS(a.price_pcm - b.price_pcm) * 50 <= GREATEST(a.price_pcm, b.price_pcm) AND (CONTAINS(a.address, SPLIT_PART(b.address, ', ', -1)) OR CONTAINS(b.address, SPLIT_PART(a.address, ', ', -1))) WHERE a.postcode <> ''""")
 def jn_theta_band(t: Tables) -> DataFrame:
-    """Prices within 2 % in bands of the logarithm: each row meets its own band and the next, not its whole postcode."""
-    rows = t.listings.where("postcode <> '' and price_pcm > 0").select("id", "source", "postcode", "bedrooms", "price_pcm", "address", F.element_at(F.split("address", ", "), -1).alias("place"))
+    """Addresses of which one holds the other's place are found first, each once; then rows meet by address, bedrooms and band of the logarithm of prices."""
     band = F.floor(F.log(F.col("price_pcm").cast("double")) / F.log(F.lit(50 / 49)) + 1e-9)
-    a = rows.select(*[F.col(c).alias(f"{c}_a") for c in rows.columns], F.explode(F.array(band - 1, band, band + 1)).alias("band"))
-    b = rows.select(*[F.col(c).alias(f"{c}_b") for c in rows.columns], band.alias("band"))
-    on = (F.col("postcode_a") == F.col("postcode_b")) & (F.col("bedrooms_a") == F.col("bedrooms_b")) & (a["band"] == b["band"])
+    rows = t.listings.where("postcode <> '' and price_pcm > 0").select("id", "source", "postcode", "bedrooms", "price_pcm", "address", band.alias("band"))
+    places = rows.select("postcode", "address").distinct().withColumn("place", F.element_at(F.split("address", ", "), -1))
+    places = M.lasting(places.withColumn("at", F.monotonically_increasing_id()))
+    numbered = rows.join(places.drop("place"), ["postcode", "address"])
+    a, b = M.sides(numbered, "id", "source", "bedrooms", "price_pcm", "band", "at")
+    b = b.withColumn("band_b", M.around(F.col("band_b"))).withColumnRenamed("at_b", "_at")
+    on = (F.col("at_b") == F.col("_at")) & (F.col("bedrooms_a") == F.col("bedrooms_b")) & (F.col("band_a") == F.col("band_b"))
     near = (F.col("id_a") < F.col("id_b")) & (F.col("source_a") != F.col("source_b")) & (F.abs(F.col("price_pcm_a") - F.col("price_pcm_b")) * 50 <= F.greatest("price_pcm_a", "price_pcm_b"))
-    same = F.contains("address_a", "place_b") | F.contains("address_b", "place_a")
-    return a.join(b, on).where(near & same).select("id_a", "id_b")
+    return a.join(holding(places), "at_a").join(b.hint("shuffle_hash"), on).where(near).select("id_a", "id_b")
